@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application; Spark serves the file from the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rollstone_shipped", False) or not (here := Path(__file__).parent).is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="rollstone-code-")) / "rollstone.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, Path(here.name) / f.relative_to(here))
+    sc.addPyFile(str(path))
+    sc._rollstone_shipped = True
+
+
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -46,6 +61,7 @@ def durable(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     The file goes when the application ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/rollstone-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     _delete_on_exit(spark, path)
@@ -66,6 +82,7 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
