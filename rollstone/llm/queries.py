@@ -4,16 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..work import table
-from . import bpe, spans
+from ..work import name_form, table
+from . import bpe, cooccur, lines, mixture, neardup, setjoin, spans
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, d, "news_analytics"))
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return lines.without_repeated_lines(table(spark, d, "news_analytics"))
+
+
+def _content() -> Column:
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.expand_sets(*neardup.similar_sets(table(spark, d, "news_analytics"), "id", _content(), words=3, similarity=0.6))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(*neardup.similar_sets(table(spark, d, "news_analytics"), "id", _content(), words=3, similarity=0.6))
+
+
+def _similar_articles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sets, members = setjoin.sets_of(table(spark, d, "document_entity_category"), "news_analytics", name_form("category"), least=5)
+    return setjoin.similar_sets(sets, 0.75), members
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.expand_sets(*_similar_articles(spark, d))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(*_similar_articles(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = cooccur.together(table(spark, d, "document_entity_category"), "news_analytics", name_form("category"), min_count=8, min_lift=3)
+    return pairs.select(F.col("item_a").alias("category_a"), F.col("item_b").alias("category_b"))
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cooccur.together(table(spark, d, "document_entity_category"), "news_analytics", name_form("category"), min_count=8, min_lift=1)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "documents"))
 
@@ -23,7 +74,8 @@ def p9_extent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p9_found, p9_extent)}
+    found = (p1_found, p1_clean, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_pairs, p7_ids, p8_mix, p8_shares, p9_found, p9_extent)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

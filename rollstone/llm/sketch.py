@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from ..work import ship
 from .kernel import mix
 
 #: Rows of the sketch, the log2 of the slots of a row, and of the slots of a range. A row takes 2**27 bits, 16 MB.
@@ -44,6 +45,7 @@ def repeated(df: DataFrame, column: str, width: int = WIDTH) -> Broadcast:
 
     A bit is set where two rows at least fill the slot. Null arrays count as empty.
     """
+    ship(df.sparkSession)
     shift = np.uint32(min(RANGE, width))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +114,7 @@ FREQUENCY = 20
 
 def frequencies(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width: int = FREQUENCY) -> Broadcast:
     """One-row count-min sketch of how often hashes occur, counters up to 65,535; for ordering by rarity, never for results."""
+    ship(df.sparkSession)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << width, np.int64)
