@@ -16,3 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def _load() -> None:
+    from . import core, problems  # noqa: F401
+
+
+_load()
