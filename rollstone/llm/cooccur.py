@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..work import durable, maybe_broadcast
 
 #: Packed codes that a task holds before it sorts them; 8 bytes each. Members of a record that one row pairs with the rest.
@@ -74,36 +75,22 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["pair", "n_ab"])
 
 
-def _coded(items: DataFrame, spark) -> DataFrame:
-    """items with a dense code in the order of name. Only one number per partition comes to the driver."""
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = items.repartitionByRange(parts, "name").sortWithinPartitions("name")
-    ranged = durable(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "items")
-    sizes = dict(ranged.groupBy("part").count().collect())
-    start, total = [], 0
-    for p in range(parts):
-        start.append(total)
-        total += sizes.get(p, 0)
-    if total >= 1 << 31:
-        raise ValueError("more than 2**31 items")
-    return ranged.withColumn("code", F.col("row") + F.element_at(F.array(*map(F.lit, start)).cast("array<bigint>"), F.col("part") + 1)).drop("part", "row")
-
-
 def together(df: DataFrame, key: str, value: Column, min_count: int = 8, min_lift: float = 1) -> DataFrame:
     """Pairs of values that at least min_count keys have both of, at least min_lift times as many as chance would give.
 
     Columns: item_a < item_b (by code point), n_ab, n_a, n_b, n (keys with a value), lift = n_ab * n / (n_a * n_b), and
     odds_ratio with half a record added to each of the four cells. Null keys and values don't exist; repeated rows count once.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(key).alias("id"), value.alias("name")).where("id IS NOT NULL AND name IS NOT NULL")
     hashed = rows.select("id", F.xxhash64("name").alias("v"))
     base = durable(hashed.distinct(), "records", "lz4")
     n = base.select("id").distinct().count()
     counts = base.groupBy("v").agg(F.count("*").alias("n_i")).where((F.col("n_i") >= max(min_count, 1)) & (F.col("n_i") * min_lift <= n))
     names = rows.select(F.xxhash64("name").alias("v"), "name").groupBy("v").agg(F.min("name").alias("name"))
-    items = durable(_coded(counts.join(names, "v"), spark), "codes")
+    items = durable(numbered(counts.join(names, "v"), ["name"]), "codes")
     size = items.count()
+    if size >= 1 << 31:
+        raise ValueError("more than 2**31 items")
     codes = maybe_broadcast(items.select("v", "code"), size)
     records = base.join(codes, "v").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes")).where(F.size("codes") > 1)
     sliced = records.select("codes", F.explode(F.sequence(F.lit(0), F.size("codes") - 1, F.lit(SLICE))).alias("first"))

@@ -1,14 +1,16 @@
 """Problem 4: near-duplicate records by the Jaccard similarity of their word runs.
 
-Rare-first prefix filtering: word runs are ordered by an estimate of their frequency, rarest first; records above the limit
-share a run among the first n - ceil(limit * n) + 1 of each. Runs of a prefix that no other record's prefix has, by a sketch
-that never misses one, aren't shuffled. Pairs that meet on a run pass filters of length, position and suffix and are compared
-once on their whole sets. Records with equal sets are one class from the start.
+Rare-first prefix filtering: word runs are ordered by an estimate of their frequency, rarest first. Two sets of n_a and n_b runs
+above the limit have an overlap of at least o = limit / (1 + limit) * (n_a + n_b), so at least m of their common runs (m = SHARE, or
+o if that is less) stand among the first n_a - o + m of the one and n_b - o + m of the other. Runs that only one record has, by a sketch
+that never counts too few, meet nobody and aren't sent. The rest are joined on the run in posting lists, with the filters of length
+and position; meetings are counted per pair, as packed pair codes in sorted gaps; pairs with m meetings pass a suffix filter
+(sizes by hash range) and are compared once on their whole sets. Records with equal sets are one class from the start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -17,12 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
+from ..operators.numbering import numbered
 from ..work import durable, maybe_broadcast
 from .kernel import mix, word_runs
-from .sketch import frequencies, frequency, in_two, repeated
+from .sketch import Counter, count_sketch, frequency, pack, unpack
 
 #: Defaults of near-duplicate operators.
 WORDS, SIMILARITY = 5, 0.8
+#: Meetings of a pair before it is compared; any value loses nothing. Sets to a part of the posting lists and pair counts.
+SHARE, SETS = 4, 4000
+#: Pair codes that a task holds before it sorts and sends them.
+HELD = 1 << 21
 
 
 def _digest(h: np.ndarray) -> bytes:
@@ -41,6 +48,59 @@ def _differ(a: str, b: str) -> Column:
     return sum((F.abs(at(f"{p}_{a}", k) - at(f"{p}_{b}", k)) for p in ("p1", "p2") for k in range(8)), F.lit(0))
 
 
+def _postings(parts: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blobs of (run, set, size, position) of some hash ranges, to blobs of pair codes with the number of meetings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for b in batches:
+            for part, *blobs in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(part, []).append(tuple(blobs))
+        out = Counter(parts)
+        for blobs in held.values():
+            runs, code, n, pos = (np.concatenate(x) for x in zip(*((unpack(r), *(np.frombuffer(x, np.int32) for x in rest)) for r, *rest in blobs)))
+            order = np.lexsort((code, runs))
+            runs, code = runs[order], code[order]
+            once = np.r_[True, (runs[1:] != runs[:-1]) | (code[1:] != code[:-1])] if len(runs) else np.zeros(0, bool)
+            order = order[once]
+            runs, code, n, pos = runs[once], code[once].astype(np.int64), n[order].astype(np.int64), pos[order].astype(np.int64)
+            # sets are numbered by size: of two in a posting list the first is the smaller
+            at = np.arange(len(runs))
+            step = 1
+            while len(at := at[at + step < len(runs)]):
+                at = at[runs[at] == runs[at + step]]
+                other = at + step
+                fits = n[at] * den >= n[other] * num
+                # further on sets are larger still
+                at, other = at[fits], other[fits]
+                least = -(-num * (n[at] + n[other]) // (num + den))
+                share = np.minimum(least, SHARE)
+                near = (pos[at] < n[at] - least + share) & (pos[other] < n[other] - least + share)
+                yield from out.add((code[at[near]] << 32) | code[other[near]], np.where(least[near] < SHARE, SHARE, 1))
+                step += 1
+        yield from out.rest()
+
+    return run
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list[tuple]] = {}
+    for b in batches:
+        for part, codes, counts in zip(*(c.to_pylist() for c in b.columns)):
+            held.setdefault(part, []).append((unpack(codes), np.frombuffer(counts, np.uint8)))
+            if len(held[part]) >= 64:
+                held[part] = [_sum(held[part])]
+    for blobs in held.values():
+        codes, counts = _sum(blobs)
+        codes = codes[counts >= SHARE].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(codes >> 32), pa.array(codes & 0xFFFFFFFF)], ["code_a", "code_b"])
+
+
+def _sum(blobs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([c for c, _ in blobs]), return_inverse=True)
+    return codes, np.minimum(np.bincount(at, np.concatenate([n for _, n in blobs]), len(codes)), 255).astype(np.uint8)
+
+
 def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Pairs of different word-run sets above the limit, (set_a, set_b), and who has which set, (id, set), distinct.
 
@@ -51,52 +111,59 @@ def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, simi
     kind = df.schema[key].dataType.simpleString()
     texts = df.select(F.col(key).alias("id"), text.alias("content")).where(F.col("id").isNotNull())
 
-    def all_runs(b: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *word_runs(b.column(0).to_pylist(), words)])
-
-    often = frequencies(texts.select("content"), all_runs)
+    def describe(b: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+        sets = list(word_runs(b.column(1).to_pylist(), words))
+        at = [i for i, h in enumerate(sets) if len(h)]
+        rows = [(_digest(sets[i]), len(sets[i]), *_profile(sets[i])) for i in at]
+        cols = zip(*rows) if rows else [[]] * 4
+        return np.concatenate([np.zeros(0, np.uint64), *sets]), [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int64(), pa.int64())))]
+
+    often, known = count_sketch(texts, describe, f"id {kind}, set binary, n int, p1 bigint, p2 bigint")
+    members = durable(known.select("id", "set").distinct(), "members")
+    sets = durable(numbered(known.groupBy("set").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "p1", "p2"))), ["n", "set"]), "sets")
+    size = sets.count()
+    if size >= 1 << 31:
+        raise ValueError("more than 2**31 different sets")
+    parts = max(64, -(-size // SETS))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        total = 0
+
+        def send() -> pa.RecordBatch:
+            runs, *cols = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(runs, kind="stable")
+            runs = runs[order]
+            part = (runs * np.uint64(parts)) >> np.uint64(48)
+            cut = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+            ends = [*cut[1:], len(runs)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([pack(runs[a:b]) for a, b in zip(cut, ends)], pa.binary()), *(pa.array([c[order[a:b]].astype(np.int32).tobytes() for a, b in zip(cut, ends)], pa.binary()) for c in cols)], ["part", "runs", "code", "n", "pos"])
+
         for b in batches:
-            rows = []
-            for i, h in enumerate(word_runs(b.column(1).to_pylist(), words)):
-                if n := len(h):
-                    first = h[np.argsort(frequency(often.value, h), kind="stable")][: n - -(-num * n // den) + 1]
-                    rows.append((i, _digest(h), n, *_profile(h), first.view(np.int64)))
-            if rows:
-                i, *cols = zip(*rows)
-                types = pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), *(pa.array(c, t) for c, t in zip(cols, types))], ["id", "set", "n", "p1", "p2", "first"])
-
-    base = durable(texts.mapInArrow(prefixes, f"id {kind}, set binary, n int, p1 bigint, p2 bigint, first array<bigint>"), "prefixes", "lz4")
-    members = base.select("id", "set").distinct()
-    twice = repeated(base, "first")
-
-    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(4)
-            flat, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets)
-            owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            pos = np.arange(len(flat)) + offsets[0] - offsets[owner]
-            kept = in_two(twice.value, flat.view(np.uint64))
-            at = pa.array(owner[kept])
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), pa.array(flat[kept]), pa.array(pos[kept].astype(np.int32))], ["set", "n", "p1", "p2", "run", "pos"])
-
-    # one row per set and run, whatever the number of copies
-    met = base.select("set", "n", "p1", "p2", "first").mapInArrow(meeting, "set binary, n int, p1 bigint, p2 bigint, run bigint, pos int")
-    met = durable(met.dropDuplicates(["set", "run"]), "meeting", "lz4")
-    a, b = (met.select("run", *(F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "p1", "p2", "pos"))) for s in "ab")
+            for code, digest, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), word_runs(b.column(0).to_pylist(), words)):
+                if _digest(h) != digest:
+                    continue  # the key came with another text too
+                n = len(h)
+                f = frequency(often.value, h)
+                order = np.argsort(f, kind="stable")[: min(n - -(-num * n // den) + SHARE, n)]
+                pos = np.flatnonzero(f[order] > 1)
+                held.append((h[order[pos]] >> np.uint64(16), np.full(len(pos), code), np.full(len(pos), n), pos))
+                total += len(pos)
+            if total >= HELD:
+                yield send()
+                held, total = [], 0
+        if total:
+            yield send()
+
+    own = texts.join(maybe_broadcast(sets.select("id", "code", "set"), size), "id").select("content", "code", "set")
+    lists = own.mapInArrow(prefixes, "part int, runs binary, code binary, n binary, pos binary").repartition(parts, "part")
+    met = lists.mapInArrow(_postings(parts, num, den), "part int, codes binary, counts binary").repartition(parts, "part").mapInArrow(_meetings, "code_a bigint, code_b bigint")
+    a, b = (maybe_broadcast(sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("code", "set", "n", "p1", "p2", "id"))), size) for s in "ab")
     both = F.col("n_a") + F.col("n_b")
     least = F.ceil(both * num / F.lit(float(num + den)) - 1e-9)  # overlap that the limit asks for; the exact test comes last
-    pairs = a.join(b, "run").where((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("set_a") < F.col("set_b")))
-    pairs = pairs.where((F.col("n_a") * den >= F.col("n_b") * num) & (_differ("a", "b") <= both - 2 * least))
-    pairs = pairs.groupBy("set_a", "set_b").agg(F.count("*").alias("met"), *(F.max(c).alias(c) for c in ("pos_a", "pos_b", "n_a", "n_b")))
-    # after the last common run of the prefixes no more than the shorter rest can agree
-    pairs = pairs.where(F.col("met") + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) >= least)
-    pairs = durable(pairs.select("set_a", "set_b", "n_a", "n_b"), "candidates")
+    pairs = durable(met.join(a, "code_a").join(b, "code_b").where(_differ("a", "b") <= both - 2 * least).select("set_a", "set_b", "n_a", "n_b", "id_a", "id_b"), "candidates")
 
-    needed = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set")).distinct()
-    ids = durable(members.join(needed, "set").groupBy("set").agg(F.min("id").alias("id")).select("id").distinct(), "needed")
+    ids = durable(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "needed")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,7 +175,7 @@ def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, simi
     sides = [runs.select(F.col("set").alias(f"set_{s}"), F.col("runs").alias(f"runs_{s}")) for s in "ab"]
     overlap = F.size(F.array_intersect("runs_a", "runs_b"))
     true = pairs.join(sides[0], "set_a").join(sides[1], "set_b").withColumn("o", overlap).where(F.col("o") * den >= num * (both - F.col("o")))
-    return durable(true.select("set_a", "set_b"), "similar"), durable(members, "members")
+    return durable(true.select("set_a", "set_b"), "similar"), members
 
 
 def expand_sets(pairs: DataFrame, members: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:

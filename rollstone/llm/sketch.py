@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from ..work import ship
+from ..work import durable, ship
 from .kernel import mix
 
 #: Rows of the sketch, the log2 of the slots of a row, and of the slots of a range. A row takes 2**27 bits, 16 MB.
@@ -31,15 +31,52 @@ def slots(hashes: np.ndarray, row: int, width: int = WIDTH) -> np.ndarray:
         return mix(hashes.astype(np.uint64) + np.uint64((0xA0761D6478BD642F * (row + 1)) & ((1 << 64) - 1))) >> np.uint64(64 - width)
 
 
-def _pack(sorted_slots: np.ndarray) -> bytes:
+def _pack32(sorted_slots: np.ndarray) -> bytes:
     return np.diff(sorted_slots.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unpack(b: bytes) -> np.ndarray:
+def _unpack32(b: bytes) -> np.ndarray:
     planes = np.frombuffer(b, np.uint8).reshape(4, len(b) // 4)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
+def pack(ascending: np.ndarray) -> bytes:
+    """Sorted 64-bit values as gaps in byte planes, which compress well."""
+    return np.diff(ascending.astype(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(8, len(b) // 8)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+class Counter:
+    """Counts packed pair codes (the first member in the upper half): sorts and counts what it holds, and sends it cut by parts."""
+
+    def __init__(self, parts: int, held: int = 1 << 21):
+        self.parts, self.most, self.codes, self.counts, self.size = parts, held, [], [], 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(codes):
+            self.codes.append(codes)
+            self.counts.append(counts)
+            self.size += len(codes)
+            if self.size >= self.most:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            codes, at = np.unique(np.concatenate(self.codes), return_inverse=True)
+            counts = np.minimum(np.bincount(at, np.concatenate(self.counts), len(codes)), 255).astype(np.uint8)
+            part = (mix((codes >> 32).astype(np.uint64)) >> np.uint64(16)) % np.uint64(self.parts)
+            order = np.argsort(part, kind="stable")
+            codes, counts, part = codes[order], counts[order], part[order].astype(np.int64)
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = [*cut[1:], len(codes)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([pack(codes[a:b]) for a, b in zip(cut, ends)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["part", "codes", "counts"])
+            self.codes, self.counts, self.size = [], [], 0
+
+
 def repeated(df: DataFrame, column: str, width: int = WIDTH) -> Broadcast:
     """Sketch of the array<bigint> column, in which each row's hashes count once; broadcast as one bit array a sketch row.
 
@@ -58,7 +95,7 @@ def repeated(df: DataFrame, column: str, width: int = WIDTH) -> Broadcast:
                 s, n = np.unique(slots(all_of, row, width).astype(np.uint32), return_counts=True)
                 cut = np.flatnonzero(np.diff(s >> shift, prepend=np.uint32(0xFFFFFFFF)))
                 parts = [(s[a:b], n[a:b]) for a, b in zip(cut, [*cut[1:], len(s)])]
-                yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(parts), pa.int32()), "part": pa.array([int(x[0] >> shift) for x, _ in parts], pa.int32()), "once": pa.array([_pack(x[k == 1] & np.uint32((1 << int(shift)) - 1)) for x, k in parts], pa.binary()), "more": pa.array([_pack(x[k > 1] & np.uint32((1 << int(shift)) - 1)) for x, k in parts], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(parts), pa.int32()), "part": pa.array([int(x[0] >> shift) for x, _ in parts], pa.int32()), "once": pa.array([_pack32(x[k == 1] & np.uint32((1 << int(shift)) - 1)) for x, k in parts], pa.binary()), "more": pa.array([_pack32(x[k > 1] & np.uint32((1 << int(shift)) - 1)) for x, k in parts], pa.binary())})
 
         for b in batches:
             lists = b.column(0)
@@ -83,9 +120,9 @@ def repeated(df: DataFrame, column: str, width: int = WIDTH) -> Broadcast:
         for b in batches:
             for row, part, once, more in zip(*(c.to_pylist() for c in b.columns)):
                 count = counts.setdefault((row, part), np.zeros(1 << int(shift), np.uint8))
-                s = _unpack(once)
+                s = _unpack32(once)
                 count[s] = np.minimum(count[s] + 1, 2)
-                count[_unpack(more)] = 2
+                count[_unpack32(more)] = 2
         for (row, part), count in counts.items():
             yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())})
 
@@ -142,3 +179,60 @@ def frequency(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return whole[slots(hashes, 0, (len(whole)).bit_length() - 1).astype(np.int64)]
 
 
+
+
+#: Counters of the sketch that also tells which hashes only one record has; a byte each.
+COUNTERS = 25
+
+
+def count_sketch(df: DataFrame, describe: Callable[[pa.RecordBatch], tuple[np.ndarray, list[pa.Array]]], schema: str, width: int = COUNTERS) -> tuple[Broadcast, DataFrame]:
+    """One pass over df for a one-row count-min sketch and a table of rows.
+
+    describe: a batch's hashes (each once a record) and its rows of the table. The sketch's counters stop at 255 and never count too few;
+    partitions send the slots they fill as sorted gaps with counts.
+    """
+    ship(df.sparkSession)
+    shift = max(width - 6, 0)
+    names = [c.split()[0] for c in schema.split(", ")]
+    whole_schema = f"{schema}, part int, slots binary, counts binary"
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        types: list[pa.DataType] = []
+
+        def send() -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.flatnonzero(np.diff((s >> np.uint32(shift)).astype(np.int64), prepend=-1))
+            ends = [*cut[1:], len(s)]
+            low = np.uint32((1 << shift) - 1)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(cut), t) for t in types), pa.array((s[cut] >> np.uint32(shift)).astype(np.int32)), pa.array([_pack32(s[a:b] & low) for a, b in zip(cut, ends)], pa.binary()), pa.array([np.minimum(n[a:b], 255).astype(np.uint8).tobytes() for a, b in zip(cut, ends)], pa.binary())], [*names, "part", "slots", "counts"])
+
+        for b in batches:
+            hashes, cols = describe(b)
+            types = [c.type for c in cols]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.int32()), pa.nulls(len(cols[0]), pa.binary()), pa.nulls(len(cols[0]), pa.binary())], [*names, "part", "slots", "counts"])
+            held.append(slots(hashes, 0, width).astype(np.uint32))
+            size += len(hashes)
+            if size >= 2 * HELD:
+                yield send()
+                held, size = [], 0
+        if size:
+            yield send()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, s, n in zip(*(c.to_pylist() for c in b.columns)):
+                total = totals.setdefault(part, np.zeros(1 << shift, np.uint8))
+                at = _unpack32(s)
+                total[at] = np.minimum(total[at].astype(np.uint16) + np.frombuffer(n, np.uint8), 255)
+        for part, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
+
+    both = durable(df.mapInArrow(fill, whole_schema), "described")
+    merged = both.where("part IS NOT NULL").select("part", "slots", "counts").repartition(16, "part").mapInArrow(merge, "part int, total binary")
+    whole = np.zeros((1 << (width - shift), 1 << shift), np.uint8)
+    for r in merged.collect():  # 2**width bytes, whatever the input
+        whole[r.part] = np.frombuffer(r.total, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(whole.ravel()), both.where("part IS NULL").select(*names)
