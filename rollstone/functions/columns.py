@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: parts of a concept's name that make it invalid, as they stand, and in any case
 INVALID = ("missing", "_births", "_deaths", "http://dbpedia.org/class/yago/", "Category:WikiProjects", "Category:Wikipedia", "_stubs", "_templates", "cleanup", "unknown", "pages")
@@ -154,7 +155,7 @@ def subsets(c: Column | str, limit: int = 12) -> Column:
     return F.transform(F.filter(masks, lambda m: m < F.pow(F.lit(2), n)), lambda m: F.filter(c, lambda _, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sha3_512(s: pd.Series) -> pd.Series:
     """Hexadecimal SHA3-512, which the JVM functions lack; null for null."""
     return s.map(lambda x: None if x is None else hashlib.sha3_512(x.encode()).hexdigest())
@@ -191,7 +192,7 @@ class _Text(HTMLParser):
 def html_text(c: Column | str, *ids: str) -> Column:
     """Text of the first of the elements with these ids that a page has, its lines trimmed and empty ones dropped; null if none."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def text(s: pd.Series) -> pd.Series:
         def one(page):
             if page is None:

@@ -84,7 +84,7 @@ def random_walks(paths_: DataFrame, walks: int = 50, seed: int = 0) -> DataFrame
     Each step picks evenly among the sorted next nodes from which a target is still reached; estimate is 1 / probability. The same seed gives the same rows whatever the partitioning.
     """
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         doc, category = key
         tree: dict = {}
         for m, h, t in sorted(zip(pdf["member"], pdf["hop"].fillna(""), pdf["target"])):
@@ -231,3 +231,8 @@ def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataF
     return df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).orderBy("_h", *key).limit(n).drop("_h")
 
 
+
+
+def prefixed_walks(paths_: DataFrame, member: str, tries: int = 50, seed: int = 0) -> DataFrame:
+    """random_walks with the first node given: only paths through the member, whose probability counts from there."""
+    return random_walks(paths_.where(F.col("member") == member), tries, seed)

@@ -37,13 +37,13 @@ def corpus_entity_counts(dec: DataFrame) -> DataFrame:
 def totals(dec: DataFrame, mentions: DataFrame, spec: DataFrame) -> DataFrame:
     """doc, entity, category, by_concept (entity * concept score), by_specificity (times the category's specificity, three digits); null where a factor is null."""
     rows = dec.join(mentions.select("doc", "entity", "tfidf"), ["doc", "entity"]).join(spec.select("category", F.col("specificity").alias("category_specificity")), "category", "left")
-    return rows.select("doc", "entity", "category", F.round(F.col("tfidf") * F.col("concept_score"), 6).alias("by_concept"), F.round(F.col("tfidf") * F.col("concept_score") * F.col("category_specificity"), 3).alias("by_specificity"))
+    return rows.select("doc", "entity", "category", F.round(F.col("tfidf") * F.col("concept_score"), 8).alias("by_concept"), F.round(F.col("tfidf") * F.col("concept_score") * F.col("category_specificity"), 3).alias("by_specificity"))
 
 
 def backfilled(dec: DataFrame, mentions: DataFrame) -> DataFrame:
     """dec's keys with score, filled by tfidf * concept score where it is null and the concept score positive."""
     rows = dec.join(mentions.select("doc", "entity", "tfidf"), ["doc", "entity"], "left")
-    fill = F.round(F.col("tfidf") * F.col("concept_score"), 6)
+    fill = F.round(F.col("tfidf") * F.col("concept_score"), 8)
     return rows.select("doc", "entity", "category", F.when(F.col("score").isNull() & (F.col("concept_score") > 0), fill).otherwise(F.col("score")).alias("score"))
 
 

@@ -82,7 +82,7 @@ def overlap_groups(ranked: DataFrame, dec: DataFrame, docs: DataFrame, most: int
             numbers.append(at + 1)
         return pd.DataFrame({"category": pdf["category"], "group_no": numbers})
 
-    return entities.groupBy(F.lit(1)).applyInPandas(group, "category string, group_no int")
+    return entities.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(group, "category string, group_no int")
 
 
 def group_tree(groups: DataFrame, ranked: DataFrame, kept: int = 4) -> DataFrame:
@@ -151,9 +151,23 @@ def concept_entities(dec: DataFrame, concepts: list[str]) -> DataFrame:
     return dec.where(F.col("category").isin(concepts)).groupBy("category").agg(F.array_join(F.array_sort(F.collect_set("entity")), "|").alias("entities"), F.count_distinct("entity").alias("n_entities"))
 
 
-def document_concepts(dec: DataFrame, stats: DataFrame, docs: list[int]) -> DataFrame:
+def document_concepts(dec: DataFrame, stats: DataFrame, docs: DataFrame) -> DataFrame:
     """doc, entity, place, category, score, specificity, kg_count: concepts of each entity of a document by their score."""
-    rows = dec.where(F.col("doc").isin(docs)).select("doc", "entity", "category", "score")
+    rows = dec.join(docs.select("doc").distinct(), "doc", "left_semi").select("doc", "entity", "category", "score")
     s = stats.select(F.col("name").alias("category"), "specificity", "kg_count")
     w = W.partitionBy("doc", "entity").orderBy(F.col("score").desc_nulls_last(), "category")
     return rows.join(s, "category", "left").withColumn("place", F.row_number().over(w))
+
+
+def by_stored_patterns(patterns: DataFrame, dec: DataFrame, doc: int, limit: int) -> DataFrame:
+    """other, n_patterns, n_entities: documents that share a stored pattern with a document, by the number of shared patterns. patterns: name, categories, documents (arrays)."""
+    own = patterns.where(F.array_contains("documents", F.lit(doc)))
+    each = own.select("name", "categories", F.explode("documents").alias("doc")).where(F.col("doc") != doc)
+    hits = each.select("name", "doc", F.explode("categories").alias("category")).join(dec.select("doc", "category", "entity"), ["doc", "category"])
+    per = hits.groupBy(F.col("doc").alias("other")).agg(F.count_distinct("name").alias("n_patterns"), F.count_distinct("entity").alias("n_entities"))
+    return per.orderBy(F.desc("n_patterns"), F.desc("n_entities"), "other").limit(limit)
+
+
+def explained(docs: DataFrame, dec: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, category, entity, score: which entities of the documents stand for which wanted concepts (category)."""
+    return dec.join(wanted.select("category").distinct(), "category", "left_semi").join(docs.select("doc").distinct(), "doc", "left_semi").select("doc", "category", "entity", "score")

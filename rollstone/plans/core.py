@@ -118,7 +118,7 @@ def docs_by_shared_entities_cut_first(s, d):
     return search.by_shared_entities(t, top_entities(t), [], 50).where("doc % 7 <> 0")
 
 
-SOME_DOCS = ", some AS (SELECT doc FROM documents_ WHERE doc % 100 = 0)"
+SOME_DOCS = ", chosen AS (SELECT doc FROM documents_ WHERE doc % 100 = 0)"
 
 
 def _some(s, d):
@@ -126,7 +126,7 @@ def _some(s, d):
     return documents(s, d).where("doc % 100 = 0").select("doc")
 
 
-@query(SOME_DOCS + """, per AS (SELECT a.doc, b.doc AS other, count(*) AS shared FROM mentions a JOIN mentions b USING (entity) WHERE a.doc IN (FROM some) AND a.doc <> b.doc GROUP BY a.doc, b.doc)
+@query(SOME_DOCS + """, per AS (SELECT a.doc, b.doc AS other, count(*) AS shared FROM mentions a JOIN mentions b USING (entity) WHERE a.doc IN (FROM chosen) AND a.doc <> b.doc GROUP BY a.doc, b.doc)
 SELECT doc, other, shared, CAST(row_number() OVER w AS INTEGER) AS place FROM per WINDOW w AS (PARTITION BY doc ORDER BY shared DESC, other) QUALIFY row_number() OVER w <= 10""")
 def similar_docs_by_entities(s, d):
     return search.similar_by_entities(mentions(s, d), _some(s, d), 10)
@@ -152,15 +152,15 @@ def concept_entities(s, d):
     return search.concept_entities(t, top_concepts(t))
 
 
-@query(" SELECT doc, entity, category, score, s.specificity, kg_count, CAST(row_number() OVER (PARTITION BY doc, entity ORDER BY score DESC NULLS LAST, category) AS INTEGER) AS place FROM dec LEFT JOIN stats s ON name = category WHERE doc IN (1, 2, 3, 5, 8)")
+@query(" SELECT doc, entity, category, score, s.specificity, kg_count, CAST(row_number() OVER (PARTITION BY doc, entity ORDER BY score DESC NULLS LAST, category) AS INTEGER) AS place FROM dec LEFT JOIN stats s ON name = category WHERE doc % 100 = 0")
 def document_concepts(s, d):
-    return search.document_concepts(dec(s, d), stats(s, d), [1, 2, 3, 5, 8])
+    return search.document_concepts(dec(s, d), stats(s, d), _some(s, d))
 
 
-@query(" SELECT m.doc, m.entity, entity_type, tfidf, n_categories FROM mentions m LEFT JOIN (SELECT entity, count(*) AS n_categories FROM members GROUP BY entity) USING (entity) WHERE m.doc % 100 = 0")
+@query(" SELECT m.doc, m.entity, entity_type, tfidf, coalesce(n_categories, 0) AS n_categories FROM mentions m LEFT JOIN (SELECT entity, count(*) AS n_categories FROM members GROUP BY entity) USING (entity) WHERE m.doc % 100 = 0")
 def document_entities(s, d):
     per = members(s, d).groupBy("entity").agg(F.count("*").alias("n_categories"))
-    return mentions(s, d).where("doc % 100 = 0").join(per, "entity", "left")
+    return mentions(s, d).where("doc % 100 = 0").join(per, "entity", "left").withColumn("n_categories", F.coalesce("n_categories", F.lit(0)))
 
 
 # --- predicates, sets, aggregates, sorting
@@ -266,7 +266,7 @@ def siblings(s, d):
 # --- scores
 
 
-@query(""", tokens AS (SELECT doc, CAST(len(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), x -> x <> '')) AS INTEGER) AS n_tokens FROM documents_ WHERE text IS NOT NULL),
+@query(""", tokens AS (SELECT doc, CAST(len(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS INTEGER) AS n_tokens FROM documents_ WHERE text IS NOT NULL),
 hits AS (SELECT news_analytics AS doc, entity FROM document_entity WHERE news_analytics IS NOT NULL AND entity IS NOT NULL),
 tf AS (SELECT doc, entity, count(*) AS tf FROM hits GROUP BY ALL), df AS (SELECT entity, count(*) AS df FROM tf GROUP BY entity)
 SELECT doc, entity, CASE WHEN n_tokens > 0 THEN round(tf / n_tokens * log10((SELECT count(*) FROM tokens) / df), 3) END AS tfidf FROM tf JOIN df USING (entity) LEFT JOIN tokens USING (doc)""")
@@ -283,7 +283,7 @@ def category_specificity(s, d):
 
 
 TOTALS = """, spec AS (SELECT category, round(-log10(count(DISTINCT entity) / (SELECT count(DISTINCT entity) FROM members)), 3) AS cs FROM members GROUP BY category),
-totals AS (SELECT doc, entity, category, concept_score, round(tfidf * concept_score, 6) AS by_concept, round(tfidf * concept_score * cs, 3) AS by_specificity FROM dec JOIN mentions USING (doc, entity) LEFT JOIN spec USING (category))"""
+totals AS (SELECT doc, entity, category, concept_score, round(tfidf * concept_score, 8) AS by_concept, round(tfidf * concept_score * cs, 3) AS by_specificity FROM dec JOIN mentions USING (doc, entity) LEFT JOIN spec USING (category))"""
 
 
 def _totals(s, d):
@@ -295,7 +295,7 @@ def total_scores(s, d):
     return _totals(s, d)
 
 
-@query(" SELECT doc, entity, category, CASE WHEN score IS NULL AND concept_score > 0 THEN round(tfidf * concept_score, 6) ELSE score END AS score FROM dec LEFT JOIN mentions USING (doc, entity)")
+@query(" SELECT doc, entity, category, CASE WHEN score IS NULL AND concept_score > 0 THEN round(tfidf * concept_score, 8) ELSE score END AS score FROM dec LEFT JOIN mentions USING (doc, entity)")
 def backfilled_scores(s, d):
     return scoring.backfilled(dec(s, d), mentions(s, d))
 
@@ -367,8 +367,8 @@ def pattern_mining(s, d):
     return patterns.mine(t, t.where("score >= 0.3").select(F.col("category").alias("name")).distinct(), 2, 0.3, 5)
 
 
-@query(""", some AS (SELECT DISTINCT doc FROM dec WHERE doc % 100 = 0),
-p AS (SELECT DISTINCT a.doc, least(a.category, b.category) || '|||' || greatest(a.category, b.category) AS pair FROM dec a JOIN dec b ON a.doc = b.doc AND a.entity < b.entity AND a.category <> b.category WHERE a.doc IN (FROM some))
+@query(""", chosen AS (SELECT DISTINCT doc FROM dec WHERE doc % 100 = 0),
+p AS (SELECT DISTINCT a.doc, least(a.category, b.category) || '|||' || greatest(a.category, b.category) AS pair FROM dec a JOIN dec b ON a.doc = b.doc AND a.entity < b.entity AND a.category <> b.category WHERE a.doc IN (FROM chosen))
 SELECT pair, count(*) AS documents FROM p GROUP BY pair""")
 def concept_pair_counts(s, d):
     t = dec(s, d)
