@@ -27,7 +27,7 @@ def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_runs(batches: Iterator[pa.RecordBatch], slice_: int) -> Iterator[pa.RecordBatch]:
     """Rows of sorted codes and the first of them to be paired, to codes of pairs with their counts."""
     held: list[np.ndarray] = []
     size = 0
@@ -42,11 +42,11 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = offsets - offsets[0]
         for k in range(len(lists)):
             x = flat[offsets[k] : offsets[k + 1]]
-            if len(x) <= SLICE:
+            if len(x) <= slice_:
                 i, j = _triangle(len(x))
                 made = [(x[i] << 32) | x[j]]
             else:
-                made = ((x[i] << 32) | x[i + 1 :] for i in range(first[k], min(first[k] + SLICE, len(x))))
+                made = ((x[i] << 32) | x[i + 1 :] for i in range(first[k], min(first[k] + slice_, len(x))))
             for codes in made:
                 held.append(codes)
                 size += len(codes)
@@ -75,7 +75,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["pair", "n_ab"])
 
 
-def together(df: DataFrame, key: str, value: Column, min_count: int = 8, min_lift: float = 1) -> DataFrame:
+def together(df: DataFrame, key: str, value: Column, min_count: int = 8, min_lift: float = 1, slice_: int = SLICE) -> DataFrame:
     """Pairs of values that at least min_count keys have both of, at least min_lift times as many as chance would give.
 
     Columns: item_a < item_b (by code point), n_ab, n_a, n_b, n (keys with a value), lift = n_ab * n / (n_a * n_b), and
@@ -93,8 +93,8 @@ def together(df: DataFrame, key: str, value: Column, min_count: int = 8, min_lif
         raise ValueError("more than 2**31 items")
     codes = maybe_broadcast(items.select("v", "code"), size)
     records = base.join(codes, "v").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes")).where(F.size("codes") > 1)
-    sliced = records.select("codes", F.explode(F.sequence(F.lit(0), F.size("codes") - 1, F.lit(SLICE))).alias("first"))
-    runs = sliced.mapInArrow(_count_runs, "pair bigint, n bigint")
+    sliced = records.select("codes", F.explode(F.sequence(F.lit(0), F.size("codes") - 1, F.lit(slice_))).alias("first"))
+    runs = sliced.mapInArrow(lambda batches: _count_runs(batches, slice_), "pair bigint, n bigint")
     pairs = runs.repartition("pair").sortWithinPartitions("pair").mapInArrow(_add_up, "pair bigint, n_ab bigint").where(F.col("n_ab") >= min_count)
     a, b = (maybe_broadcast(items.select(F.col("code").alias(f"c_{s}"), F.col("name").alias(f"item_{s}"), F.col("n_i").alias(f"n_{s}")), size) for s in "ab")
     pairs = pairs.select(F.shiftright("pair", 32).alias("c_a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("c_b"), "n_ab")

@@ -136,8 +136,8 @@ def without_repeated_lines(df: DataFrame, key: str = "id", text: str = "text", s
         hashes = lambda seed: F.transform(lines, lambda x: F.when(line_form(x) != "", F.xxhash64(s, line_form(x)) if not seed else F.xxhash64(F.lit(1), line_form(x), s)))
         return df.select(F.col(key), F.col(text), hashes(0).alias("k"), hashes(1).alias("k2")).mapInArrow(clean, f"`{key}` {kind}, clean string, removed int")
     each = base.select("id", F.posexplode("lines").alias("line_no", "line")).where("line IS NOT NULL").select("id", "line_no", "line.*")
-    found = each.join(confirmed, ["k", "k2"], "left_semi").groupBy("id").agg(F.collect_set("line_no").alias("nos"))
-    d = df.select(F.col(key), F.col(text).alias("_t"), F.col(source).alias("_s")).join(found, F.col(key) == F.col("id"), "left")
+    found = each.join(confirmed, ["k", "k2"], "left_semi").groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("nos"))
+    d = df.select(F.col(key), F.col(text).alias("_t"), F.col(source).alias("_s")).join(found, F.col(key) == F.col("_id"), "left")
     lines = F.split("_t", "\n")
     nos = F.when(F.col("_s").isNotNull(), F.col("nos"))
     kept = F.filter(lines, lambda x, i: nos.isNull() | ~F.array_contains(nos, i))

@@ -83,10 +83,9 @@ def test_pairs_of_items(spark, baskets, count, lift):
         assert r.odds_ratio == pytest.approx((r.n_ab + 0.5) * (n - r.n_a - r.n_b + r.n_ab + 0.5) / ((r.n_a - r.n_ab + 0.5) * (r.n_b - r.n_ab + 0.5)))
 
 
-def test_a_record_with_very_many_items(spark, monkeypatch):
-    monkeypatch.setattr(cooccur, "SLICE", 16)
+def test_a_record_with_very_many_items(spark):
     data = [(i, f"v{k:03d}") for i in range(3) for k in range(100)]
-    out = cooccur.together(spark.createDataFrame(data, "id int, v string"), "id", F.col("v"), 3, 0)
+    out = cooccur.together(spark.createDataFrame(data, "id int, v string"), "id", F.col("v"), 3, 0, slice_=16)
     assert out.count() == 100 * 99 // 2 and out.agg(F.min("n_ab"), F.max("n_ab")).first() == (3, 3)
 
 
