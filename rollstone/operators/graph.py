@@ -148,9 +148,9 @@ def collective_walks(paths_: DataFrame, context: DataFrame, per_target: int = 50
     return out.select("doc", "category", "target", "walks", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("weight", F.lit(0)) / F.col("walks")).alias("estimate"))
 
 
-def running_error(samples: DataFrame, key: list[str], order: str, value: str, truth: str) -> DataFrame:
+def running_error(samples: DataFrame, key: list[str], order: list[str], value: str, truth: str) -> DataFrame:
     """samples with n, running_sum, running_mean and running_error (relative to truth, two digits; null where truth is 0)."""
-    w = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = samples.withColumn("n", F.count("*").over(w)).withColumn("running_sum", F.round(F.sum(value).over(w), 2))
     mean = F.col("running_sum") / F.col("n")
     return out.withColumn("running_mean", mean).withColumn("running_error", F.when(F.col(truth) != 0, F.round(F.abs(mean - F.col(truth)) / F.col(truth), 2)))

@@ -16,9 +16,9 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], now: Column, only_new
     cols = [c for c in old.columns if c not in (*key, "created_at", "updated_at")]
     supplied = [c for c in cols if c in new.columns]
     # every aggregate is one struct, so a row isn't mixed from several
-    one = lambda df, cs, s: df.groupBy(*key).agg(F.max(F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)).alias(c) for c in cs), F.lit(1))).alias(s)) if cs else df.select(*key).distinct().withColumn(s, F.lit(None))
-    stored = one(old, [*cols, "created_at", "updated_at"], "o").select(*(F.col(k).alias(f"_o_{k}") for k in key), F.lit(True).alias("_old"), *(F.col(f"o.{c}.col2").alias(f"_o_{c}") for c in [*cols, "created_at", "updated_at"]))
-    given = one(new, supplied, "n").select(*(F.col(k).alias(f"_n_{k}") for k in key), F.lit(True).alias("_new"), *(F.col(f"n.{c}.col2").alias(f"_n_{c}") for c in supplied))
+    one = lambda df, cs, s: df.groupBy(*key).agg(F.max(F.struct(*(F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("v")).alias(c) for c in cs), F.lit(1))).alias(s)) if cs else df.select(*key).distinct().withColumn(s, F.lit(None))
+    stored = one(old, [*cols, "created_at", "updated_at"], "o").select(*(F.col(k).alias(f"_o_{k}") for k in key), F.lit(True).alias("_old"), *(F.col(f"o.{c}.v").alias(f"_o_{c}") for c in [*cols, "created_at", "updated_at"]))
+    given = one(new, supplied, "n").select(*(F.col(k).alias(f"_n_{k}") for k in key), F.lit(True).alias("_new"), *(F.col(f"n.{c}.v").alias(f"_n_{c}") for c in supplied))
     on = None
     for k in key:
         c = F.col(f"_o_{k}").eqNullSafe(F.col(f"_n_{k}"))

@@ -152,9 +152,9 @@ def concept_entities(s, d):
     return search.concept_entities(t, top_concepts(t))
 
 
-@query(" SELECT doc, entity, category, score, s.specificity, kg_count, CAST(row_number() OVER (PARTITION BY doc, entity ORDER BY score DESC NULLS LAST, category) AS INTEGER) AS place FROM dec LEFT JOIN stats s ON name = category WHERE doc % 100 = 0")
+@query(SOME_DOCS + " SELECT doc, entity, category, score, s.specificity, coalesce(kg_count, 0) AS kg_count, CAST(row_number() OVER (PARTITION BY doc, entity ORDER BY score DESC NULLS LAST, category) AS INTEGER) AS place FROM dec LEFT JOIN stats s ON name = category WHERE doc IN (FROM chosen)")
 def document_concepts(s, d):
-    return search.document_concepts(dec(s, d), stats(s, d), _some(s, d))
+    return search.document_concepts(dec(s, d), stats(s, d), _some(s, d)).withColumn("kg_count", F.coalesce("kg_count", F.lit(0)))
 
 
 @query(" SELECT m.doc, m.entity, entity_type, tfidf, coalesce(n_categories, 0) AS n_categories FROM mentions m LEFT JOIN (SELECT entity, count(*) AS n_categories FROM members GROUP BY entity) USING (entity) WHERE m.doc % 100 = 0")
@@ -522,10 +522,10 @@ def concept_components(s, d):
     return components(hierarchy(s, d), "name", "parent")
 
 
-@query(", t AS (SELECT l_orderkey AS rec, l_linenumber AS i, l_quantity AS est, o_totalprice / 5000 AS truth FROM lineitem JOIN orders ON o_orderkey = l_orderkey), r AS (SELECT rec, i, est, truth, count(*) OVER w AS n, round(sum(est) OVER w, 2) AS running_sum FROM t WINDOW w AS (PARTITION BY rec ORDER BY i ROWS UNBOUNDED PRECEDING)) SELECT rec, i, n, running_sum, running_sum / n AS running_mean FROM r")
+@query(", t AS (SELECT l_orderkey AS rec, l_linenumber AS i, l_partkey AS j, l_quantity AS est, o_totalprice / 5000 AS truth FROM lineitem JOIN orders ON o_orderkey = l_orderkey), r AS (SELECT rec, i, j, est, truth, count(*) OVER w AS n, round(sum(est) OVER w, 2) AS running_sum FROM t WINDOW w AS (PARTITION BY rec ORDER BY i, j, est ROWS UNBOUNDED PRECEDING)) SELECT rec, i, j, n, running_sum, running_sum / n AS running_mean FROM r")
 def running_mean(s, d):
-    t = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("rec"), F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("est"), (F.col("o_totalprice") / 5000).alias("truth"))
-    return graph.running_error(t, ["rec"], "i", "est", "truth").select("rec", "i", "n", "running_sum", "running_mean")
+    t = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("rec"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("est"), (F.col("o_totalprice") / 5000).alias("truth"))
+    return graph.running_error(t, ["rec"], ["i", "j", "est"], "est", "truth").select("rec", "i", "j", "n", "running_sum", "running_mean")
 
 
 @query(" SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
@@ -610,7 +610,7 @@ def least_answered(s, d):
     return evaluation.least_answered(docs, docs)
 
 
-@query(", r AS (SELECT category AS name, 'mean' AS method, doc, row_number() OVER (PARTITION BY category ORDER BY avg(score) DESC NULLS LAST, doc) AS place FROM dec WHERE category IN (FROM concepts) GROUP BY ALL), q AS (SELECT category AS name, 'rows' AS method, doc, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, doc) AS place FROM dec WHERE category IN (FROM concepts) GROUP BY ALL), a AS (SELECT * FROM q WHERE place <= 5) SELECT name, method, doc, CAST(place AS INTEGER) AS place FROM a UNION ALL SELECT name, method, doc, CAST(p AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY place, doc) AS p FROM r WHERE (name, doc) NOT IN (SELECT name, doc FROM a)) WHERE p <= 5")
+@query(", r AS (SELECT category AS name, 'mean' AS method, doc, row_number() OVER (PARTITION BY category ORDER BY avg(score) DESC NULLS LAST, doc) AS place FROM dec WHERE category IN (FROM concepts) GROUP BY category, doc), q AS (SELECT category AS name, 'rows' AS method, doc, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, doc) AS place FROM dec WHERE category IN (FROM concepts) GROUP BY category, doc), a AS (SELECT * FROM q WHERE place <= 5) SELECT name, method, doc, CAST(place AS INTEGER) AS place FROM a UNION ALL SELECT name, method, doc, CAST(p AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY place, doc) AS p FROM r WHERE (name, doc) NOT IN (SELECT name, doc FROM a)) WHERE p <= 5")
 def methods_side_by_side(s, d):
     from pyspark.sql import Window as W
 

@@ -99,7 +99,7 @@ def test_two_and_three_hops(spark):
 
 def test_running_error(spark):
     s = spark.createDataFrame([("r", 1, 2.0, 4.0), ("r", 2, 6.0, 4.0), ("z", 1, 1.0, 0.0)], "rec string, i int, v double, t double")
-    got = {(r.rec, r.i): (r.running_mean, r.running_error) for r in graph.running_error(s, ["rec"], "i", "v", "t").collect()}
+    got = {(r.rec, r.i): (r.running_mean, r.running_error) for r in graph.running_error(s, ["rec"], ["i"], "v", "t").collect()}
     assert got == {("r", 1): (2.0, 0.5), ("r", 2): (4.0, 0.0), ("z", 1): (1.0, None)}
 
 
