@@ -59,4 +59,4 @@ def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """df with chunk: rows in a total order, so many to a chunk."""
     from .numbering import numbered
 
-    return numbered(df, order, "_row").withColumn("chunk", F.floor(F.col("_row") / size)).drop("_row")
+    return numbered(df, order, "_at").withColumn("chunk", F.floor(F.col("_at") / size)).drop("_at")

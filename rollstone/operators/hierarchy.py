@@ -67,6 +67,8 @@ def _unite_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _double(links: DataFrame, rounds: int) -> DataFrame:
     """(id, top, off, cyclic) by pointer doubling: links (id, top, off), a root being its own top with off 0."""
     links = durable(links, "links")
+    # by the links as given: after some rounds a node of a cycle may point at itself
+    roots = durable(links.where("id = top").select(F.col("id").alias("top"), F.lit(True).alias("root")), "roots")
     for _ in range(rounds):
         on = links.select(F.col("id").alias("top"), F.col("top").alias("t"), F.col("off").alias("o"))
         new = durable(links.join(on, "top").select("id", F.col("t").alias("top"), (F.col("off") + F.col("o")).alias("off")), "links")
@@ -75,8 +77,7 @@ def _double(links: DataFrame, rounds: int) -> DataFrame:
         links = new
         if not moved:
             break
-    roots = links.where("id = top").select("id")
-    return links.join(roots.select(F.col("id").alias("top"), F.lit(True).alias("root")), "top", "left").select("id", "top", "off", F.col("root").isNull().alias("cyclic"))
+    return links.join(roots, "top", "left").select("id", "top", "off", F.col("root").isNull().alias("cyclic"))
 
 
 class Hierarchy:
