@@ -50,7 +50,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccur.together(table(spark, d, "document_entity_category"), "news_analytics", name_form("category"), min_count=8, min_lift=1)
+    pairs = cooccur.together(table(spark, d, "document_entity_category"), "news_analytics", name_form("category"), min_count=8, min_lift=1)
+    return pairs.withColumns({c: F.round(c, 6) for c in ("lift", "odds_ratio")})
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -78,5 +79,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_FORM = "nullif(trim(regexp_replace(category, '[ \\t_]+', '_', 'g'), '_'), '')"
+_HAVE = f"have AS (SELECT DISTINCT news_analytics AS id, {_FORM} AS c FROM document_entity_category WHERE news_analytics IS NOT NULL AND {_FORM} IS NOT NULL)"
+_PAIRS = f"""WITH {_HAVE}, n AS (SELECT count(DISTINCT id) AS n FROM have), single AS (SELECT c, count(*) AS k FROM have GROUP BY c),
+pairs AS (SELECT a.c AS item_a, b.c AS item_b, count(*) AS n_ab FROM have a JOIN have b ON a.id = b.id AND a.c < b.c GROUP BY ALL HAVING count(*) >= 8),
+counted AS (SELECT item_a, item_b, n_ab, x.k AS n_a, y.k AS n_b, n FROM pairs JOIN single x ON x.c = item_a JOIN single y ON y.c = item_b, n)"""
+_WHITE = "[ \\t\\r\\n\\f\\v\\x{00A0}]+"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"""WITH l AS (SELECT id, lower(regexp_replace(source, '^{_WHITE}|{_WHITE}$', '', 'g')) AS s, string_split(text, chr(10)) AS lines FROM news_analytics WHERE id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL),
+e AS (SELECT id, s, unnest(lines) AS line, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_no FROM l),
+f AS (SELECT id, s, line_no, lower(trim(regexp_replace(replace(line, chr(8217), chr(39)), '{_WHITE}', ' ', 'g'), ' ')) AS form FROM e),
+bad AS (SELECT s, form FROM f WHERE form <> '' GROUP BY ALL HAVING count(DISTINCT id) >= 8) SELECT DISTINCT id, line_no FROM f JOIN bad USING (s, form)""",
+        "p4_found": """WITH w AS (SELECT DISTINCT id, list_filter(regexp_split_to_array(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM news_analytics WHERE id IS NOT NULL),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 5 >= 3 * (x.n + y.n - o)""",
+        "p5_found": f"""WITH {_HAVE}, n AS (SELECT id, count(*) AS n FROM have GROUP BY id HAVING count(*) >= 5), h AS (SELECT have.* FROM have JOIN n USING (id)),
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM h a JOIN h b ON a.c = b.c AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 4 >= 3 * (x.n + y.n - o)""",
+        "p6_found": _PAIRS + " SELECT item_a AS category_a, item_b AS category_b FROM counted WHERE n_ab * n >= 3 * n_a * n_b",
+        "p6_pairs": _PAIRS + " SELECT *, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 6) AS odds_ratio FROM counted WHERE n_ab * n >= n_a * n_b",
+        "p9_found": """WITH g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 148), lambda i: substring(text, i, 150))) AS g FROM documents WHERE length(text) >= 150),
+k AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1), s AS (SELECT doc_id, g FROM g SEMI JOIN k USING (g))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id""",
+    }
