@@ -75,7 +75,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["pair", "n_ab"])
 
 
-def together(df: DataFrame, key: str, value: Column, min_count: int = 8, min_lift: float = 1, slice_: int = SLICE) -> DataFrame:
+def together(df: DataFrame, key: str, value: Column, min_count: int = 1, min_lift: float = 0, slice_: int = SLICE) -> DataFrame:
     """Pairs of values that at least min_count keys have both of, at least min_lift times as many as chance would give.
 
     Columns: item_a < item_b (by code point), n_ab, n_a, n_b, n (keys with a value), lift = n_ab * n / (n_a * n_b), and

@@ -50,7 +50,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = cooccur.together(table(spark, d, "document_entity_category"), "news_analytics", name_form("category"), min_count=8, min_lift=1)
+    pairs = cooccur.together(table(spark, d, "document_entity_category"), "news_analytics", name_form("category"), min_count=1, min_lift=0)
     return pairs.withColumns({c: F.round(c, 6) for c in ("lift", "odds_ratio")})
 
 

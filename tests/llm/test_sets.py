@@ -83,6 +83,16 @@ def test_pairs_of_items(spark, baskets, count, lift):
         assert r.odds_ratio == pytest.approx((r.n_ab + 0.5) * (n - r.n_a - r.n_b + r.n_ab + 0.5) / ((r.n_a - r.n_ab + 0.5) * (r.n_b - r.n_ab + 0.5)))
 
 
+def test_registered_pairs_have_no_threshold(spark, tmp_path):
+    from rollstone.llm import queries
+
+    data = [(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "b"), (3, "c"), (4, "b"), (5, "b"), (6, "c"), (7, "c"), (None, "a"), (8, None)]
+    spark.createDataFrame(data, "news_analytics int, category string").write.parquet(str(tmp_path / "document_entity_category.parquet"))
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n, r.lift) for r in queries.p6_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (1, 2, 4, 7, 0.875), ("a", "c"): (1, 2, 4, 7, 0.875), ("b", "c"): (1, 4, 4, 7, 0.4375)}
+    assert queries.p6_found(spark, str(tmp_path)).count() == 0
+
+
 def test_a_record_with_very_many_items(spark):
     data = [(i, f"v{k:03d}") for i in range(3) for k in range(100)]
     out = cooccur.together(spark.createDataFrame(data, "id int, v string"), "id", F.col("v"), 3, 0, slice_=16)
