@@ -29,20 +29,20 @@ def paths(members: DataFrame, triples: DataFrame, wikilinks: DataFrame, context:
     context: doc, category, entity. hop is null for a direct link (length 1), else the object of the member's triple (length 2). Members of the concept that are in the
     document are no targets, and no path goes through an entity of the document.
     """
-    ctx = context.select("doc", "category", F.col("entity").alias("target"))
+    ctx = context.select("doc", "category", F.col("entity").alias("target")).distinct()
     own = members.select("category", F.col("entity").alias("target"))
     ctx = ctx.join(own, ["category", "target"], "left_anti")
     inside = context.select("doc", "category", F.col("entity").alias("hop")).distinct()
     links = undirected(wikilinks)
-    # from the context's side: only what touches a target is joined on
+    # from the context's side: only what touches a target is joined on; every side is distinct, so the paths are and needn't be shuffled for it
     touching = ctx.join(links.withColumnRenamed("a", "target"), "target")
     present = context.select("doc", "category", F.col("entity").alias("member")).distinct()
-    free = members.select("category", F.col("entity").alias("member"))
+    free = members.select("category", F.col("entity").alias("member")).distinct()
     direct = touching.select("doc", "category", F.col("b").alias("member"), "target").join(free, ["category", "member"]).join(present, ["doc", "category", "member"], "left_anti")
     direct = direct.select("doc", "category", "member", F.lit(None).cast("string").alias("hop"), "target")
     step = triples.select(F.col("subject").alias("member"), F.col("object").alias("hop")).where("member IS NOT NULL AND hop IS NOT NULL").distinct()
     via = touching.select("doc", "category", F.col("b").alias("hop"), "target").join(inside, ["doc", "category", "hop"], "left_anti").join(step, "hop").join(free, ["category", "member"]).join(present, ["doc", "category", "member"], "left_anti")
-    return direct.unionByName(via.select("doc", "category", "member", "hop", "target").where("member <> target")).distinct()
+    return direct.unionByName(via.select("doc", "category", "member", "hop", "target").where("member <> target"))
 
 
 def tree_edges(paths_: DataFrame) -> DataFrame:

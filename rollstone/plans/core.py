@@ -415,19 +415,16 @@ gcounts AS (SELECT doc, category, target, CAST(CASE WHEN hop IS NULL THEN 1 ELSE
 
 
 class Graph:
-    """The tables of the graph queries. Documents are a stated set of query documents; members, triples and links are whole tables."""
+    """The tables of the graph queries, whole: all orders as documents, all members and triples, and the links between parts and their suppliers, used both ways."""
 
     def __init__(self, s: SparkSession, d: str):
         line, part = table(s, d, "lineitem"), table(s, d, "part")
         node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
         self.members = part.select(F.concat(F.lit("Category:"), "p_brand").alias("category"), node("P", "p_partkey").alias("entity")).distinct()
-        supplied = line.select(node("P", "l_partkey").alias("subject"), node("S", "l_suppkey").alias("object"))
+        self.links = line.select(node("P", "l_partkey").alias("subject"), node("S", "l_suppkey").alias("object")).distinct()
         placed = table(s, d, "supplier").select(node("S", "s_suppkey").alias("subject"), node("N", "s_nationkey").alias("object"))
-        self.triples = supplied.union(placed).distinct()
-        ordered = line.select(node("P", "l_partkey").alias("subject"), F.concat(F.lit("O"), (F.col("l_orderkey") % 97).cast("string")).alias("object"))
-        first = line.where("l_linenumber = 1").select(node("S", "l_suppkey").alias("subject"), node("P", "l_partkey").alias("object"))
-        self.links = ordered.union(first).distinct()
-        docs = line.where("l_orderkey <= 120").select(F.col("l_orderkey").alias("doc"), node("P", "l_partkey").alias("entity")).distinct()
+        self.triples = self.links.union(placed).distinct()
+        docs = line.select(F.col("l_orderkey").alias("doc"), node("P", "l_partkey").alias("entity")).distinct()
         concepts = top_concepts(self.members)
         self.context = docs.select("doc", F.explode(F.array(*map(F.lit, concepts))).alias("category"), "entity")
         self.members_of = self.members.where(F.col("category").isin(concepts))
@@ -500,8 +497,8 @@ SELECT source, target, (SELECT count(*) FROM und WHERE a = source AND b = target
 (SELECT count(*) FROM und x JOIN und y ON x.b = y.a WHERE x.a = source AND y.b = target AND x.b <> target AND x.b <> source) AS two,
 (SELECT count(*) FROM und x JOIN und y ON x.b = y.a JOIN und z ON y.b = z.a WHERE x.a = source AND z.b = target AND x.b <> target AND y.b <> source AND x.b <> y.b AND y.b <> target) AS three FROM s, t""")
 def three_hop_counts(s, d):
-    links = table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("subject"), F.concat(F.lit("n"), (F.col("s_suppkey") % 7).cast("string")).alias("object")).distinct()
-    return graph.three_hop_counts(links, links.select(F.col("subject").alias("source")), links.select(F.col("object").alias("target")))
+    links = Graph(s, d).links
+    return graph.three_hop_counts(links, links.select(F.col("object").alias("source")), links.select(F.col("subject").alias("target")))
 
 
 @query(""", roots AS (SELECT parent AS root FROM hierarchy GROUP BY parent ORDER BY count(*) DESC, parent LIMIT 3), und AS (SELECT name AS a, parent AS b FROM hierarchy WHERE name <> parent UNION SELECT parent, name FROM hierarchy WHERE name <> parent),

@@ -77,6 +77,27 @@ def test_paths_keep_out_of_the_document(spark):
     assert len(b) == 40 and any(r.success for r in b) and all(r.probability > 0 or not r.success for r in b)
 
 
+def test_graph_queries_take_all_documents_and_links(spark, tmp_path):
+    brand = {1: "a", 2: "a", 3: "a", 4: "b", 5: "b", 6: "c"}
+    line = [(7, 1, 1, 1), (7, 2, 6, 1), (130, 1, 4, 1), (130, 2, 6, 2), (130, 3, 6, 2), (999, 1, 2, 3), (999, 2, 5, 2), (5000, 2, 3, 2), (5000, 3, 1, 3)]
+    save = lambda data, cols, name: spark.createDataFrame(data, cols).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save(list(brand.items()), "p_partkey int, p_brand string", "part")
+    save(line, "l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int", "lineitem")
+    save([(1, 0), (2, 0), (3, 1)], "s_suppkey int, s_nationkey int", "supplier")
+    supplied = {(p, x) for _, _, p, x in line}
+    want = set()
+    for doc in {x[0] for x in line}:
+        inside = {p for o, _, p, _ in line if o == doc}
+        for c in "ab":
+            for m in (p for p in brand if brand[p] == c and p not in inside):
+                want |= {(doc, f"Category:{c}", f"P{m}", f"S{x}", f"P{t}") for p, x in supplied if p == m for t, y in supplied if y == x and t in inside and brand[t] != c}
+    assert {w[0] for w in want} > {130}
+    assert rows(QUERIES["graph_paths"](spark, str(tmp_path))) == want
+    assert {(r.doc, r.category) for r in QUERIES["concept_relevance"](spark, str(tmp_path)).collect()} >= {(w[0], w[1]) for w in want}
+    three = QUERIES["three_hop_counts"](spark, str(tmp_path))
+    assert three.count() == 3 * 6 and {(r.source[1:], r.target[1:]) for r in three.where("one = 1").collect()} == {(str(x), str(p)) for p, x in supplied}
+
+
 def test_connectivity_of_small_graphs(spark):
     e = lambda data: spark.createDataFrame(data, "subject int, object int")
     base = [(3, 4)]
