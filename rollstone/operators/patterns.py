@@ -5,6 +5,8 @@ A pattern is a set of concepts, keyed by its sorted names joined by commas. patt
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +60,13 @@ def children(patterns: DataFrame, covered_: DataFrame, dec: DataFrame, least_sco
     return out.select(F.col("name").alias("parent"), "category", "docs", "n_entities", "score", set_key("categories").alias("name"), "categories")
 
 
-def mine(dec: DataFrame, seeds: DataFrame, max_level: int, least_score: float = 0.5, least_docs: int = 5) -> DataFrame:
+def mine(dec: DataFrame, seeds: DataFrame, max_level: int | None = None, least_score: float = 0.5, least_docs: int = 5) -> DataFrame:
     """name, level, document_count, relevance of all patterns with at least least_docs documents, level by level, a whole level in one job.
 
-    max_level bounds the lattice; a level ends the search when it has no pattern left.
+    A level without patterns ends the search; max_level, if given, ends it earlier.
     """
     level, found = seeds.select("name", F.array("name").alias("categories")), None
-    for k in range(1, max_level + 1):
+    for k in count(1):
         level = durable(level.dropDuplicates(["name"]), "level")
         cov = durable(covered(level, dec, least_score), "covered")
         kept = coverage(cov).where(F.col("document_count") >= least_docs)

@@ -364,7 +364,7 @@ def pattern_children(s, d):
 @query(None)
 def pattern_mining(s, d):
     t = dec(s, d)
-    return patterns.mine(t, t.where("score >= 0.3").select(F.col("category").alias("name")).distinct(), 2, 0.3, 5)
+    return patterns.mine(t, t.where("score >= 0.3").select(F.col("category").alias("name")).distinct(), least_score=0.3, least_docs=5)
 
 
 @query(""", chosen AS (SELECT DISTINCT doc FROM dec WHERE doc % 100 = 0),

@@ -179,6 +179,21 @@ def test_patterns(dec, spark):
     assert "X|||Y" in {r.pair for r in pairs.collect()}
 
 
+def test_mining_goes_on_until_a_level_is_empty(spark):
+    data = [(d, f"e{i}", f"C{i}", 0.9) for d in range(3) for i in range(4)]
+    t = spark.createDataFrame(data, "doc int, entity string, category string, score double")
+    found = patterns.mine(t, t.select(F.col("category").alias("name")).distinct(), least_docs=2)
+    assert sorted((r.level, r["count"]) for r in found.groupBy("level").count().collect()) == [(1, 4), (2, 6), (3, 4), (4, 1)]
+
+
+def test_registered_mining_has_no_last_level(spark, monkeypatch):
+    from rollstone.plans import core
+
+    data = [(d, f"e{i}", f"C{i}", 0.9) for d in range(5) for i in range(3)]
+    monkeypatch.setattr(core, "dec", lambda s, d: s.createDataFrame(data, "doc int, entity string, category string, score double"))
+    assert ("C0,C1,C2", 3, 5) in rows(QUERIES["pattern_mining"](spark, "").select("name", "level", "document_count"))
+
+
 def test_days_around(spark):
     days = spark.createDataFrame([("s", "2024-01-10"), ("s", "2024-03-01")], "symbol string, date string").withColumn("date", F.to_date("date"))
     items = spark.createDataFrame([("2024-01-03", "a"), ("2024-01-02", "b"), ("2024-01-10", "a"), ("2024-01-17", "c"), ("2024-01-18", "c"), (None, "x")], "date string, item string").withColumn("date", F.to_date("date"))
