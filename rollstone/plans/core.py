@@ -372,7 +372,7 @@ p AS (SELECT DISTINCT a.doc, least(a.category, b.category) || '|||' || greatest(
 SELECT pair, count(*) AS documents FROM p GROUP BY pair""")
 def concept_pair_counts(s, d):
     t = dec(s, d)
-    return patterns.pair_counts(patterns.concept_pairs(t, t.where("doc % 100 = 0").select("doc").distinct()))
+    return patterns.pair_counts(patterns.concept_pairs(t, t.select("doc").distinct()))
 
 
 BARS = """, bars AS (SELECT user_id AS symbol, CAST(ts AS DATE) AS date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL)"""
@@ -391,7 +391,7 @@ def daily_delta(s, d):
 def around_days(s, d):
     o = table(s, d, "orders").withColumn("date", F.to_date("o_orderdate"))
     items = o.select("date", F.concat("o_orderpriority", (F.col("o_custkey") % 50).cast("string")).alias("item"))
-    days = o.where("o_orderkey % 20 = 0").select(F.col("o_orderstatus").alias("symbol"), "date").distinct()
+    days = o.select(F.col("o_orderstatus").alias("symbol"), "date").distinct()
     return patterns.around_days(days, items)
 
 

@@ -200,6 +200,19 @@ def test_days_around(spark):
     assert {(str(r.date), r.previous, r.same, r.following) for r in patterns.around_days(days, items).collect()} == {("2024-01-10", 1, 1, 1), ("2024-03-01", 0, 0, 0)}
 
 
+def test_pair_counts_and_days_take_all_rows(spark, tmp_path, monkeypatch):
+    from rollstone.plans import core
+
+    data = [(7, "A", "X"), (7, "B", "Y"), (100, "A", "X"), (100, "B", "Y"), (101, "A", "X"), (101, "A", "Y"), (103, "C", "Y"), (103, "A", "Z")]
+    monkeypatch.setattr(core, "dec", lambda s, d: s.createDataFrame(data, "doc int, entity string, category string"))
+    assert rows(QUERIES["concept_pair_counts"](spark, "").select("pair", "documents")) == {("X|||Y", 2), ("Y|||Z", 1)}
+    o = [(20, "2024-01-10", "F", "1", 1), (21, "2024-01-12", "F", "1", 2), (22, "2024-01-12", "O", "1", 51), (23, "2024-02-20", "P", "2", 3)]
+    df = spark.createDataFrame(o, "o_orderkey int, o_orderdate string, o_orderstatus string, o_orderpriority string, o_custkey int")
+    df.withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.symbol, str(r.date), r.previous, r.same, r.following) for r in QUERIES["around_days"](spark, str(tmp_path)).collect()}
+    assert got == {("F", "2024-01-10", 0, 1, 2), ("F", "2024-01-12", 1, 2, 0), ("O", "2024-01-12", 1, 2, 0), ("P", "2024-02-20", 0, 1, 0)}
+
+
 def test_upserts(spark):
     t = lambda x: F.lit(x).cast("timestamp")
     old = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), (None, 3, "z")], "k string, v int, w string").withColumn("created_at", t("2020-01-01")).withColumn("updated_at", t("2020-01-01"))
