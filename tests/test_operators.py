@@ -118,6 +118,15 @@ def test_two_and_three_hops(spark):
     assert rows(graph.common_neighbours(links, pairs)) == {("a", "d", 0, 1), ("a", "b", 1, 1)}
 
 
+def test_siblings_of_a_large_parent(spark, monkeypatch):
+    from rollstone.plans import core
+
+    data = [(f"n{i:02d}", "hot") for i in range(30)] + [("a", "p"), ("b", "p")]
+    monkeypatch.setattr(core, "hierarchy", lambda s, d: s.createDataFrame(data, "name string, parent string"))
+    got = rows(QUERIES["siblings"](spark, "").select("name", "sibling", "parent"))
+    assert got == {(x, y, p) for x, p in data for y, q in data if p == q and x < y}
+
+
 def test_running_error(spark):
     s = spark.createDataFrame([("r", 1, 2.0, 4.0), ("r", 2, 6.0, 4.0), ("z", 1, 1.0, 0.0)], "rec string, i int, v double, t double")
     got = {(r.rec, r.i): (r.running_mean, r.running_error) for r in graph.running_error(s, ["rec"], ["i"], "v", "t").collect()}
