@@ -62,24 +62,24 @@ def subtopics(dec: DataFrame, docs: DataFrame, concepts: list[str], stats: DataF
     return out.select("category", "docs", "coverage", "n_entities", F.round(diversity, 6).alias("diversity"), "specificity", F.round(F.col("coverage") + diversity + F.coalesce("specificity", F.lit(0.0)), 6).alias("rank_score"))
 
 
-def overlap_groups(ranked: DataFrame, dec: DataFrame, docs: DataFrame, most: int = 200) -> DataFrame:
-    """category, group_no: the top concepts in their order, each put to the first group that shares an entity with it.
+def overlap_groups(ranked: DataFrame, dec: DataFrame, docs: DataFrame) -> DataFrame:
+    """category, group_no: all ranked concepts in their order, each put to the first group that shares an entity with it.
 
-    Only the first `most` concepts of the ranking are grouped (a top-k report); the pass depends on the order and runs in one task of that size.
+    The pass depends on the order and runs in one task that holds the concepts and their entity sets; each entity names the first group it is in.
     """
-    top = ranked.orderBy(F.desc("rank_score"), "category").limit(most)
-    entities = dec.join(docs.select("doc"), "doc", "left_semi").join(top.select("category", "rank_score"), "category").groupBy("category", "rank_score").agg(F.collect_set("entity").alias("entities"))
+    entities = dec.join(docs.select("doc"), "doc", "left_semi").join(ranked.select("category", "rank_score"), "category").groupBy("category", "rank_score").agg(F.collect_set("entity").alias("entities"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank_score", "category"], ascending=[False, True])
-        groups: list[set] = []
-        numbers = []
-        for e in map(set, pdf["entities"]):
-            at = next((i for i, g in enumerate(groups) if g & e), len(groups))
-            if at == len(groups):
-                groups.append(set())
-            groups[at] |= e
-            numbers.append(at + 1)
+        first: dict[str, int] = {}
+        numbers: list[int] = []
+        n = 0
+        for entities in pdf["entities"]:
+            at = min((first[e] for e in entities if e in first), default=n + 1)
+            n = max(n, at)
+            for e in entities:
+                first[e] = min(first.get(e, at), at)
+            numbers.append(at)
         return pd.DataFrame({"category": pdf["category"], "group_no": numbers})
 
     return entities.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(group, "category string, group_no int")

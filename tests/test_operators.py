@@ -34,6 +34,23 @@ def test_drilldown_leaves_used_entities_out(dec, spark):
     assert search.group_tree(groups, search.subtopics(dec, docs, ["X"], stats)).count() == 2
 
 
+def test_all_subtopics_are_grouped(spark):
+    import random
+
+    r = random.Random(5)
+    sets = {f"c{i:03d}": {f"e{r.randrange(900)}" for _ in range(r.randint(1, 3))} for i in range(450)}
+    t = spark.createDataFrame([("d", e, c) for c, es in sets.items() for e in es], "doc string, entity string, category string")
+    ranked = spark.createDataFrame([(c, float(1000 - i // 2)) for i, c in enumerate(sets)], "category string, rank_score double")
+    groups, want = [], set()
+    for c, es in sets.items():
+        at = next((i for i, g in enumerate(groups) if g & es), len(groups))
+        groups += [set()] * (at == len(groups))
+        groups[at] = groups[at] | es
+        want.add((c, at + 1))
+    got = search.overlap_groups(ranked, t, spark.createDataFrame([("d",)], "doc string"))
+    assert rows(got) == want and search.group_tree(got, ranked).count() == 450
+
+
 def test_pages_and_histogram(dec, spark):
     docs = spark.createDataFrame([(i, i % 3 / 1.0) for i in range(25)], "doc int, score double")
     order = [F.desc("score"), F.col("doc")]
