@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,18 +55,20 @@ def seeds(totals_: DataFrame, dec: DataFrame, known: DataFrame, least_concept: f
     return rows.where((F.col("concept_score") > least_concept) & (F.col("by_specificity") >= least_total)).select(F.col("category").alias("name")).distinct().join(known.select("name"), "name", "left_anti")
 
 
-def expand_concepts(dec: DataFrame, hierarchy: DataFrame, depth: int = 20, floor: float = 0.03) -> DataFrame:
+def expand_concepts(dec: DataFrame, hierarchy: DataFrame, depth: int | None = None, floor: float = 0.03) -> DataFrame:
     """doc, entity, category, score, step: concepts with the parents they are lifted to.
 
     A document's threshold is the mean of its scores, but at least floor; a concept that reaches it is lifted to its parents, whose score is the best child's
     score times 0.95 to the power of the parent's number of children. Parents that the document has already aren't added; lifting goes on from new rows
-    that reach the threshold, until none do or depth is reached, so cycles end.
+    that reach the threshold, until none do, so cycles end; depth, if given, ends it earlier.
     """
     links = hierarchy.groupBy("parent").agg(F.count("*").alias("children"), F.collect_set("name").alias("names")).select("parent", "children", F.explode("names").alias("category"))
     scored = dec.where("score IS NOT NULL").select("doc", "entity", "category", "score")
     limit = durable(scored.groupBy("doc").agg(F.greatest(F.avg("score"), F.lit(floor)).alias("least")), "limits")
     known = durable(scored.withColumn("step", F.lit(0)), "expanded")
-    for step in range(1, depth + 1):
+    for step in count(1):
+        if depth is not None and step > depth:
+            break
         front = known.where(F.col("step") == step - 1).join(limit, "doc").where("score >= least")
         up = front.join(links, "category").groupBy("doc", "entity", F.col("parent").alias("category")).agg(F.max(F.col("score") * drift("children")).alias("score"))
         new = durable(up.join(known.select("doc", "category").distinct(), ["doc", "category"], "left_anti").withColumn("step", F.lit(step)), "new")

@@ -305,7 +305,7 @@ def seed_patterns(s, d):
 
 @query(None)
 def expanded_concepts(s, d):
-    return scoring.expand_concepts(dec(s, d), hierarchy(s, d), depth=5)
+    return scoring.expand_concepts(dec(s, d), hierarchy(s, d))
 
 
 @query(""", per AS (SELECT news_analytics AS doc, entity, min(CASE WHEN entity_type = 'ACTION' THEN 1 ELSE 0 END) AS verb FROM document_entity WHERE news_analytics IS NOT NULL AND entity IS NOT NULL AND (entity_type IS NULL OR entity_type NOT IN ('DATE', 'TIME')) GROUP BY ALL)

@@ -164,6 +164,16 @@ def test_expansion_ends_in_cycles(spark):
     assert got == pytest.approx({("a", 0): 0.9, ("z", 0): 0.1, ("b", 1): 0.9 * 0.95**2, ("c", 2): 0.9 * 0.95**3}, abs=1e-5)
 
 
+def test_expansion_has_no_last_step(spark, monkeypatch):
+    from rollstone.plans import core
+
+    data = [("d", "e", "c00", 0.9)] + [("d", "f", f"z{i}", 0.01) for i in range(20)]
+    monkeypatch.setattr(core, "dec", lambda s, d: s.createDataFrame(data, "doc string, entity string, category string, score double"))
+    monkeypatch.setattr(core, "hierarchy", lambda s, d: s.createDataFrame([(f"c{i:02d}", f"c{i + 1:02d}") for i in range(23)], "name string, parent string"))
+    got = {r.category: r.step for r in QUERIES["expanded_concepts"](spark, "").where("step > 0").collect()}
+    assert got == {f"c{i:02d}": i for i in range(1, 24)}
+
+
 def test_linking(spark):
     m = spark.createDataFrame([("d", "A", "ORG"), ("d", "A", "ACTION"), ("d", "V", "ACTION"), ("d", "N", None), ("d", "T", "DATE"), ("d", "It", "ORG")], "doc string, entity string, label string")
     k = spark.createDataFrame([("A", "Category:x"), ("A", "Category:a_stubs")], "entity string, category string")
