@@ -114,6 +114,9 @@ def without_repeated_lines(df: DataFrame, key: str = "id", text: str = "text", s
     confirmed = _confirmed(base, least)
     n = confirmed.count()
     kind = df.schema[key].dataType.simpleString()
+    lines = F.when(F.col(source).isNotNull(), F.split(text, "\n"))
+    s = source_form(source)
+    hashes = lambda seed: F.transform(lines, lambda x: F.when(line_form(x) != "", F.xxhash64(s, line_form(x)) if not seed else F.xxhash64(F.lit(1), line_form(x), s)))
     if n <= limit:
         rows = confirmed.select("k", "k2").toPandas()  # counted: at most limit rows
         sure = df.sparkSession.sparkContext.broadcast(set(zip(rows["k"].tolist(), rows["k2"].tolist())))
@@ -131,14 +134,12 @@ def without_repeated_lines(df: DataFrame, key: str = "id", text: str = "text", s
                     gone.append(len(k) - len(kept))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(gone, pa.int32())], [key, "clean", "removed"])
 
-        lines = F.when(F.col(source).isNotNull(), F.split(text, "\n"))
-        s = source_form(source)
-        hashes = lambda seed: F.transform(lines, lambda x: F.when(line_form(x) != "", F.xxhash64(s, line_form(x)) if not seed else F.xxhash64(F.lit(1), line_form(x), s)))
         return df.select(F.col(key), F.col(text), hashes(0).alias("k"), hashes(1).alias("k2")).mapInArrow(clean, f"`{key}` {kind}, clean string, removed int")
-    each = base.select("id", F.posexplode("lines").alias("line_no", "line")).where("line IS NOT NULL").select("id", "line_no", "line.*")
-    found = each.join(confirmed, ["k", "k2"], "left_semi").groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("nos"))
-    d = df.select(F.col(key), F.col(text).alias("_t"), F.col(source).alias("_s")).join(found, F.col(key) == F.col("_id"), "left")
+    # a row's own text and source say what it loses, whatever its key: lines are found again by both
+    d = df.select(F.col(key), F.col(text).alias("_t"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_h2"), s.alias("_s"), hashes(0).alias("k"), hashes(1).alias("k2"))
+    own = ["_h", "_h2", "_s"]
+    each = d.where("_t IS NOT NULL AND _s IS NOT NULL").dropDuplicates(own).select(*own, F.posexplode(F.arrays_zip("k", "k2")).alias("line_no", "line")).select(*own, "line_no", "line.*")
+    found = each.join(confirmed, ["k", "k2"], "left_semi").groupBy(*own).agg(F.collect_set("line_no").alias("nos"))
     lines = F.split("_t", "\n")
-    nos = F.when(F.col("_s").isNotNull(), F.col("nos"))
-    kept = F.filter(lines, lambda x, i: nos.isNull() | ~F.array_contains(nos, i))
-    return d.select(F.col(key), F.when(F.col("_t").isNotNull(), F.array_join(kept, "\n")).alias("clean"), F.when(F.col("_t").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).alias("removed"))
+    kept = F.filter(lines, lambda x, i: F.col("nos").isNull() | ~F.array_contains("nos", i))
+    return d.join(found, own, "left").select(F.col(key), F.when(F.col("_t").isNotNull(), F.array_join(kept, "\n")).alias("clean"), F.when(F.col("_t").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).alias("removed"))

@@ -165,3 +165,12 @@ def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, text string")
     pairs, members = neardup.similar_sets(df, "id", F.col("text"))
     assert neardup.expand_sets(pairs, members).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_null_and_doubled_keys_are_cleaned_by_their_own_lines(spark, limit):
+    data = [(i, f"notice\nown {i}", "a") for i in range(9)] + [(None, "x\nnotice", "a"), (0, "y\nz\nnotice", " A"), (0, "notice\nw", "b"), (1, "notice", None), (2, None, "a")]
+    df = spark.createDataFrame(data, "id int, text string, source string")
+    got = sorted(map(repr, (tuple(r) for r in lines.without_repeated_lines(df, least=8, limit=limit).collect())))
+    want = [(i, f"own {i}", 1) for i in range(9)] + [(None, "x", 1), (0, "y\nz", 1), (0, "notice\nw", 0), (1, "notice", 0), (2, None, 0)]
+    assert got == sorted(map(repr, want))
