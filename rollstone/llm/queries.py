@@ -102,6 +102,9 @@ o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM h a JOIN h b ON a.c
 SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 4 >= 3 * (x.n + y.n - o)""",
         "p6_found": _PAIRS + " SELECT item_a AS category_a, item_b AS category_b FROM counted WHERE n_ab * n >= 3 * n_a * n_b",
         "p6_pairs": _PAIRS + " SELECT *, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 6) AS odds_ratio FROM counted WHERE n_ab * n >= n_a * n_b",
+        "p9_extent": """WITH d AS (SELECT doc_id, text, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars FROM documents), g AS (SELECT doc_id, unnest(range(1, length(text) - 148)) AS i, unnest(list_transform(range(1, length(text) - 148), lambda i: substring(text, i, 150))) AS g FROM d WHERE length(text) >= 150),
+k AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1), s AS (SELECT doc_id, least(150, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 150)) AS fresh FROM g SEMI JOIN k USING (g)), c AS (SELECT doc_id, CAST(sum(fresh) AS BIGINT) AS n FROM s GROUP BY doc_id)
+SELECT doc_id, n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(n, 0) / n_chars ELSE 0.0 END AS shared_part FROM d LEFT JOIN c USING (doc_id)""",
         "p9_found": """WITH g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 148), lambda i: substring(text, i, 150))) AS g FROM documents WHERE length(text) >= 150),
 k AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1), s AS (SELECT doc_id, g FROM g SEMI JOIN k USING (g))
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id""",

@@ -73,6 +73,9 @@ def test_shared_spans_are_those_of_brute_force(spark, texts, n):
     have = [(k, t) for k, t in texts if t]
     want = {(a, b) for (a, x), (b, y) in itertools.combinations(have, 2) if substring(x, y, n)}
     assert rows(spans.shared_pairs(df, length=n)) == want
+    # full sketches, many ranges, and anchors grouped by joins change nothing
+    assert rows(spans.shared_pairs(df, length=n, load=10, range_=100, hot=1)) == want
+    assert rows(spans.shared_pairs(df, length=n, load=1, hot=4)) == want
 
 
 def test_extent_of_shared_spans(spark, texts):
@@ -87,6 +90,8 @@ def test_extent_of_shared_spans(spark, texts):
             if t[i : i + n] in others:
                 covered[i : i + n] = [True] * n
         assert got[k] == (len(t), sum(covered)), (k, t[:50])
+    joined = spans.shared_extent(df, length=n, hot=1)
+    assert {r.doc_id: (r.n_chars, r.shared_chars) for r in joined.collect()} == got
     assert spans.shared_extent(df.limit(0)).count() == 0
 
 
