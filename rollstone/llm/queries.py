@@ -66,6 +66,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[1]
 
 
+def p8_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture measured in characters, which SQL can count: what is wanted and supplied, and whether each source is off by half its longest document at most."""
+    docs = table(spark, d, "documents")
+    report = mixture.mix(docs, table(spark, d, "mixture_targets"), tokenizer=None)[1]
+    longest = docs.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max(F.char_length("text")).alias("longest"))
+    off = F.abs(F.col("tokens") - F.least("wanted_tokens", "supply")) * 2 <= F.coalesce("longest", F.lit(0))
+    return report.join(longest, "source", "left").select("source", "target_share", "max_repeats", "wanted_tokens", "supply", "short", off.alias("within"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "documents"))
 
@@ -75,7 +84,7 @@ def p9_extent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_clean, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_pairs, p7_ids, p8_mix, p8_shares, p9_found, p9_extent)
+    found = (p1_found, p1_clean, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_pairs, p7_ids, p8_mix, p8_shares, p8_bounds, p9_found, p9_extent)
     return {f.__name__: f for f in found}
 
 
@@ -102,6 +111,10 @@ o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM h a JOIN h b ON a.c
 SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 4 >= 3 * (x.n + y.n - o)""",
         "p6_found": _PAIRS + " SELECT item_a AS category_a, item_b AS category_b FROM counted WHERE n_ab * n >= 3 * n_a * n_b",
         "p6_pairs": _PAIRS + " SELECT *, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 6) AS odds_ratio FROM counted WHERE n_ab * n >= n_a * n_b",
+        "p8_bounds": """WITH n AS (SELECT lower(trim(source, ' ')) AS source, doc_id, length(text) AS n FROM documents WHERE length(text) > 0), t AS (SELECT sum(n) AS total FROM n),
+s AS (SELECT source, sum(n) AS n FROM n WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY source)
+SELECT m.source, target_share, max_repeats, CAST(floor(target_share * total) AS BIGINT) AS wanted_tokens, CAST(coalesce(s.n, 0) * max_repeats AS BIGINT) AS supply,
+CAST(greatest(floor(target_share * total) - coalesce(s.n, 0) * max_repeats, 0) AS BIGINT) AS short, true AS within FROM mixture_targets m LEFT JOIN s ON s.source = m.source, t""",
         "p9_extent": """WITH d AS (SELECT doc_id, text, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars FROM documents), g AS (SELECT doc_id, unnest(range(1, length(text) - 148)) AS i, unnest(list_transform(range(1, length(text) - 148), lambda i: substring(text, i, 150))) AS g FROM d WHERE length(text) >= 150),
 k AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1), s AS (SELECT doc_id, least(150, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 150)) AS fresh FROM g SEMI JOIN k USING (g)), c AS (SELECT doc_id, CAST(sum(fresh) AS BIGINT) AS n FROM s GROUP BY doc_id)
 SELECT doc_id, n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(n, 0) / n_chars ELSE 0.0 END AS shared_part FROM d LEFT JOIN c USING (doc_id)""",

@@ -24,8 +24,8 @@ from .sketch import HELD, ROWS, pack, slots, unpack
 
 #: Characters (code points) of a span; anchors of a range on average; occurrences of an anchor that one task groups.
 LENGTH, RANGE, HOT = 150, 1 << 19, 20_000
-#: Rows of a class that meet in one task.
-BLOCK = 2_000
+#: Rows of a class that meet in one task; characters that a task of the joins gets.
+BLOCK, JOINED = 2_000, 1 << 24
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -268,11 +268,13 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     size = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(2 * size / (half + 1) / range_, 1)))))
     tasks = min(1 << bits, 20_000)
+    # by counted characters, so that a task gets some megabytes at every size
+    joined = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // JOINED), 100_000))
     sent = own.select("rid", "text").mapInArrow(_send(bits, length), "part int, hashes binary, rids binary, pos binary")
     again = durable(sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_repeated(load), "rid bigint, anchor bigint, pos int, n bigint"), "anchors")
 
-    per_record = again.groupBy("rid").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("at"))
-    each = own.join(per_record, "rid").select("doc", F.col("rid").alias("record"), "text", F.explode("at").alias("at"))
+    per_record = again.repartition(joined, "rid").groupBy("rid").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("at"))
+    each = own.repartition(joined, "rid").join(per_record, "rid").select("doc", F.col("rid").alias("record"), "text", F.explode("at").alias("at"))
     narrow = F.col("at.anchor").bitwiseAND(F.lit(1)) == 0
     at = F.col("at.pos")
     before = F.reverse(F.substring("text", F.greatest(at - reach + 1, F.lit(1)), F.least(at, F.lit(reach))))
@@ -283,7 +285,7 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     kind = texts.schema["doc"].dataType.simpleString()
     schema = f"doc {kind}, start int, end int, record bigint, c1 bigint, c2 bigint, size bigint"
     cold = found.where(f"before IS NOT NULL AND n <= {hot}").select("doc", "record", "anchor", "pos", "before", "after")
-    grouped = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_group(reach, half), schema)
+    grouped = cold.repartition(joined, "anchor").sortWithinPartitions("anchor").mapInArrow(_group(reach, half), schema)
     # whole windows, and every window of hot anchors, as rows
     whole = found.where("before IS NULL").select("doc", "record", "pos", F.col("anchor").alias("w"), F.col("pos").alias("start"))
     windows = found.where(f"before IS NOT NULL AND n > {hot}").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(reach)))).where(f"char_length(before) >= x AND char_length(after) >= {reach} - x")

@@ -107,7 +107,7 @@ def test_mixture_meets_its_shares(spark):
     r = random.Random(4)
     docs = [(i, " ".join(["word"] * r.randint(1, 40)), r.choice(["a", "A ", "b", "c", "d", None])) for i in range(2000)]
     docs += [(3000, None, "a"), (3001, "", "b"), (None, "word", "a"), (3002, "word " * 50, "tiny")]
-    targets = [("a", 0.2, 1), ("b", 0.5, 3), ("c", 0.28, 2), ("tiny", 0.02, 40), ("absent", 0.1, 2), ("d", 0.0, 1), (None, 0.3, 1)]
+    targets = [("a", 0.2, 1), ("b", 0.3, 3), ("c", 0.28, 2), ("tiny", 0.02, 4), ("absent", 0.1, 2), ("d", 0.0, 1), (None, 0.3, 1)]
     d = spark.createDataFrame(docs, "doc_id int, text string, source string").withColumn("tokens", F.lit("clash"))
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     mixed, report = mixture.mix(d, t, block=200)
@@ -117,18 +117,34 @@ def test_mixture_meets_its_shares(spark):
     source = {i: s.strip().lower() for i, _, s in docs if s and i is not None}
     assert all(n <= limit[source[i]] for i, n in times.items())
     assert rows(mixed.select("doc_id", "repeat")) and mixed.count() == mixed.select("doc_id", "repeat").distinct().count()
-    for s, share in (("a", 0.2), ("b", 0.5), ("c", 0.28), ("tiny", 0.02)):
-        assert got[s].actual_share == pytest.approx(share, abs=0.01)
-        assert abs(got[s].tokens - got[s].wanted_tokens) <= 50
-    assert got["absent"].tokens == 0 and got["d"].tokens == 0
-    # early slots already hold the shares: the schedule is even
-    first = mixed.where("slot < 40").groupBy("source").agg(F.sum("tokens").alias("n")).collect()
-    whole = sum(x.n for x in first)
-    assert all(abs(x.n / whole - got[x.source].target_share) < 0.1 for x in first)
+    whole = sum(x.tokens for x in got.values())
+    total = sum(len((t or "").split()) for _, t, _ in docs)
+    for s, share in (("a", 0.2), ("b", 0.3), ("c", 0.28)):
+        assert got[s].tokens / got[s].wanted_tokens == pytest.approx(1, abs=0.01) and got[s].short == 0
+        assert got[s].wanted_tokens == pytest.approx(share * total, rel=0.02)  # a blank at the end is a token of its own
+        assert got[s].actual_share == pytest.approx(got[s].tokens / whole)
+    # a source that runs out falls short, and is reported
+    assert got["tiny"].tokens == got["tiny"].supply == got["tiny"].wanted_tokens - got["tiny"].short and got["tiny"].short > 0
+    assert got["absent"].tokens == 0 and got["absent"].short == got["absent"].wanted_tokens and got["d"].tokens == 0
+    # early slots already hold the shares: the schedule is even, and every block has its slot in it
+    slots = sum(-(-min(x.wanted_tokens, x.supply) // 200) for x in got.values())
+    assert mixed.agg(F.max("slot")).first()[0] < slots
+    first = mixed.where(F.col("slot") < slots // 2).groupBy("source").agg(F.sum("tokens").alias("n")).collect()
+    half = sum(x.n for x in first)
+    assert all(abs(x.n / half - got[x.source].actual_share) < 0.05 for x in first)
     again = mixture.mix(d, t, block=200)[0]
     assert rows(again) == rows(mixed)
 
 
+@pytest.mark.parametrize("blocks", [{"a": 1}, {"a": 5, "b": 3, "c": 1}, {"a": 100_000, "b": 33_333}])
+def test_schedule_gives_every_block_one_slot(spark, blocks):
+    got = mixture.schedule(spark, blocks).collect()
+    assert sorted(r.slot for r in got) == list(range(sum(blocks.values())))
+    for s, n in blocks.items():
+        own = sorted((r.slot, r.block) for r in got if r.source == s)
+        assert [b for _, b in own] == list(range(n))
+
+
 def test_mixture_of_nothing(spark):
     d = spark.createDataFrame([], "doc_id int, text string, source string")
     t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
