@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a side may have to be broadcast after it was counted; at 64 bytes a row this is 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a side may have to be broadcast after its rows were counted.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,9 +76,9 @@ def discard(df: DataFrame) -> None:
         drop_table(df.sparkSession, path)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a side whose counted rows are within the limit; a larger side is joined by shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+def maybe_broadcast(df: DataFrame, rows: int, width: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only for a side whose counted rows, at width bytes a row in memory, are within the limit; a larger side is joined by shuffle."""
+    return F.broadcast(df) if rows * width <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
