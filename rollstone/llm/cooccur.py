@@ -91,12 +91,12 @@ def together(df: DataFrame, key: str, value: Column, min_count: int = 1, min_lif
     size = items.count()
     if size >= 1 << 31:
         raise ValueError("more than 2**31 items")
-    codes = maybe_broadcast(items.select("v", "code"), size)
+    codes = maybe_broadcast(items.select("v", "code"), size, 48)
     records = base.join(codes, "v").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes")).where(F.size("codes") > 1)
     sliced = records.select("codes", F.explode(F.sequence(F.lit(0), F.size("codes") - 1, F.lit(slice_))).alias("first"))
     runs = sliced.mapInArrow(lambda batches: _count_runs(batches, slice_), "pair bigint, n bigint")
     pairs = runs.repartition("pair").sortWithinPartitions("pair").mapInArrow(_add_up, "pair bigint, n_ab bigint").where(F.col("n_ab") >= min_count)
-    a, b = (maybe_broadcast(items.select(F.col("code").alias(f"c_{s}"), F.col("name").alias(f"item_{s}"), F.col("n_i").alias(f"n_{s}")), size) for s in "ab")
+    a, b = (maybe_broadcast(items.select(F.col("code").alias(f"c_{s}"), F.col("name").alias(f"item_{s}"), F.col("n_i").alias(f"n_{s}")), size, 128) for s in "ab")
     pairs = pairs.select(F.shiftright("pair", 32).alias("c_a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("c_b"), "n_ab")
     out = pairs.join(a, "c_a").join(b, "c_b").drop("c_a", "c_b").withColumn("n", F.lit(n).cast("bigint"))
     wide = lambda c: F.col(c).cast("decimal(19,0)")

@@ -3,8 +3,8 @@
 First pass: heavy-hitter summaries (Misra-Gries counters with their error) of source and line, mergeable in any order. Each
 partition counts its own lines; summaries are merged by hash range, so that a source with a third of all rows is as spread as
 any other, and counters are given up only while the error stays below the wanted count: no repeated line is lost.
-Second pass: exact numbers of documents for the candidates. Confirmed lines are broadcast while their counted number is within
-the bound, and joined by shuffle beyond it.
+Second pass: exact numbers of documents for the candidates. Candidates and confirmed lines are broadcast where Spark finds their bytes
+below spark.sql.autoBroadcastJoinThreshold, and joined by shuffle otherwise; the plan is the same one.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..work import BROADCAST_ROWS, durable, maybe_broadcast
+from ..work import durable, ship
 
 #: Distinct documents of a source from which a line counts as repeated; counters of a summary.
 LEAST, COUNTERS = 8, 1 << 16
+#: Lines that a partition adds to its summary at once, and that the summary holds.
+HELD = 1 << 20
 _WHITE = "[ \\t\\r\\n\\f\\x0B\\u00A0]+"
 
 
@@ -66,14 +68,36 @@ def _candidates(base: DataFrame, least: int) -> DataFrame:
     total = base.agg(F.sum(F.size("lines"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(total, 1) / (2 * COUNTERS)))))  # so many lines in a range that the error stays below 2 or 3
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, n = np.unique(np.asarray(b.column(0).flatten().drop_null()), return_counts=True)
-            part = k.view(np.uint64) >> np.uint64(64 - bits) if bits else np.zeros(len(k), np.uint64)
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's summary, cut by ranges; it is sent and begun anew when it holds many lines."""
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        fresh: list[np.ndarray] = []
+        size = 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *fresh]), return_counts=True)
+            both, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+        def send() -> pa.RecordBatch:
+            part = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
             order = np.argsort(part, kind="stable")
-            cut = np.flatnonzero(np.diff(part[order], prepend=np.uint64((1 << 64) - 1)))
-            rows = [order[x:y] for x, y in zip(cut, [*cut[1:], len(k)])]
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[r[0]]) for r in rows], pa.int64()), pa.array([k[r] for r in rows], pa.list_(pa.int64())), pa.array([n[r] for r in rows], pa.list_(pa.int64()))], ["part", "keys", "counts"])
+            cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+            offsets = pa.array([*cut, len(keys)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(part[order][cut]), *(pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (keys, counts))], ["part", "keys", "counts"])
+
+        for b in batches:
+            fresh.append(np.asarray(b.column(0).flatten().drop_null()))
+            size += len(fresh[-1])
+            if size >= HELD:
+                keys, counts = added()
+                fresh, size = [], 0
+                if len(keys) >= HELD:
+                    yield send()
+                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts = added()
+        if len(keys):
+            yield send()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Summary] = {}
@@ -84,13 +108,13 @@ def _candidates(base: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(s.candidates())], ["k"])
 
     keys = base.select(F.col("lines.k").alias("k"))
-    return keys.mapInArrow(count, "part bigint, keys array<bigint>, counts array<bigint>").repartition("part").mapInArrow(merge, "k bigint")
+    return keys.mapInArrow(summarise, "part bigint, keys array<bigint>, counts array<bigint>").repartition("part").mapInArrow(merge, "k bigint")
 
 
 def _confirmed(base: DataFrame, least: int) -> DataFrame:
     candidates = durable(_candidates(base, least), "candidates")
     each = base.select("id", F.explode("lines").alias("line")).where("line IS NOT NULL").select("id", "line.*")
-    each = each.join(maybe_broadcast(candidates, candidates.count()), "k", "left_semi")
+    each = each.join(candidates, "k", "left_semi")
     return durable(each.distinct().groupBy("k", "k2").agg(F.count("*").alias("ids")).where(F.col("ids") >= least), "confirmed")
 
 
@@ -102,43 +126,24 @@ def repeated_lines(df: DataFrame, key: str = "id", text: str = "text", source: s
     base = durable(_hashed(df, key, text, source), "lines")
     confirmed = _confirmed(base, least)
     each = base.select("id", F.posexplode("lines").alias("line_no", "line")).where("line IS NOT NULL").select("id", "line_no", "line.*")
-    return each.join(maybe_broadcast(confirmed, confirmed.count()), ["k", "k2"], "left_semi").select(F.col("id").alias(key), "line_no").distinct()
+    return each.join(confirmed, ["k", "k2"], "left_semi").select(F.col("id").alias(key), "line_no").distinct()
 
 
-def without_repeated_lines(df: DataFrame, key: str = "id", text: str = "text", source: str = "source", least: int = LEAST, limit: int = BROADCAST_ROWS) -> DataFrame:
+def without_repeated_lines(df: DataFrame, key: str = "id", text: str = "text", source: str = "source", least: int = LEAST) -> DataFrame:
     """Every row of df: key, clean (the text without the repeated lines of its source) and removed (how many lines went).
 
-    A null text stays null with 0 removed; a null source has nothing removed. Rows delivered twice come out twice.
+    A null text stays null with 0 removed; a null source has nothing removed; a row with a null key loses its lines like any other. Rows delivered twice
+    come out twice.
     """
-    base = durable(_hashed(df, key, text, source), "lines")
-    confirmed = _confirmed(base, least)
-    n = confirmed.count()
-    kind = df.schema[key].dataType.simpleString()
-    lines = F.when(F.col(source).isNotNull(), F.split(text, "\n"))
-    s = source_form(source)
-    hashes = lambda seed: F.transform(lines, lambda x: F.when(line_form(x) != "", F.xxhash64(s, line_form(x)) if not seed else F.xxhash64(F.lit(1), line_form(x), s)))
-    if n <= limit:
-        rows = confirmed.select("k", "k2").toPandas()  # counted: at most limit rows
-        sure = df.sparkSession.sparkContext.broadcast(set(zip(rows["k"].tolist(), rows["k2"].tolist())))
-
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out, gone = [], []
-                for t, k, k2 in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                    if t is None or k is None:
-                        out.append(t)
-                        gone.append(0)
-                        continue
-                    kept = [x for x, *h in zip(t.split("\n"), k, k2) if tuple(h) not in sure.value]
-                    out.append("\n".join(kept))
-                    gone.append(len(k) - len(kept))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(gone, pa.int32())], [key, "clean", "removed"])
-
-        return df.select(F.col(key), F.col(text), hashes(0).alias("k"), hashes(1).alias("k2")).mapInArrow(clean, f"`{key}` {kind}, clean string, removed int")
+    ship(df.sparkSession)
+    confirmed = _confirmed(durable(_hashed(df, key, text, source), "lines"), least).select("k", "k2")
     # a row's own text and source say what it loses, whatever its key: lines are found again by both
-    d = df.select(F.col(key), F.col(text).alias("_t"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_h2"), s.alias("_s"), hashes(0).alias("k"), hashes(1).alias("k2"))
+    s = source_form(source)
+    d = df.select(F.col(key), F.col(text).alias("_t"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_h2"), s.alias("_s"))
     own = ["_h", "_h2", "_s"]
-    each = d.where("_t IS NOT NULL AND _s IS NOT NULL").dropDuplicates(own).select(*own, F.posexplode(F.arrays_zip("k", "k2")).alias("line_no", "line")).select(*own, "line_no", "line.*")
+    forms = F.transform(F.split("_t", "\n"), lambda x: line_form(x))
+    each = d.where("_t IS NOT NULL AND _s IS NOT NULL").select(*own, F.posexplode(forms).alias("line_no", "form")).where("form <> ''")
+    each = each.select(*own, "line_no", F.xxhash64("_s", "form").alias("k"), F.xxhash64(F.lit(1), "form", "_s").alias("k2"))
     found = each.join(confirmed, ["k", "k2"], "left_semi").groupBy(*own).agg(F.collect_set("line_no").alias("nos"))
     lines = F.split("_t", "\n")
     kept = F.filter(lines, lambda x, i: F.col("nos").isNull() | ~F.array_contains("nos", i))

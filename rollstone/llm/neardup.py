@@ -10,7 +10,7 @@ and position; meetings are counted per pair, as packed pair codes in sorted gaps
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..operators.numbering import numbered
-from ..work import durable, maybe_broadcast
+from ..work import durable
 from .kernel import mix, word_runs
-from .sketch import Counter, count_sketch, frequency, pack, unpack
+from .postings import by_range, pairs_of, parts_of
+from .sketch import COUNTERS, count_sketch, frequency
 
 #: Defaults of near-duplicate operators.
 WORDS, SIMILARITY = 5, 0.8
-#: Meetings of a pair before it is compared; any value loses nothing. Sets to a part of the posting lists and pair counts.
-SHARE, SETS = 4, 4000
+#: Meetings of a pair before it is compared; any value loses nothing. Runs to a part of the posting lists and pair counts.
+SHARE, RANGE = 4, 1 << 20
 #: Pair codes that a task holds before it sorts and sends them.
 HELD = 1 << 21
 
@@ -37,6 +37,11 @@ def _digest(h: np.ndarray) -> bytes:
         return np.array([h.sum(dtype=np.uint64), mix(h).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
+def _number(h: np.ndarray) -> int:
+    """A set's number of 64 bits: the first half of its digest."""
+    return int(h.sum(dtype=np.uint64).view(np.int64))
+
+
 def _profile(h: np.ndarray) -> tuple[int, int]:
     """Members by sixteenth of the hash range, each up to 127, as bytes of two integers."""
     return tuple(np.minimum(np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=16), 127).astype(np.uint8).view(np.int64).tolist())
@@ -48,106 +53,94 @@ def _differ(a: str, b: str) -> Column:
     return sum((F.abs(at(f"{p}_{a}", k) - at(f"{p}_{b}", k)) for p in ("p1", "p2") for k in range(8)), F.lit(0))
 
 
-def _postings(parts: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blobs of (run, set, size, position) of some hash ranges, to blobs of pair codes with the number of meetings."""
+class _Meetings:
+    """Counts meetings of pairs of set numbers: sorts and adds up what it holds, and sends it cut by the first number."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for b in batches:
-            for part, *blobs in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(part, []).append(tuple(blobs))
-        out = Counter(parts)
-        for blobs in held.values():
-            runs, code, n, pos = (np.concatenate(x) for x in zip(*((unpack(r), *(np.frombuffer(x, np.int32) for x in rest)) for r, *rest in blobs)))
-            order = np.lexsort((code, runs))
-            runs, code = runs[order], code[order]
-            once = np.r_[True, (runs[1:] != runs[:-1]) | (code[1:] != code[:-1])] if len(runs) else np.zeros(0, bool)
-            order = order[once]
-            runs, code, n, pos = runs[once], code[once].astype(np.int64), n[order].astype(np.int64), pos[order].astype(np.int64)
-            # sets are numbered by size: of two in a posting list the first is the smaller
-            at = np.arange(len(runs))
-            step = 1
-            while len(at := at[at + step < len(runs)]):
-                at = at[runs[at] == runs[at + step]]
-                other = at + step
-                fits = n[at] * den >= n[other] * num
-                # further on sets are larger still
-                at, other = at[fits], other[fits]
-                least = -(-num * (n[at] + n[other]) // (num + den))
-                share = np.minimum(least, SHARE)
-                near = (pos[at] < n[at] - least + share) & (pos[other] < n[other] - least + share)
-                yield from out.add((code[at[near]] << 32) | code[other[near]], np.where(least[near] < SHARE, SHARE, 1))
-                step += 1
-        yield from out.rest()
-
-    return run
-
-
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[tuple]] = {}
-    for b in batches:
-        for part, codes, counts in zip(*(c.to_pylist() for c in b.columns)):
-            held.setdefault(part, []).append((unpack(codes), np.frombuffer(counts, np.uint8)))
-            if len(held[part]) >= 64:
-                held[part] = [_sum(held[part])]
-    for blobs in held.values():
-        codes, counts = _sum(blobs)
-        codes = codes[counts >= SHARE].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(codes >> 32), pa.array(codes & 0xFFFFFFFF)], ["code_a", "code_b"])
-
-
-def _sum(blobs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    codes, at = np.unique(np.concatenate([c for c, _ in blobs]), return_inverse=True)
-    return codes, np.minimum(np.bincount(at, np.concatenate([n for _, n in blobs]), len(codes)), 255).astype(np.uint8)
-
-
-def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    def __init__(self, parts: int, num: int, den: int):
+        self.parts, self.num, self.den, self.held, self.size = parts, num, den, [], 0
+
+    def add(self, left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        (_, n_a, a, pos_a), (_, n_b, b, pos_b) = ([c[x] for c in side] for side, x in ((left, i), (right, j)))
+        least = -(-self.num * (n_a + n_b) // (self.num + self.den))
+        share = np.minimum(least, SHARE)
+        near = ((n_a < n_b) | (a < b)) & (a != b) & (pos_a < n_a - least + share) & (pos_b < n_b - least + share)
+        if near.any():
+            self.held.append(_added(a[near], b[near], np.where(least[near] < SHARE, SHARE, 1)))
+            self.size += len(self.held[-1][0])
+            if self.size >= HELD:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            a, b, n = _added(*(np.concatenate(x) for x in zip(*self.held)))
+            sent = by_range(mix(a.view(np.uint64)), self.parts, b, np.minimum(n, 255).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays(sent.columns, ["part", "firsts", "seconds", "counts"])
+            self.held, self.size = [], 0
+
+    def empty(self) -> list[pa.DataType]:
+        return [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs as one, with the sum of their numbers."""
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    return a[start], b[start], np.add.reduceat(n.astype(np.int64), start) if len(a) else n
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs of meetings sorted by part to the pairs (mixed first number, second number) with SHARE meetings."""
+    for blobs in parts_of(batches, [np.int64, np.uint8]):
+        a, b, n = _added(*(np.concatenate(x) for x in zip(*blobs)))
+        a, b = a[n >= SHARE].view(np.int64), b[n >= SHARE]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, similarity: float = SIMILARITY, counters: int = COUNTERS, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of different word-run sets above the limit, (set_a, set_b), and who has which set, (id, set), distinct.
 
-    A row with a null key or no word run is left out. Rows delivered twice count once; a key given with two texts has two sets.
+    A row with a null key or no word run is left out. Rows delivered twice count once; a key given with two texts has two sets. counters: bound of the
+    sketch of frequencies, as a power of two; hot: pairs of one run from which its posting list is cut into blocks.
     """
     limit = Fraction(str(similarity))
     num, den = limit.numerator, limit.denominator
     kind = df.schema[key].dataType.simpleString()
     texts = df.select(F.col(key).alias("id"), text.alias("content")).where(F.col("id").isNotNull())
+    chars = texts.agg(F.sum(F.char_length("content"))).first()[0] or 0
+    runs = chars // 6  # about as many as there are words
+    parts = max(64, -(-runs // RANGE))
 
     def describe(b: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
         sets = list(word_runs(b.column(1).to_pylist(), words))
         at = [i for i, h in enumerate(sets) if len(h)]
-        rows = [(_digest(sets[i]), len(sets[i]), *_profile(sets[i])) for i in at]
-        cols = zip(*rows) if rows else [[]] * 4
-        return np.concatenate([np.zeros(0, np.uint64), *sets]), [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int64(), pa.int64())))]
+        rows = [(_digest(h), _number(h), int(mix(np.array([_number(h)]).view(np.uint64)).view(np.int64)[0]), len(h), *_profile(h)) for h in (sets[i] for i in at)]
+        cols = zip(*rows) if rows else [[]] * 6
+        return np.concatenate([np.zeros(0, np.uint64), *sets]), [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())))]
 
-    often, known = count_sketch(texts, describe, f"id {kind}, set binary, n int, p1 bigint, p2 bigint")
+    often, known = count_sketch(texts, describe, f"id {kind}, set binary, number bigint, mixed bigint, n int, p1 bigint, p2 bigint", min(max((2 * runs).bit_length(), 10), counters))
     members = durable(known.select("id", "set").distinct(), "members")
-    sets = durable(numbered(known.groupBy("set").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "p1", "p2"))), ["n", "set"]), "sets")
-    size = sets.count()
-    if size >= 1 << 31:
-        raise ValueError("more than 2**31 different sets")
-    parts = max(64, -(-size // SETS))
+    sets = known.groupBy("set").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("number", "mixed", "n", "p1", "p2")))
+    sets = durable(sets, "sets")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total = 0
 
         def send() -> pa.RecordBatch:
-            runs, *cols = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(runs, kind="stable")
-            runs = runs[order]
-            part = (runs * np.uint64(parts)) >> np.uint64(48)
-            cut = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
-            ends = [*cut[1:], len(runs)]
-            return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([pack(runs[a:b]) for a, b in zip(cut, ends)], pa.binary()), *(pa.array([c[order[a:b]].astype(np.int32).tobytes() for a, b in zip(cut, ends)], pa.binary()) for c in cols)], ["part", "runs", "code", "n", "pos"])
+            h, number, n, pos = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((number, h))
+            once = order[np.r_[True, (np.diff(h[order]) != 0) | (np.diff(number[order]) != 0)]]  # copies, and rows delivered twice
+            return by_range(h[once], parts, number[once], n[once].astype(np.int32), pos[once].astype(np.int32))
 
         for b in batches:
-            for code, digest, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), word_runs(b.column(0).to_pylist(), words)):
-                if _digest(h) != digest:
-                    continue  # the key came with another text too
-                n = len(h)
+            for h in word_runs(b.column(0).to_pylist(), words):
+                if not (n := len(h)):
+                    continue
                 f = frequency(often.value, h)
                 order = np.argsort(f, kind="stable")[: min(n - -(-num * n // den) + SHARE, n)]
                 pos = np.flatnonzero(f[order] > 1)
-                held.append((h[order[pos]] >> np.uint64(16), np.full(len(pos), code), np.full(len(pos), n), pos))
+                held.append((h[order[pos]] & ~np.uint64(0xFFFF), np.full(len(pos), _number(h)), np.full(len(pos), n), pos))
                 total += len(pos)
             if total >= HELD:
                 yield send()
@@ -155,13 +148,23 @@ def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, simi
         if total:
             yield send()
 
-    own = texts.join(maybe_broadcast(sets.select("id", "code", "set"), size), "id").select("content", "code", "set")
-    lists = own.mapInArrow(prefixes, "part int, runs binary, code binary, n binary, pos binary").repartition(parts, "part")
-    met = lists.mapInArrow(_postings(parts, num, den), "part int, codes binary, counts binary").repartition(parts, "part").mapInArrow(_meetings, "code_a bigint, code_b bigint")
-    a, b = (maybe_broadcast(sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("code", "set", "n", "p1", "p2", "id"))), size) for s in "ab")
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+        for blobs in parts_of(batches, [np.int64, np.int32, np.int32]):
+            h, number, n, pos = (np.concatenate(x) for x in zip(*blobs))
+            order = np.lexsort((number, n, h))
+            h, number = h[order], number[order]
+            once = np.r_[True, (h[1:] != h[:-1]) | (number[1:] != number[:-1])] if len(h) else np.zeros(0, bool)
+            side = [h[once], n[order][once].astype(np.int64), number[once], pos[order][once].astype(np.int64)]
+            yield side, side
+
+    lists = texts.select("content").mapInArrow(prefixes, "part int, hashes binary, c0 binary, c1 binary, c2 binary")
+    met = pairs_of(lists, parts, "part int, firsts binary, seconds binary, counts binary", sides, lambda: _Meetings(parts, num, den), num, den, "meetings", hot)
+    met = met.repartition(min(parts, 20_000), "part").sortWithinPartitions("part").mapInArrow(_often, "a bigint, b bigint")
+    # a set's number is its digest's first half; the first number of a pair comes mixed
+    a, b = (sets.select(F.col(number).alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "p1", "p2", "id"))) for s, number in (("a", "mixed"), ("b", "number")))
     both = F.col("n_a") + F.col("n_b")
     least = F.ceil(both * num / F.lit(float(num + den)) - 1e-9)  # overlap that the limit asks for; the exact test comes last
-    pairs = durable(met.join(a, "code_a").join(b, "code_b").where(_differ("a", "b") <= both - 2 * least).select("set_a", "set_b", "n_a", "n_b", "id_a", "id_b"), "candidates")
+    pairs = durable(met.join(a, "a").join(b, "b").where(_differ("a", "b") <= both - 2 * least).select("set_a", "set_b", "n_a", "n_b", "id_a", "id_b"), "candidates")
 
     ids = durable(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "needed")
 
@@ -170,11 +173,11 @@ def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, simi
             sets = list(word_runs(b.column(0).to_pylist(), words))
             yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["set", "runs"])
 
-    texts = texts.join(maybe_broadcast(ids, ids.count()), "id", "left_semi").select("content")
-    runs = texts.mapInArrow(whole, "set binary, runs array<bigint>").dropDuplicates(["set"])
-    sides = [runs.select(F.col("set").alias(f"set_{s}"), F.col("runs").alias(f"runs_{s}")) for s in "ab"]
+    texts = texts.join(ids, "id", "left_semi").select("content")
+    runs_of = texts.mapInArrow(whole, "set binary, runs array<bigint>").dropDuplicates(["set"])
+    sides_ = [runs_of.select(F.col("set").alias(f"set_{s}"), F.col("runs").alias(f"runs_{s}")) for s in "ab"]
     overlap = F.size(F.array_intersect("runs_a", "runs_b"))
-    true = pairs.join(sides[0], "set_a").join(sides[1], "set_b").withColumn("o", overlap).where(F.col("o") * den >= num * (both - F.col("o")))
+    true = pairs.join(sides_[0], "set_a").join(sides_[1], "set_b").withColumn("o", overlap).where(F.col("o") * den >= num * (both - F.col("o")))
     return durable(true.select("set_a", "set_b"), "similar"), members
 
 

@@ -91,8 +91,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _FORM = "nullif(trim(regexp_replace(category, '[ \\t_]+', '_', 'g'), '_'), '')"
 _HAVE = f"have AS (SELECT DISTINCT news_analytics AS id, {_FORM} AS c FROM document_entity_category WHERE news_analytics IS NOT NULL AND {_FORM} IS NOT NULL)"
 _PAIRS = f"""WITH {_HAVE}, n AS (SELECT count(DISTINCT id) AS n FROM have), single AS (SELECT c, count(*) AS k FROM have GROUP BY c),
-pairs AS (SELECT a.c AS item_a, b.c AS item_b, count(*) AS n_ab FROM have a JOIN have b ON a.id = b.id AND a.c < b.c GROUP BY ALL HAVING count(*) >= 8),
+pairs AS (SELECT a.c AS item_a, b.c AS item_b, count(*) AS n_ab FROM have a JOIN have b ON a.id = b.id AND a.c < b.c GROUP BY ALL),
 counted AS (SELECT item_a, item_b, n_ab, x.k AS n_a, y.k AS n_b, n FROM pairs JOIN single x ON x.c = item_a JOIN single y ON y.c = item_b, n)"""
+_P4 = """w AS (SELECT DISTINCT id, list_filter(regexp_split_to_array(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM news_analytics WHERE id IS NOT NULL),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 5 >= 3 * (x.n + y.n - o))"""
+_P5 = f"""{_HAVE}, n AS (SELECT id, count(*) AS n FROM have GROUP BY id HAVING count(*) >= 5), h AS (SELECT have.* FROM have JOIN n USING (id)),
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM h a JOIN h b ON a.c = b.c AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 4 >= 3 * (x.n + y.n - o))"""
+
+
+def _groups(pairs: str, ids: str) -> str:
+    """The connected groups of the pairs by a recursive walk, and each id's number of pairs."""
+    return f"""WITH RECURSIVE {pairs}, e AS MATERIALIZED (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs), walk AS (SELECT a AS id, a AS reached FROM e UNION SELECT w.id, e.b FROM walk w JOIN e ON e.a = w.reached)
+SELECT i.id, coalesce(w.g, i.id) AS "group", coalesce(k, 0) AS links FROM {ids} i LEFT JOIN (SELECT id, min(reached) AS g FROM walk GROUP BY id) w USING (id) LEFT JOIN (SELECT a AS id, count(*) AS k FROM e GROUP BY a) USING (id)"""
+
+
 _WHITE = "[ \\t\\r\\n\\f\\v\\x{00A0}]+"
 
 
@@ -102,19 +117,22 @@ def oracle_sql() -> dict[str, str]:
 e AS (SELECT id, s, unnest(lines) AS line, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_no FROM l),
 f AS (SELECT id, s, line_no, lower(trim(regexp_replace(replace(line, chr(8217), chr(39)), '{_WHITE}', ' ', 'g'), ' ')) AS form FROM e),
 bad AS (SELECT s, form FROM f WHERE form <> '' GROUP BY ALL HAVING count(DISTINCT id) >= 8) SELECT DISTINCT id, line_no FROM f JOIN bad USING (s, form)""",
-        "p4_found": """WITH w AS (SELECT DISTINCT id, list_filter(regexp_split_to_array(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM news_analytics WHERE id IS NOT NULL),
-g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
-o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 5 >= 3 * (x.n + y.n - o)""",
-        "p5_found": f"""WITH {_HAVE}, n AS (SELECT id, count(*) AS n FROM have GROUP BY id HAVING count(*) >= 5), h AS (SELECT have.* FROM have JOIN n USING (id)),
-o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM h a JOIN h b ON a.c = b.c AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 4 >= 3 * (x.n + y.n - o)""",
-        "p6_found": _PAIRS + " SELECT item_a AS category_a, item_b AS category_b FROM counted WHERE n_ab * n >= 3 * n_a * n_b",
-        "p6_pairs": _PAIRS + " SELECT *, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 6) AS odds_ratio FROM counted WHERE n_ab * n >= n_a * n_b",
+        "p1_clean": f"""WITH l AS (SELECT row_number() OVER () AS r, id, lower(regexp_replace(source, '^{_WHITE}|{_WHITE}$', '', 'g')) AS s, string_split(text, chr(10)) AS lines FROM news_analytics),
+e AS (SELECT r, id, s, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM l),
+f AS (SELECT *, lower(trim(regexp_replace(replace(line, chr(8217), chr(39)), '{_WHITE}', ' ', 'g'), ' ')) AS form FROM e),
+bad AS (SELECT s, form, true AS bad FROM f WHERE form <> '' AND s IS NOT NULL GROUP BY ALL HAVING count(DISTINCT id) >= 8),
+c AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (bad IS NULL), '') AS clean, CAST(count(bad) AS INTEGER) AS removed FROM f LEFT JOIN bad USING (s, form) GROUP BY r)
+SELECT id, clean, coalesce(removed, 0) AS removed FROM l LEFT JOIN c USING (r)""",
+        "p4_found": f"WITH {_P4} SELECT id_a, id_b FROM pairs",
+        "p5_found": f"WITH {_P5} SELECT id_a, id_b FROM pairs",
+        "p6_found": _PAIRS + " SELECT item_a AS category_a, item_b AS category_b FROM counted WHERE n_ab >= 8 AND n_ab * n >= 3 * n_a * n_b",
+        "p6_pairs": _PAIRS + " SELECT *, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 6) AS odds_ratio FROM counted",
         "p8_bounds": """WITH n AS (SELECT lower(trim(source, ' ')) AS source, doc_id, length(text) AS n FROM documents WHERE length(text) > 0), t AS (SELECT sum(n) AS total FROM n),
 s AS (SELECT source, sum(n) AS n FROM n WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY source)
 SELECT m.source, target_share, max_repeats, CAST(floor(target_share * total) AS BIGINT) AS wanted_tokens, CAST(coalesce(s.n, 0) * max_repeats AS BIGINT) AS supply,
 CAST(greatest(floor(target_share * total) - coalesce(s.n, 0) * max_repeats, 0) AS BIGINT) AS short, true AS within FROM mixture_targets m LEFT JOIN s ON s.source = m.source, t""",
+        "p4_groups": _groups(_P4, "(SELECT id FROM n)"),
+        "p5_groups": _groups(_P5, "(SELECT id FROM n)"),
         "p9_extent": """WITH d AS (SELECT doc_id, text, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars FROM documents), g AS (SELECT doc_id, unnest(range(1, length(text) - 148)) AS i, unnest(list_transform(range(1, length(text) - 148), lambda i: substring(text, i, 150))) AS g FROM d WHERE length(text) >= 150),
 k AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1), s AS (SELECT doc_id, least(150, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 150)) AS fresh FROM g SEMI JOIN k USING (g)), c AS (SELECT doc_id, CAST(sum(fresh) AS BIGINT) AS n FROM s GROUP BY doc_id)
 SELECT doc_id, n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(n, 0) / n_chars ELSE 0.0 END AS shared_part FROM d LEFT JOIN c USING (doc_id)""",

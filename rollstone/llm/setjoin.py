@@ -4,7 +4,7 @@ Pigeonhole partitioning: for a set of n members the universe is split by hash in
 members by which a similar set of any length up to n / limit can differ. A set that looks for shorter ones needs segments
 whose allowances add up to the difference possible with them; it takes the cheapest ones by the rarity of their members, each
 allowed one deletion (worth two). Sets meet on equal segments or equal one-deletion signatures, and are then compared exactly.
-Sets with equal members are one class from the start; signatures of one set alone aren't shuffled.
+Sets with equal members are one class from the start.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..work import durable
+from ..work import durable, ship
 from .kernel import mix
-from .sketch import frequencies, frequency, in_two, repeated
+from .postings import by_range, estimated_repeated, pairs_of, parts_of
+from .sketch import HELD, frequencies, frequency
 
 
 class Plan:
@@ -102,51 +103,86 @@ def _both_sides(lists: pa.ListArray, plan: Plan, often: np.ndarray) -> tuple[np.
     return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), *(np.concatenate([np.full(len(x[0]), x[k]) for x in out]) for k in (2, 3)))
 
 
-def _bitmaps(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def _bitmaps(lists: pa.ListArray) -> np.ndarray:
+    """A 64-bit map of each set's members by hash."""
     flat, offsets = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets)
-    place = mix(flat ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(127)
-    one = np.uint64(1)
-    low, high = (np.where(place < 64, one << (place & np.uint64(63)), np.uint64(0)), np.where(place >= 64, one << (place & np.uint64(63)), np.uint64(0)))
-    return tuple(np.bitwise_or.reduceat(x, offsets[:-1] - offsets[0]).view(np.int64) for x in (low, high))
+    return np.bitwise_or.reduceat(np.uint64(1) << (mix(flat ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(63)), offsets[:-1] - offsets[0])
 
 
-def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
-    """(set_a, set_b) of sets (set: key, members: distinct bigint hashes, not empty) above the limit; each key once in sets."""
+#: Signatures of a hash range on average, and of a set by the size of its members, for the number of ranges.
+RANGE, PER_MEMBER = 1 << 20, 4
+
+
+class _Pairs:
+    """Pairs of set numbers that the sizes and bit maps allow."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def add(self, left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        (_, n_a, a, map_a, gone_a), (_, n_b, b, map_b, gone_b) = ([c[x] for c in side] for side, x in ((left, i), (right, j)))
+        both = n_a + n_b
+        most = both - 2 * -(-self.num * both // (self.num + self.den))
+        fits = ((n_a < n_b) | (a < b)) & (a != b) & ~(gone_a & gone_b) & (np.bitwise_count(map_a ^ map_b) <= most)
+        codes = np.unique(np.stack([a[fits], b[fits]], axis=1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
+        if len(codes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(codes[:, 0])), pa.array(np.ascontiguousarray(codes[:, 1]))], ["a", "b"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+    def empty(self) -> list[pa.DataType]:
+        return [pa.int64(), pa.int64()]
+
+
+def similar_sets(sets: DataFrame, similarity: float, load: float = 0.25, range_: int = RANGE, hot: int | None = None) -> DataFrame:
+    """(set_a, set_b) of sets (set: binary key, members: distinct bigint hashes, not empty) above the limit; each key once in sets.
+
+    Signatures travel once, as packed hashes with a set number of 64 bits, by ranges of hashes; in a range a count-min sketch of load
+    signatures a slot drops those of one set alone, and the rest are joined exactly. A signature of more than hot pairs is cut into blocks.
+    """
+    ship(sets.sparkSession)
     plan = Plan(similarity)
     num, den = plan.num, plan.den
-    kind = sets.schema["set"].dataType.simpleString()
     often = frequencies(sets.select("members"), lambda b: np.asarray(b.column(0).flatten()).view(np.uint64))
+    sets = sets.withColumn("number", F.xxhash64("set"))
+    total = sets.agg(F.sum(F.size("members"))).first()[0] or 0
+    parts = max(16, -(-PER_MEMBER * total // range_))
 
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in _parts(b):
-                sig, own, _, _ = _both_sides(part.column(0), plan, often.value)
-                order = np.argsort(own, kind="stable")
-                count = np.bincount(own, minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(sig[order].view(np.int64)))], ["signatures"])
-
-    twice = repeated(sets.select("members").mapInArrow(all_of, "signatures array<bigint>"), "signatures")
+    def cut(held: list[tuple]) -> pa.RecordBatch:
+        sig, *cols = (np.concatenate(x) for x in zip(*held))
+        return by_range(sig, parts, *cols)
 
-    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for b in batches:
             for part in _parts(b):
                 sig, own, looks, gone = _both_sides(part.column(1), plan, often.value)
-                kept = in_two(twice.value, sig)
-                sig, own, looks, gone = sig[kept], own[kept], looks[kept], gone[kept]
                 n = np.diff(np.asarray(part.column(1).offsets)).astype(np.int32)
-                low, high = _bitmaps(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(sig.view(np.int64)), pa.array(looks), pa.array(gone), pa.array(n[own]), pa.array(low[own]), pa.array(high[own])], ["set", "sig", "looks", "gone", "n", "b1", "b2"])
-
-    met = durable(sets.select("set", "members").mapInArrow(meeting, f"set {kind}, sig bigint, looks boolean, gone boolean, n int, b1 bigint, b2 bigint"), "signatures")
-    a, b = (met.where(~F.col("looks") if s == "a" else F.col("looks")).select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("set", "gone", "n", "b1", "b2"))) for s in "ab")
-    both = F.col("n_a") + F.col("n_b")
-    most = both - 2 * F.ceil(both * num / F.lit(float(num + den)) - 1e-9)
-    differ = F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b"))) + F.bit_count(F.col("b2_a").bitwiseXOR(F.col("b2_b")))
-    pairs = a.join(b, "sig").where(((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("set_a") < F.col("set_b"))) & (F.col("n_a") * den >= F.col("n_b") * num) & ~(F.col("gone_a") & F.col("gone_b")) & (differ <= most))
-    pairs = durable(pairs.select("set_a", "set_b").distinct(), "candidates")
-    sides = [sets.select(F.col("set").alias(f"set_{s}"), F.col("members").alias(f"m_{s}")) for s in "ab"]
+                # n, and in its lowest bits whether the set looks and whether a member is gone
+                held.append((sig, np.asarray(part.column(0))[own], (n[own] << 2) | (looks.astype(np.int32) << 1) | gone, _bitmaps(part.column(1))[own]))
+                size += len(sig)
+            if size >= HELD:
+                yield cut(held)
+                held, size = [], 0
+        if size:
+            yield cut(held)
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+        for blobs in parts_of(batches, [np.int64, np.int32, np.uint64]):
+            kept = estimated_repeated(blobs, load)
+            h, number, about, bits = (np.concatenate(x)[kept] for x in zip(*blobs))
+            n, looks, gone = (about >> 2).astype(np.int64), (about & 2) > 0, (about & 1) > 0
+            order = np.lexsort((n, h))
+            yield tuple([x[order[sel[order]]] for x in (h, n, number, bits, gone)] for sel in (~looks, looks))
+
+    sent = sets.select("number", "members").mapInArrow(signatures, "part int, hashes binary, c0 binary, c1 binary, c2 binary")
+    met = pairs_of(sent, parts, "a bigint, b bigint", sides, lambda: _Pairs(num, den), num, den, "candidates", hot)
+    pairs = met.distinct()
+    left, right = (sets.select(F.col("number").alias(c), F.col("set").alias(f"set_{c}"), F.col("members").alias(f"m_{c}")) for c in "ab")
     o = F.size(F.array_intersect("m_a", "m_b"))
-    return pairs.join(sides[0], "set_a").join(sides[1], "set_b").where(o * den >= num * (F.size("m_a") + F.size("m_b") - o)).select("set_a", "set_b")
+    return pairs.join(left, "a").join(right, "b").where(o * den >= num * (F.size("m_a") + F.size("m_b") - o)).select("set_a", "set_b")
 
 
 def _parts(b: pa.RecordBatch, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:

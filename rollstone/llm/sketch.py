@@ -1,9 +1,8 @@
-"""Count-min sketches with counters that stop at two, merged over partitions.
+"""Sketches of how often hashes occur, merged over partitions, and packing of sorted hashes.
 
-A sketch answers "does this 64-bit hash come from at least two records?" and never says no wrongly: it overestimates, and
-only those hashes go on to an exact grouping. Its size is fixed by parameters, so it can be broadcast whatever the input.
-Each partition sends the slots it fills as sorted gaps in byte planes, which the shuffle compresses; slots are merged by
-range of slots, each range in a task of its own.
+A sketch of counts never counts too few. It serves to order hashes by rarity and to leave out those of one record; results are the same however full it
+is. Its size has a bound, so it can be broadcast whatever the input. Each partition sends the slots it fills as sorted gaps in byte
+planes, which the shuffle compresses; slots are merged by range of slots, each range in a task of its own.
 """
 
 from __future__ import annotations
@@ -18,12 +17,10 @@ from pyspark.sql import DataFrame
 from ..work import durable, ship
 from .kernel import mix
 
-#: Rows of the sketch, the log2 of the slots of a row, and of the slots of a range. A row takes 2**27 bits, 16 MB.
-ROWS, WIDTH, RANGE = 2, 27, 20
-#: Slots that a task holds before it sends them on; bounds its memory.
+#: Rows of a count-min sketch, and the log2 of its slots where none is given.
+ROWS, WIDTH = 2, 27
+#: Hashes that a task holds before it sends them on; bounds its memory.
 HELD = 1 << 21
-#: Tasks that merge; each keeps some ranges, a megabyte each, whatever the number of senders.
-MERGERS = 32
 
 
 def slots(hashes: np.ndarray, row: int, width: int = WIDTH) -> np.ndarray:
@@ -50,128 +47,33 @@ def unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-class Counter:
-    """Counts packed pair codes (the first member in the upper half): sorts and counts what it holds, and sends it cut by parts."""
-
-    def __init__(self, parts: int, held: int = 1 << 21):
-        self.parts, self.most, self.codes, self.counts, self.size = parts, held, [], [], 0
-
-    def add(self, codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(codes):
-            self.codes.append(codes)
-            self.counts.append(counts)
-            self.size += len(codes)
-            if self.size >= self.most:
-                yield from self.rest()
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            codes, at = np.unique(np.concatenate(self.codes), return_inverse=True)
-            counts = np.minimum(np.bincount(at, np.concatenate(self.counts), len(codes)), 255).astype(np.uint8)
-            part = (mix((codes >> 32).astype(np.uint64)) >> np.uint64(16)) % np.uint64(self.parts)
-            order = np.argsort(part, kind="stable")
-            codes, counts, part = codes[order], counts[order], part[order].astype(np.int64)
-            cut = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = [*cut[1:], len(codes)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([pack(codes[a:b]) for a, b in zip(cut, ends)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["part", "codes", "counts"])
-            self.codes, self.counts, self.size = [], [], 0
-
-
-def repeated(df: DataFrame, column: str, width: int = WIDTH) -> Broadcast:
-    """Sketch of the array<bigint> column, in which each row's hashes count once; broadcast as one bit array a sketch row.
-
-    A bit is set where two rows at least fill the slot. Null arrays count as empty.
-    """
-    ship(df.sparkSession)
-    shift = np.uint32(min(RANGE, width))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            all_of = np.concatenate(held)
-            for row in range(ROWS):
-                s, n = np.unique(slots(all_of, row, width).astype(np.uint32), return_counts=True)
-                cut = np.flatnonzero(np.diff(s >> shift, prepend=np.uint32(0xFFFFFFFF)))
-                parts = [(s[a:b], n[a:b]) for a, b in zip(cut, [*cut[1:], len(s)])]
-                yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(parts), pa.int32()), "part": pa.array([int(x[0] >> shift) for x, _ in parts], pa.int32()), "once": pa.array([_pack32(x[k == 1] & np.uint32((1 << int(shift)) - 1)) for x, k in parts], pa.binary()), "more": pa.array([_pack32(x[k > 1] & np.uint32((1 << int(shift)) - 1)) for x, k in parts], pa.binary())})
-
-        for b in batches:
-            lists = b.column(0)
-            flat = np.asarray(lists.flatten()).view(np.uint64)
-            if not len(flat):
-                continue
-            # a row's repeated hashes count once
-            length = np.diff(np.asarray(lists.offsets)) if lists.null_count == 0 else np.asarray(lists.value_lengths().fill_null(0))
-            owner = np.repeat(np.arange(len(lists), dtype=np.int64), length)
-            order = np.lexsort((flat, owner))
-            f, o = flat[order], owner[order]
-            held.append(f[np.r_[True, (f[1:] != f[:-1]) | (o[1:] != o[:-1])]])
-            size += len(held[-1])
-            if size >= HELD:
-                yield from send()
-                held, size = [], 0
-        if size:
-            yield from send()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            for row, part, once, more in zip(*(c.to_pylist() for c in b.columns)):
-                count = counts.setdefault((row, part), np.zeros(1 << int(shift), np.uint8))
-                s = _unpack32(once)
-                count[s] = np.minimum(count[s] + 1, 2)
-                count[_unpack32(more)] = 2
-        for (row, part), count in counts.items():
-            yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())})
-
-    sent = df.select(column).mapInArrow(fill, "row int, part int, once binary, more binary")
-    merged = sent.repartition(MERGERS, "row", "part").mapInArrow(merge, "row int, part int, bits binary")
-    whole = [np.zeros(1 << max(width - 3, 0), np.uint8) for _ in range(ROWS)]
-    step = 1 << max(int(shift) - 3, 0)
-    for r in merged.collect():  # at most ROWS * 2**WIDTH bits, whatever the input
-        whole[r.row][r.part * step : r.part * step + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-    return df.sparkSession.sparkContext.broadcast(whole)
-
-
-def in_two(whole: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    """Which hashes the sketch estimates at two records or more."""
-    width = (len(whole[0]) * 8).bit_length() - 1
-    out = np.ones(len(hashes), bool)
-    for row, bits in enumerate(whole):
-        s = slots(hashes, row, width).astype(np.int64)
-        out &= (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
-    return out
-
-
-#: Slots of the sketch of frequencies; two bytes each.
+#: Slots of the sketch of frequencies; four bytes each.
 FREQUENCY = 20
 
 
 def frequencies(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width: int = FREQUENCY) -> Broadcast:
-    """One-row count-min sketch of how often hashes occur, counters up to 65,535; for ordering by rarity, never for results."""
+    """One-row count-min sketch of how often hashes occur, counters up to 2**32 - 1; for ordering by rarity, never for results."""
     ship(df.sparkSession)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << width, np.int64)
         for b in batches:
             total += np.bincount(slots(hashes(b), 0, width).astype(np.int64), minlength=1 << width)
-        total = np.minimum(total, 65535).astype(np.uint16).reshape(16, -1)
+        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).reshape(16, -1)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(16), pa.int32()), "counts": pa.array([x.tobytes() for x in total], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(*(c.to_pylist() for c in b.columns)):
-                totals[part] = totals.get(part, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
+                totals[part] = totals.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
         for part, total in totals.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
     merged = df.mapInArrow(fill, "part int, counts binary").repartition(8, "part").mapInArrow(merge, "part int, counts binary")
-    whole = np.zeros((16, (1 << width) // 16), np.uint16)
+    whole = np.zeros((16, (1 << width) // 16), np.uint32)
     for r in merged.collect():  # 2**width counters, whatever the input
-        whole[r.part] = np.frombuffer(r.counts, np.uint16)
+        whole[r.part] = np.frombuffer(r.counts, np.uint32)
     return df.sparkSession.sparkContext.broadcast(whole.ravel())
 
 
@@ -181,15 +83,20 @@ def frequency(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 
-#: Counters of the sketch that also tells which hashes only one record has; a byte each.
+#: Most counters of the sketch that also tells which hashes only one record has, as a power of two; a byte each.
 COUNTERS = 25
 
 
+def coded(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes: 0 and 1 as they are, 2 and more by their logarithm in eighths, so that the order stays right up to 2**31."""
+    return np.where(n > 1, 1 + np.floor(8 * np.log2(np.maximum(n, 1))), n).clip(0, 255).astype(np.uint8)
+
+
 def count_sketch(df: DataFrame, describe: Callable[[pa.RecordBatch], tuple[np.ndarray, list[pa.Array]]], schema: str, width: int = COUNTERS) -> tuple[Broadcast, DataFrame]:
     """One pass over df for a one-row count-min sketch and a table of rows.
 
-    describe: a batch's hashes (each once a record) and its rows of the table. The sketch's counters stop at 255 and never count too few;
-    partitions send the slots they fill as sorted gaps with counts.
+    describe: a batch's hashes (each once a record) and its rows of the table. Counters are broadcast as coded() bytes and never count too few
+    of one and two; partitions send the slots they fill as sorted gaps with counts.
     """
     ship(df.sparkSession)
     shift = max(width - 6, 0)
@@ -224,11 +131,10 @@ def count_sketch(df: DataFrame, describe: Callable[[pa.RecordBatch], tuple[np.nd
         totals: dict[int, np.ndarray] = {}
         for b in batches:
             for part, s, n in zip(*(c.to_pylist() for c in b.columns)):
-                total = totals.setdefault(part, np.zeros(1 << shift, np.uint8))
-                at = _unpack32(s)
-                total[at] = np.minimum(total[at].astype(np.uint16) + np.frombuffer(n, np.uint8), 255)
+                total = totals.setdefault(part, np.zeros(1 << shift, np.int64))
+                total[_unpack32(s)] += np.frombuffer(n, np.uint8)
         for part, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([coded(total).tobytes()], pa.binary())], ["part", "total"])
 
     both = durable(df.mapInArrow(fill, whole_schema), "described")
     merged = both.where("part IS NOT NULL").select("part", "slots", "counts").repartition(16, "part").mapInArrow(merge, "part int, total binary")

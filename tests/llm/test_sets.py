@@ -53,6 +53,9 @@ def test_similar_sets_are_those_of_brute_force(spark, baskets, limit, least):
     have = {i: s for i, s in by_id(baskets).items() if len(s) >= least}
     want = {(a, b) for a, b in itertools.combinations(sorted(have), 2) if len(have[a] & have[b]) >= limit * len(have[a] | have[b]) - 1e-9}
     assert want and got == want
+    # full sketches, many ranges and signatures in blocks change nothing
+    for sizes in ({"load": 10, "range_": 50, "hot": 2}, {"load": 1, "hot": 0}):
+        assert rows(neardup.expand_sets(setjoin.similar_sets(sets, limit, **sizes), members)) == want
 
 
 def test_segments_allow_what_similar_sets_may_differ():

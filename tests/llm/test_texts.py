@@ -116,8 +116,9 @@ def test_repeated_lines(spark):
     df = spark.createDataFrame(data, "id int, text string, source string").withColumn("line_no", F.lit("clash"))
     want = {(i, k) for i, t, s in data if i is not None and t is not None and s is not None for k, x in enumerate(t.split("\n")) if (s.strip().lower(), form(x)) in bad}
     assert rows(lines.repeated_lines(df)) == want
-    for limit in (1_000_000, 0):  # broadcast and shuffle
-        clean = lines.without_repeated_lines(df, limit=limit)
+    for threshold in ("10MB", "-1"):  # broadcast and shuffle
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        clean = lines.without_repeated_lines(df)
         assert clean.count() == len(data)
         got = {(r.id, r.clean, r.removed) for r in clean.collect() if r.id is not None}
         expect = set()
@@ -127,6 +128,7 @@ def test_repeated_lines(spark):
             kept = None if t is None else [x for x in t.split("\n") if s is None or (s.strip().lower(), form(x)) not in bad]
             expect.add((i, None if kept is None else "\n".join(kept), 0 if kept is None else len(t.split("\n")) - len(kept)))
         assert got == expect
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert lines.repeated_lines(df.limit(0)).count() == 0
 
 
@@ -158,6 +160,8 @@ def test_near_duplicates_are_those_of_brute_force(spark, texts, words, limit):
     sets = {k: shingles(t or "", words) for k, t in data if k is not None}
     want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= limit * len(sets[a] | sets[b]) - 1e-9}
     assert rows(neardup.expand_sets(pairs, members)) == want
+    # a full sketch and posting lists in blocks change nothing
+    assert rows(neardup.expand_sets(*neardup.similar_sets(df, "doc_id", F.coalesce("text", F.lit("")), words, limit, counters=6, hot=2))) == want
     group = {k: k for k in sets if sets[k]}
     for _ in range(len(group)):
         for a, b in want:
@@ -172,10 +176,12 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.expand_sets(pairs, members).count() == 0
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_null_and_doubled_keys_are_cleaned_by_their_own_lines(spark, limit):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_null_and_doubled_keys_are_cleaned_by_their_own_lines(spark, threshold):
     data = [(i, f"notice\nown {i}", "a") for i in range(9)] + [(None, "x\nnotice", "a"), (0, "y\nz\nnotice", " A"), (0, "notice\nw", "b"), (1, "notice", None), (2, None, "a")]
     df = spark.createDataFrame(data, "id int, text string, source string")
-    got = sorted(map(repr, (tuple(r) for r in lines.without_repeated_lines(df, least=8, limit=limit).collect())))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = sorted(map(repr, (tuple(r) for r in lines.without_repeated_lines(df, least=8).collect())))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = [(i, f"own {i}", 1) for i in range(9)] + [(None, "x", 1), (0, "y\nz", 1), (0, "notice\nw", 0), (1, "notice", 0), (2, None, 0)]
     assert got == sorted(map(repr, want))
