@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..work import durable
+from ..work import discard, durable
 from .kernel import mix, word_runs
 from .postings import by_range, pairs_of, parts_of
 from .sketch import COUNTERS, count_sketch, frequency
@@ -32,14 +32,14 @@ SHARE, RANGE = 4, 1 << 20
 HELD = 1 << 21
 
 
-def _digest(h: np.ndarray) -> bytes:
+def _halves(h: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """The digest of a set of hashes; the first half is the set's number."""
     with np.errstate(over="ignore"):
-        return np.array([h.sum(dtype=np.uint64), mix(h).sum(dtype=np.uint64)], np.uint64).tobytes()
+        return h.sum(dtype=np.uint64), mix(h).sum(dtype=np.uint64)
 
 
-def _number(h: np.ndarray) -> int:
-    """A set's number of 64 bits: the first half of its digest."""
-    return int(h.sum(dtype=np.uint64).view(np.int64))
+def _digest(h: np.ndarray) -> bytes:
+    return np.array(_halves(h), np.uint64).tobytes()
 
 
 def _profile(h: np.ndarray) -> tuple[int, int]:
@@ -60,13 +60,18 @@ class _Meetings:
         self.parts, self.num, self.den, self.held, self.size = parts, num, den, [], 0
 
     def add(self, left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-        (_, n_a, a, pos_a), (_, n_b, b, pos_b) = ([c[x] for c in side] for side, x in ((left, i), (right, j)))
+        n_a, n_b = left[1][i], right[1][j]
         least = -(-self.num * (n_a + n_b) // (self.num + self.den))
         share = np.minimum(least, SHARE)
-        near = ((n_a < n_b) | (a < b)) & (a != b) & (pos_a < n_a - least + share) & (pos_b < n_b - least + share)
-        if near.any():
-            self.held.append(_added(a[near], b[near], np.where(least[near] < SHARE, SHARE, 1)))
-            self.size += len(self.held[-1][0])
+        # positions first: they leave few pairs
+        near = np.flatnonzero((left[3][i] < n_a - least + share) & (right[3][j] < n_b - least + share))
+        a, b = left[2][i[near]], right[2][j[near]]
+        once = (n_a[near] < n_b[near]) | (a < b)
+        once &= a != b
+        near, a, b = near[once], a[once], b[once]
+        if len(near):
+            self.held.append((a, b, np.where(least[near] < SHARE, SHARE, 1)))
+            self.size += len(near)
             if self.size >= HELD:
                 yield from self.rest()
 
@@ -114,14 +119,16 @@ def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, simi
     def describe(b: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
         sets = list(word_runs(b.column(1).to_pylist(), words))
         at = [i for i, h in enumerate(sets) if len(h)]
-        rows = [(_digest(h), _number(h), int(mix(np.array([_number(h)]).view(np.uint64)).view(np.int64)[0]), len(h), *_profile(h)) for h in (sets[i] for i in at)]
-        cols = zip(*rows) if rows else [[]] * 6
+        digest = np.array([_halves(sets[i]) for i in at], np.uint64).reshape(-1, 2)
+        profile = [_profile(sets[i]) for i in at]
+        cols = [[d.tobytes() for d in digest], digest[:, 0].view(np.int64), mix(digest[:, 0]).view(np.int64), [len(sets[i]) for i in at], [p for p, _ in profile], [p for _, p in profile]]
         return np.concatenate([np.zeros(0, np.uint64), *sets]), [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())))]
 
     often, known = count_sketch(texts, describe, f"id {kind}, set binary, number bigint, mixed bigint, n int, p1 bigint, p2 bigint", min(max((2 * runs).bit_length(), 10), counters))
     members = durable(known.select("id", "set").distinct(), "members")
     sets = known.groupBy("set").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("number", "mixed", "n", "p1", "p2")))
     sets = durable(sets, "sets")
+    discard(known)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -140,7 +147,7 @@ def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, simi
                 f = frequency(often.value, h)
                 order = np.argsort(f, kind="stable")[: min(n - -(-num * n // den) + SHARE, n)]
                 pos = np.flatnonzero(f[order] > 1)
-                held.append((h[order[pos]] & ~np.uint64(0xFFFF), np.full(len(pos), _number(h)), np.full(len(pos), n), pos))
+                held.append((h[order[pos]] & ~np.uint64(0xFFFF), np.full(len(pos), h.sum(dtype=np.uint64).view(np.int64)), np.full(len(pos), n), pos))
                 total += len(pos)
             if total >= HELD:
                 yield send()
@@ -159,12 +166,13 @@ def similar_sets(df: DataFrame, key: str, text: Column, words: int = WORDS, simi
 
     lists = texts.select("content").mapInArrow(prefixes, "part int, hashes binary, c0 binary, c1 binary, c2 binary")
     met = pairs_of(lists, parts, "part int, firsts binary, seconds binary, counts binary", sides, lambda: _Meetings(parts, num, den), num, den, "meetings", hot)
-    met = met.repartition(min(parts, 20_000), "part").sortWithinPartitions("part").mapInArrow(_often, "a bigint, b bigint")
+    often_met = met.repartition(min(parts, 20_000), "part").sortWithinPartitions("part").mapInArrow(_often, "a bigint, b bigint")
     # a set's number is its digest's first half; the first number of a pair comes mixed
     a, b = (sets.select(F.col(number).alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "p1", "p2", "id"))) for s, number in (("a", "mixed"), ("b", "number")))
     both = F.col("n_a") + F.col("n_b")
     least = F.ceil(both * num / F.lit(float(num + den)) - 1e-9)  # overlap that the limit asks for; the exact test comes last
-    pairs = durable(met.join(a, "a").join(b, "b").where(_differ("a", "b") <= both - 2 * least).select("set_a", "set_b", "n_a", "n_b", "id_a", "id_b"), "candidates")
+    pairs = durable(often_met.join(a, "a").join(b, "b").where(_differ("a", "b") <= both - 2 * least).select("set_a", "set_b", "n_a", "n_b", "id_a", "id_b"), "candidates")
+    discard(met)
 
     ids = durable(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "needed")
 

@@ -153,4 +153,6 @@ def pairs_of(sent: DataFrame, parts: int, schema: str, reduce: Callable, join: C
     blocks = made.where("block IS NOT NULL").select("block")
     cold = made.where("block IS NULL").select(*names)
     n = blocks.count()
-    return cold.unionByName(blocks.repartition(max(1, min(n, 20_000)), F.xxhash64("block")).mapInArrow(second, schema)) if n else cold
+    out = cold.unionByName(blocks.repartition(max(1, min(n, 20_000)), F.xxhash64("block")).mapInArrow(second, schema)) if n else cold
+    out._rollstone_path = made._rollstone_path
+    return out

@@ -120,13 +120,19 @@ class _Pairs:
         self.num, self.den = num, den
 
     def add(self, left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-        (_, n_a, a, map_a, gone_a), (_, n_b, b, map_b, gone_b) = ([c[x] for c in side] for side, x in ((left, i), (right, j)))
+        n_a, n_b = left[1][i], right[1][j]
         both = n_a + n_b
         most = both - 2 * -(-self.num * both // (self.num + self.den))
-        fits = ((n_a < n_b) | (a < b)) & (a != b) & ~(gone_a & gone_b) & (np.bitwise_count(map_a ^ map_b) <= most)
-        codes = np.unique(np.stack([a[fits], b[fits]], axis=1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
-        if len(codes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(codes[:, 0])), pa.array(np.ascontiguousarray(codes[:, 1]))], ["a", "b"])
+        fits = np.flatnonzero(np.bitwise_count(left[3][i] ^ right[3][j]) <= most)
+        i, j = i[fits], j[fits]
+        a, b = left[2][i], right[2][j]
+        fits = ((n_a[fits] < n_b[fits]) | (a < b)) & (a != b) & ~(left[4][i] & right[4][j])
+        a, b = a[fits], b[fits]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        if len(a):
+            once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         return iter(())
@@ -147,7 +153,7 @@ def similar_sets(sets: DataFrame, similarity: float, load: float = 0.25, range_:
     often = frequencies(sets.select("members"), lambda b: np.asarray(b.column(0).flatten()).view(np.uint64))
     sets = sets.withColumn("number", F.xxhash64("set"))
     total = sets.agg(F.sum(F.size("members"))).first()[0] or 0
-    parts = max(16, -(-PER_MEMBER * total // range_))
+    parts = max(32, -(-PER_MEMBER * total // range_))
 
     def cut(held: list[tuple]) -> pa.RecordBatch:
         sig, *cols = (np.concatenate(x) for x in zip(*held))

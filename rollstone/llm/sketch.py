@@ -141,4 +141,6 @@ def count_sketch(df: DataFrame, describe: Callable[[pa.RecordBatch], tuple[np.nd
     whole = np.zeros((1 << (width - shift), 1 << shift), np.uint8)
     for r in merged.collect():  # 2**width bytes, whatever the input
         whole[r.part] = np.frombuffer(r.total, np.uint8)
-    return df.sparkSession.sparkContext.broadcast(whole.ravel()), both.where("part IS NULL").select(*names)
+    rows = both.where("part IS NULL").select(*names)
+    rows._rollstone_path = both._rollstone_path  # discard() ends both
+    return df.sparkSession.sparkContext.broadcast(whole.ravel()), rows
