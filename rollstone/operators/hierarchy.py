@@ -1,9 +1,10 @@
 """Problem 2: parent-child links to whole hierarchies.
 
-Weighted disjoint-set forests, in two levels. Each partition unites its own links: every node gets the top it reaches inside the
-partition and its offset from it. The tops that lie in other partitions are linked again among themselves, a much smaller
-table; while it is within a bound one task unites it, beyond the bound rounds of pointer doubling by joins do. A node's root
-and hops are its top's, plus the offset. Paths are put together the same way, each task following the parents by index.
+Weighted disjoint-set forests, merged over several levels. Each task unites its own links by size, keeping for every node its offset from the top
+of its tree, and finds the cycles that close inside it. Tops whose own link lies elsewhere, as far as another node ends at them, make the
+links of the next level: leaves never go up, so a level is much smaller than the one before, and takes fewer tasks, until one task holds what is
+left. A node's root and hops are its top's, plus the offset, level by level back down. Where ways have so few branches that a level doesn't
+shrink, rounds of pointer doubling by joins end it. Paths are put together the same way, each task following the parents by index.
 """
 
 from __future__ import annotations
@@ -17,8 +18,43 @@ from pyspark.sql import functions as F
 
 from ..work import discard, durable
 
-#: Links that one task unites; 24 bytes each.
-UNITED = 2_000_000
+#: Links that one task unites; about 200 bytes each.
+UNITED = 500_000
+
+
+class Forest:
+    """Disjoint sets of nodes 0 to n - 1, united by size with path compression. Each set is a tree with a top; a node's offset is its weighted distance from it."""
+
+    def __init__(self, n: int):
+        self.up, self.size, self.gap, self.of_rep = list(range(n)), [1] * n, [0] * n, [0] * n
+        self.top, self.turns = list(range(n)), [False] * n
+
+    def find(self, x: int) -> tuple[int, int]:
+        """The set's representative, and x's offset less the representative's."""
+        up, gap = self.up, self.gap
+        way = []
+        while up[x] != x:
+            way.append(x)
+            x = up[x]
+        total = 0
+        for y in reversed(way):
+            total += gap[y]
+            up[y], gap[y] = x, total
+        return x, total
+
+    def link(self, x: int, parent: int, weight: int) -> None:
+        """Puts x, the top of its set, under a node; if that node is in the set itself, the way turns in a circle."""
+        rx, _ = self.find(x)
+        rp, dp = self.find(parent)
+        if rx == rp:
+            self.turns[rx] = True
+            return
+        moved = self.of_rep[rx] + weight + self.of_rep[rp] + dp
+        big, small = (rp, rx) if self.size[rx] <= self.size[rp] else (rx, rp)
+        top, turns, size = self.top[rp], self.turns[rx] or self.turns[rp], self.size[rx] + self.size[rp]
+        self.of_rep[rx] = moved
+        self.up[small], self.gap[small] = big, self.of_rep[small] - self.of_rep[big]
+        self.top[big], self.turns[big], self.size[big] = top, turns, size
 
 
 def unite(ids: np.ndarray, up: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -26,26 +62,20 @@ def unite(ids: np.ndarray, up: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
     A node that is no id of these links is the last one reached; ids are distinct.
     """
-    order = np.argsort(ids)
-    ids, up, weight = ids[order], up[order], weight[order]
     n = len(ids)
-    at = np.minimum(np.searchsorted(ids, up), max(n - 1, 0))
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids[order], up), max(n - 1, 0))] if n else order
     inside = (up >= 0) & (ids[at] == up) if n else np.zeros(0, bool)
-    # past n: the node where the way leaves these links, with its own offset
-    to = np.where(inside, at, np.arange(n))
-    offset = np.where(inside, weight, 0)
-    for _ in range(max(n, 1).bit_length() + 1):
-        if not (inside[to]).any():
-            break
-        offset = offset + offset[to]
-        to = to[to]
-    cyclic = inside[to]
-    ends = up[to] >= 0
-    last = np.where(ends, up[to], ids[to])
-    total = offset + np.where(ends, weight[to], 0)
-    back = np.empty(n, np.int64)
-    back[order] = np.arange(n)
-    return last[back], total[back], cyclic[back]
+    forest = Forest(n)
+    rows = np.flatnonzero(inside)
+    for x, p, w in zip(rows.tolist(), at[rows].tolist(), weight[rows].tolist()):
+        forest.link(x, p, w)
+    found = [forest.find(x) for x in range(n)]
+    rep = np.fromiter((r for r, _ in found), np.int64, n)
+    total = np.fromiter((d for _, d in found), np.int64, n) + np.array(forest.of_rep, np.int64)[rep]
+    top = np.array(forest.top, np.int64)[rep]
+    leaves = up[top] >= 0
+    return np.where(leaves, up[top], ids[top]), total + np.where(leaves, weight[top], 0), np.array(forest.turns, bool)[rep]
 
 
 def _columns(batches: Iterator[pa.RecordBatch], k: int) -> list[np.ndarray]:
@@ -80,52 +110,93 @@ def _double(links: DataFrame, rounds: int) -> DataFrame:
     return links.join(roots, "top", "left").select("id", "top", "off", F.col("root").isNull().alias("cyclic"))
 
 
+def _least_of_cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (id, up, node) whose ways all end in cycles, to (id, root_name): the smallest name on the cycle."""
+    ids, ups, names = [], [], []
+    for b in batches:
+        ids += b.column(0).to_pylist()
+        ups += b.column(1).to_pylist()
+        names += b.column(2).to_pylist()
+    index = {x: i for i, x in enumerate(ids)}
+    up = [index[u] for u in ups]
+    least: list[str | None] = [None] * len(ids)
+    for i in range(len(ids)):
+        way, seen = [], {}
+        while least[i] is None and i not in seen:
+            seen[i] = len(way)
+            way.append(i)
+            i = up[i]
+        name = min(names[j] for j in way[seen[i] :]) if least[i] is None else least[i]
+        for j in way:
+            least[j] = name
+    if ids:
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(least, pa.string())], ["id", "root_name"])
+
+
 class Hierarchy:
     """Nodes of a table of parent-child rows, with their links.
 
     name, parent: columns of the names; a null doesn't exist. Nodes are the names and parents of all rows. Of several parents of
-    a name the smallest counts. Extra columns are ignored; an empty table has no nodes.
+    a name the smallest counts. Extra columns are ignored; an empty table has no nodes. united: links that one task unites.
     """
 
     def __init__(self, df: DataFrame, name: Column, parent: Column, united: int = UNITED):
-        self.united = united
+        self.united = max(united, 1)
         rows = df.select(name.alias("node"), parent.alias("parent")).where("node IS NOT NULL")
         both = rows.union(rows.select(F.col("parent").alias("node"), F.lit(None).cast("string")).where("node IS NOT NULL"))
         self.nodes = durable(both.groupBy("node").agg(F.min("parent").alias("parent")).withColumn("id", F.monotonically_increasing_id()), "nodes")
         ups = self.nodes.select(F.col("node").alias("parent"), F.col("id").alias("up"))
         self.links = durable(self.nodes.join(ups, "parent", "left").select("id", "up", "node"), "links")
-        self.local = durable(self.links.select("id", "up", F.lit(1).cast("bigint")).mapInArrow(_unite_task, "id bigint, top bigint, off bigint, cyclic boolean"), "united")
-        self._resolve()
-
-    def _resolve(self) -> None:
-        # tops that are another partition's: their own links lead on
-        tops = self.local.where("NOT cyclic AND top <> id").select("top").distinct().withColumnRenamed("top", "id")
-        upper = durable(self.local.where("NOT cyclic").join(tops, "id", "left_semi").select("id", "top", "off"), "upper")
-        n = upper.count()
-        if n <= self.united:
-            links = upper.select("id", F.when(F.col("top") != F.col("id"), F.col("top")).alias("up"), "off")
-            over = links.coalesce(1).mapInArrow(_unite_task, "id bigint, top bigint, off bigint, cyclic boolean")
-        else:
-            # a top whose own way is cyclic inside its partition isn't here; ways to it end there and are cyclic too
-            known = upper.select(F.col("id").alias("top"), F.lit(True).alias("known"))
-            closed = upper.join(known, "top", "left").select("id", F.when(F.col("known"), F.col("top")).otherwise(-1).alias("top"), "off")
-            over = _double(closed.union(self.links.sparkSession.createDataFrame([(-1, -1, 0)], "id bigint, top bigint, off bigint")), n.bit_length() + 1)
-            over = over.select("id", "top", "off", (F.col("cyclic") | (F.col("top") == -1)).alias("cyclic")).where("id <> -1")
-        over = over.select(F.col("id").alias("top"), F.col("top").alias("root"), F.col("off").alias("more"), F.col("cyclic").alias("turns"))
-        caught = self.local.where("cyclic").select(F.col("id").alias("root"), F.lit(True).alias("caught"))
-        over = durable(over.join(caught, "root", "left").select("top", "root", "more", (F.col("turns") | F.coalesce("caught", F.lit(False))).alias("turns")), "over")
-        all_ = self.local.join(over, "top", "left")
-        # a node that is its own top, or whose top is cyclic in its partition, has no upper row
-        stuck = self.local.where("cyclic").select(F.col("id").alias("top"), F.lit(True).alias("stuck"))
-        all_ = all_.join(stuck, "top", "left")
-        turns = F.col("cyclic") | F.coalesce("turns", F.lit(False)) | F.coalesce("stuck", F.lit(False))
-        self.found = durable(all_.select("id", F.coalesce("root", "top").alias("root"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("hops"), turns.alias("cyclic")), "found")
+        #: Links of each level.
+        self.levels: list[int] = []
+        self.found = self._resolve()
+
+    def _resolve(self) -> DataFrame:
+        """(id, root, hops, cyclic) of all nodes."""
+        schema = "id bigint, top bigint, off bigint, cyclic boolean"
+        rows = self.links.select("id", "up", F.lit(1).cast("bigint").alias("w"))
+        n = self.nodes.count()
+        reached: list[DataFrame] = []
+        while True:
+            self.levels.append(n)
+            parts = max(1, -(-n // self.united))
+            spread = rows.repartition(parts, F.xxhash64(F.lit(len(self.levels)), "id")) if parts > 1 else rows.coalesce(1)
+            level = durable(spread.mapInArrow(_unite_task, schema), "united")
+            reached.append(level)
+            if parts == 1:
+                break
+            # links of the next level: the tops that ways of others end at; one on a cycle is its own parent
+            tops = level.where("NOT cyclic AND top <> id").select("top").distinct().withColumnRenamed("top", "id")
+            up = F.when(F.col("cyclic"), F.col("id")).when(F.col("top") != F.col("id"), F.col("top"))
+            rows = durable(level.join(tops, "id", "left_semi").select("id", up.alias("up"), F.when(F.col("cyclic"), 0).otherwise(F.col("off")).cast("bigint").alias("w")), "tops")
+            before, n = n, rows.count()
+            if n > self.united and n > before * 0.8:
+                self.levels.append(n)
+                reached.append(self._doubled(rows, n))
+                break
+        out = reached.pop()
+        while reached:
+            above = out.select(F.col("id").alias("top"), F.col("top").alias("t"), F.col("off").alias("o"), F.col("cyclic").alias("c"))
+            out = reached.pop().join(above, "top", "left").select("id", F.coalesce("t", "top").alias("top"), (F.col("off") + F.coalesce("o", F.lit(0))).alias("off"), (F.col("cyclic") | F.coalesce("c", F.lit(False))).alias("cyclic"))
+        return durable(out.select("id", F.col("top").alias("root"), F.col("off").alias("hops"), "cyclic"), "found")
+
+    def _doubled(self, rows: DataFrame, n: int) -> DataFrame:
+        """The same for links that no task holds, by pointer doubling; a link to itself is a cycle."""
+        # -1 stands for the cycles that are known already
+        given = rows.select("id", F.when(F.col("up") == F.col("id"), -1).otherwise(F.coalesce("up", "id")).alias("top"), F.col("w").alias("off"))
+        given = given.select("id", "top", F.when(F.col("top") == F.col("id"), 0).otherwise(F.col("off")).cast("bigint").alias("off"))
+        ends = rows.sparkSession.createDataFrame([(-1, -1, 0)], "id bigint, top bigint, off bigint")
+        out = _double(given.union(ends), n.bit_length() + 1).where("id <> -1")
+        return out.select("id", "top", "off", (F.col("cyclic") | (F.col("top") == -1)).alias("cyclic"))
 
     def _cycles(self) -> DataFrame:
-        """(id, root name) of the nodes on or below a cycle: the smallest name on the cycle, by doubling with the smallest name so far."""
-        caught = self.links.join(self.found.where("cyclic").select("id"), "id", "left_semi")
-        step = durable(caught.select("id", F.col("up").alias("to"), F.col("node").alias("least")), "cycles")
-        n = step.count()
+        """(id, root name) of the nodes on or below a cycle: the smallest name on the cycle."""
+        caught = durable(self.links.join(self.found.where("cyclic").select("id"), "id", "left_semi").select("id", "up", "node"), "caught")
+        n = caught.count()
+        if n <= self.united:
+            return caught.coalesce(1).mapInArrow(_least_of_cycles, "id bigint, root_name string")
+        # by doubling with the smallest name so far
+        step = caught.select("id", F.col("up").alias("to"), F.col("node").alias("least"))
         for _ in range(n.bit_length()):
             on = step.select(F.col("id").alias("to"), F.col("to").alias("t"), F.col("least").alias("l"))
             new = durable(step.join(on, "to").select("id", F.col("t").alias("to"), F.least("least", "l").alias("least")), "cycles")
@@ -180,5 +251,3 @@ class Hierarchy:
         """name, descendant, distance: every node below each node (not itself), cycles left out. As many rows as there are steps in all paths."""
         each = self.paths().select(F.col("name").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("pos", "name"))
         return each.where("pos < n - 1").select("name", "descendant", (F.col("n") - 1 - F.col("pos")).alias("distance"))
-
-

@@ -47,7 +47,7 @@ def links():
     return made + made[:10]
 
 
-@pytest.mark.parametrize("parts,united", [(1, 10**6), (7, 10**6), (7, 0), (16, 3)])
+@pytest.mark.parametrize("parts,united", [(1, 10**6), (7, 10**6), (7, 0), (16, 3), (64, 40)])
 def test_roots_paths_and_descendants(spark, links, parts, united):
     df = spark.createDataFrame(links, "name string, parent string").withColumn("id", F.lit("clash"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -75,6 +75,20 @@ def test_unite_gives_offsets_and_leaves_at_foreign_tops():
     assert cyclic.tolist() == [False, False, True, False] and last[3] == 4 and total[3] == 0
 
 
+def test_levels_shrink_and_merge_without_adaptive_plans(spark):
+    links = [(f"n{i}", f"n{(i - 1) // 3}") for i in range(1, 3000)] + [("n0", None)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        h = Hierarchy(spark.createDataFrame(links, "name string, parent string").repartition(64), F.col("name"), F.col("parent"), 200)
+        want = brute(links)
+        assert {r.name: (r.root, r.hops) for r in h.roots().collect()} == {n: v[:2] for n, v in want.items()}
+        assert len(h.levels) > 2 and all(b < 0.5 * a for a, b in zip(h.levels, h.levels[1:]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_name_form_and_visibility(spark):
     rows = [(" a \t_b_", True), ("__", None), (None, False), ("a b", None)]
     df = spark.createDataFrame(rows, "name string, skip_in_analysis boolean")
