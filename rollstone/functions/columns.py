@@ -147,12 +147,11 @@ def contains_any(c: Column | str, words: list[str]) -> Column:
     return F.when(c.isNotNull(), out)
 
 
-def subsets(c: Column | str, limit: int = 12) -> Column:
-    """All subsets of the first limit members, the empty one included, by ascending bit pattern."""
-    c = F.slice(_c(c), 1, limit)
-    masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), limit) - 1)
-    n = F.size(c)
-    return F.transform(F.filter(masks, lambda m: m < F.pow(F.lit(2), n)), lambda m: F.filter(c, lambda _, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1))
+def subsets(c: Column | str) -> Column:
+    """All subsets of a list's members, the empty one included, by ascending bit pattern; there are 2 to the power of its length, and Spark refuses more than an array can hold."""
+    c = _c(c)
+    masks = F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size(c)) - 1)
+    return F.when(c.isNotNull(), F.transform(masks, lambda m: F.filter(c, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1)))
 
 
 @F.pandas_udf(StringType())

@@ -6,9 +6,6 @@ documents first, so every join starts from the small side; all tables stay distr
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,6 +56,32 @@ def path_counts(paths_: DataFrame) -> DataFrame:
     return paths_.groupBy("doc", "category", "target", F.when(F.col("hop").isNull(), 1).otherwise(2).alias("length")).agg(F.count("*").alias("n"))
 
 
+def counted(members: DataFrame, triples: DataFrame, wikilinks: DataFrame, context: DataFrame) -> DataFrame:
+    """path_counts(paths(...)) without the paths: per target, the members that each hop next to it has, less what the document itself holds.
+
+    Two-step paths of a (category, target) are counted once for all documents; a document takes off those through its own entities and from its own members.
+    """
+    key = ["doc", "category", "target"]
+    links = durable(undirected(wikilinks).select(F.col("a").alias("target"), F.col("b").alias("hop")), "links")
+    step = durable(triples.select(F.col("subject").alias("member"), F.col("object").alias("hop")).where("member IS NOT NULL AND hop IS NOT NULL").distinct(), "steps")
+    own = members.select("category", "entity").distinct()
+    inside = context.select("doc", "category", "entity").distinct()
+    ctx = durable(inside.join(own, ["category", "entity"], "left_anti").select("doc", "category", F.col("entity").alias("target")), "targets")
+    present = durable(inside.join(own, ["category", "entity"], "left_semi").select("doc", "category", F.col("entity").alias("member")), "present")
+    free = own.withColumnRenamed("entity", "member")
+    # one step: links of a target to members that the document lacks
+    direct = ctx.join(links.withColumnRenamed("hop", "member"), "target").join(free, ["category", "member"]).join(present, ["doc", "category", "member"], "left_anti").groupBy(*key).agg(F.count("*").alias("n")).withColumn("length", F.lit(1))
+    # two steps: all of them, without those through the document's entities, without those from its members through other hops
+    width = durable(free.join(step, "member").groupBy("category", "hop").agg(F.count("*").alias("n")), "widths")
+    whole = links.join(ctx.select("target").distinct(), "target", "left_semi").join(width, "hop").groupBy("category", "target").agg(F.sum("n").alias("n"))
+    plus = ctx.join(whole, ["category", "target"]).select(*key, "n")
+    hops = inside.withColumnRenamed("entity", "hop")
+    through = ctx.join(hops, ["doc", "category"]).join(links, ["target", "hop"], "left_semi").join(width, ["category", "hop"]).select(*key, (-F.col("n")).alias("n"))
+    from_own = present.join(step, "member").join(hops, ["doc", "category", "hop"], "left_anti").join(ctx, ["doc", "category"]).join(links, ["target", "hop"], "left_semi").select(*key, F.lit(-1).cast("bigint").alias("n"))
+    two = plus.unionByName(through).unionByName(from_own).groupBy(*key).agg(F.sum("n").alias("n")).where("n > 0").withColumn("length", F.lit(2))
+    return direct.unionByName(two).select(*key, "length", "n")
+
+
 def path_sum(length: Column | str, n: Column | str) -> Column:
     """Aggregate: sum of 0.5 ** length * n."""
     length, n = (F.col(x) if isinstance(x, str) else x for x in (length, n))
@@ -73,78 +96,72 @@ def relevance(counts: DataFrame, context: DataFrame, members: DataFrame) -> Data
     return out.select("doc", "category", F.round("c", 6).alias("connectivity"), F.round(squash("c"), 6).alias("relevance"))
 
 
-def _pick(options: list, *key) -> tuple:
-    """A seeded choice that depends on the key alone."""
-    return options[zlib.crc32("|".join(map(str, key)).encode()) % len(options)]
+def _numbered(df: DataFrame, group: list[str], node: str, salt: int) -> DataFrame:
+    """Distinct (group, node) with i{salt}, from 1 in the order of the node, and n{salt}, how many the group has."""
+    w = W.partitionBy(*group)
+    return df.select(*group, node).distinct().withColumn(f"i{salt}", F.row_number().over(w.orderBy(node))).withColumn(f"n{salt}", F.count("*").over(w))
 
 
-def random_walks(paths_: DataFrame, walks: int = 50, seed: int = 0) -> DataFrame:
-    """doc, category, walk, member, hop, target, probability, estimate: seeded walks down the tree of all paths of a (doc, category).
+def random_walks(paths_: DataFrame, walks: int = 50, seed: int = 0, key: tuple[str, ...] = ("doc", "category"), per_group: DataFrame | None = None) -> DataFrame:
+    """key, walk, member, hop, target, probability, estimate: seeded walks down the tree of all paths of a group (key).
 
-    Each step picks evenly among the sorted next nodes from which a target is still reached; estimate is 1 / probability. The same seed gives the same rows whatever the partitioning.
+    Each step picks evenly among the next nodes from which a target is still reached; estimate is 1 / probability, rounded. A step is a join on the number of the
+    node that the hash of (seed, key, walk) names, so the same seed gives the same rows whatever the partitioning. per_group (key, walks) gives
+    each group a number of walks of its own.
     """
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, category = key
-        tree: dict = {}
-        for m, h, t in sorted(zip(pdf["member"], pdf["hop"].fillna(""), pdf["target"])):
-            tree.setdefault(m, {}).setdefault(h, []).append(t)
-        out = []
-        for i in range(walks):
-            nodes = sorted(tree)
-            m = _pick(nodes, seed, doc, category, i, 1)
-            hops = sorted(tree[m])
-            h = _pick(hops, seed, doc, category, i, 2)
-            t = _pick(tree[m][h], seed, doc, category, i, 3)
-            p = 1 / (len(nodes) * len(hops) * len(tree[m][h]))
-            out.append((doc, category, i, m, h or None, t, p, round(1 / p)))
-        return pd.DataFrame(out, columns=["doc", "category", "walk", "member", "hop", "target", "probability", "estimate"])
-
-    kind = paths_.schema["doc"].dataType.simpleString()
-    return paths_.groupBy("doc", "category").applyInPandas(walk, f"doc {kind}, category string, walk int, member string, hop string, target string, probability double, estimate long")
-
-
-def blind_walks(members: DataFrame, triples: DataFrame, wikilinks: DataFrame, context: DataFrame, walks: int = 100, seed: int = 0) -> DataFrame:
+    k = list(key)
+    tree = durable(paths_.withColumn("hop", F.coalesce("hop", F.lit(""))), "tree")
+    nodes = [_numbered(tree, k, "member", 1), _numbered(tree, [*k, "member"], "hop", 2), _numbered(tree, [*k, "member", "hop"], "target", 3)]
+    groups = tree.select(*k).distinct()
+    groups = groups.withColumn("walks", F.lit(walks)) if per_group is None else groups.join(per_group, k)
+    now = groups.where("walks > 0").withColumn("walk", F.explode(F.sequence(F.lit(0), F.col("walks").cast("int") - 1))).drop("walks").withColumn("probability", F.lit(1.0))
+    at = list(k)
+    for salt, (node, col) in enumerate(zip(nodes, ("member", "hop", "target")), 1):
+        size = node.select(*at, f"n{salt}").distinct()
+        place = (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *k, "walk"), F.col(f"n{salt}")) + 1).cast("int")
+        now = now.join(size, at).withColumn(f"i{salt}", place).join(node.drop(f"n{salt}"), [*at, f"i{salt}"])
+        now = now.withColumn("probability", F.col("probability") / F.col(f"n{salt}")).drop(f"i{salt}", f"n{salt}")
+        at.append(col)
+    return now.select(*k, "walk", "member", F.when(F.col("hop") != "", F.col("hop")).alias("hop"), *([] if "target" in k else ["target"]), "probability", F.round(1 / F.col("probability")).cast("bigint").alias("estimate"))
+
+
+def blind_walks(members: DataFrame, triples: DataFrame, wikilinks: DataFrame, context: DataFrame, walks: int = 600, seed: int = 0) -> DataFrame:
     """doc, category, walk, success, probability, estimate: walks of one or two steps from a random member without the tree; dead ends count as 0.
 
-    Steps are joins on the walks' present nodes: the choice is the hash of (seed, walk, neighbour) that comes first, so neighbours aren't collected.
+    Each node's neighbours are numbered once; a step joins the walk to the neighbour whose number the hash of (seed, doc, category, walk) names.
     """
     start = context.select("doc", "category").distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
-    links = undirected(wikilinks)
 
     def step(now: DataFrame, edges: DataFrame, at: str, to: str, salt: int) -> DataFrame:
-        near = now.join(edges, at)
-        w = W.partitionBy("doc", "category", "walk")
-        order = F.xxhash64(F.lit(seed), F.lit(salt), "doc", "category", "walk", to)
-        near = near.withColumn("_d", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy(order, to)))
-        return near.where("_n = 1").withColumn("p", F.col("p") / F.col("_d")).drop("_d", "_n")
+        near = durable(_numbered(edges, [at], to, salt), "near")
+        size = near.select(at, f"n{salt}").distinct()
+        place = (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "doc", "category", "walk"), F.col(f"n{salt}")) + 1).cast("int")
+        now = now.join(size, at).withColumn(f"i{salt}", place).join(near.drop(f"n{salt}"), [at, f"i{salt}"])
+        return now.withColumn("p", F.col("p") / F.col(f"n{salt}")).drop(f"i{salt}", f"n{salt}")
 
     at = step(start.withColumn("p", F.lit(1.0)), members.select("category", F.col("entity").alias("member")), "category", "member", 1)
     two = F.pmod(F.xxhash64(F.lit(seed), F.lit(9), "doc", "category", "walk"), F.lit(2)) == 1
     at = at.withColumn("node", F.col("member"))
-    direct = at.where(~two)
-    via = step(at.where(two), triples.select(F.col("subject").alias("node"), F.col("object").alias("mid")).where("node IS NOT NULL AND mid IS NOT NULL").distinct(), "node", "mid", 2).withColumn("node", F.col("mid")).drop("mid")
-    end = step(direct.unionByName(via), links.select(F.col("a").alias("node"), F.col("b").alias("target")), "node", "target", 3)
-    hit = context.select("doc", "category", F.col("entity").alias("target")).distinct().join(members.select("category", F.col("entity").alias("target")), ["category", "target"], "left_anti").withColumn("hit", F.lit(True))
-    end = end.join(hit, ["doc", "category", "target"], "left").where("hit").select("doc", "category", "walk", "p")
+    via = step(at.where(two), triples.select(F.col("subject").alias("node"), F.col("object").alias("mid")).where("node IS NOT NULL AND mid IS NOT NULL"), "node", "mid", 2).withColumn("node", F.col("mid")).drop("mid")
+    end = step(at.where(~two).unionByName(via), undirected(wikilinks).select(F.col("a").alias("node"), F.col("b").alias("target")), "node", "target", 3)
+    hit = context.select("doc", "category", F.col("entity").alias("target")).distinct().join(members.select("category", F.col("entity").alias("target")), ["category", "target"], "left_anti")
+    end = end.join(hit, ["doc", "category", "target"], "left_semi").select("doc", "category", "walk", "p")
     out = start.join(end, ["doc", "category", "walk"], "left")
     return out.select("doc", "category", "walk", F.col("p").isNotNull().alias("success"), F.coalesce("p", F.lit(0.0)).alias("probability"), F.coalesce(F.floor(1 / F.col("p") * 2), F.lit(0)).alias("estimate"))
 
 
 def targeted_walks(paths_: DataFrame, tries: int = 10, seed: int = 0) -> DataFrame:
-    """As random_walks, but so many walks for each target."""
-    each = paths_.withColumn("category", F.concat_ws("\u0001", "category", "target"))
-    out = random_walks(each, tries, seed)
-    return out.withColumn("category", F.substring_index("category", "\u0001", 1))
+    """As random_walks, but so many walks for each target, over the paths to it alone."""
+    return random_walks(paths_, tries, seed, ("doc", "category", "target"))
 
 
-def collective_walks(paths_: DataFrame, context: DataFrame, per_target: int = 500, seed: int = 0) -> DataFrame:
-    """doc, category, target, walks, hits, estimate: walks over the whole tree, per_target times the number of reached targets, with 0 for context entities not hit."""
-    n = paths_.groupBy("doc", "category").agg(F.count_distinct("target").alias("n")).agg(F.max("n")).first()[0] or 1
-    got = random_walks(paths_, per_target * min(n, 20), seed)
+def collective_walks(paths_: DataFrame, context: DataFrame, per_entity: int = 500, seed: int = 0) -> DataFrame:
+    """doc, category, target, walks, hits, estimate: walks over the whole tree, per_entity times the number of the group's context entities, with 0 for those not hit."""
+    ctx = context.select("doc", "category", F.col("entity").alias("target")).distinct()
+    got = durable(random_walks(paths_, 0, seed, per_group=ctx.groupBy("doc", "category").agg((F.count("*") * per_entity).alias("walks"))), "walks")
     total = got.groupBy("doc", "category").agg(F.count("*").alias("walks"))
     per = got.groupBy("doc", "category", "target").agg(F.count("*").alias("hits"), F.sum("estimate").alias("weight"))
-    out = context.select("doc", "category", F.col("entity").alias("target")).distinct().join(total, ["doc", "category"]).join(per, ["doc", "category", "target"], "left")
+    out = ctx.join(total, ["doc", "category"]).join(per, ["doc", "category", "target"], "left")
     return out.select("doc", "category", "target", "walks", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("weight", F.lit(0)) / F.col("walks")).alias("estimate"))
 
 
@@ -165,21 +182,26 @@ def common_neighbours(links: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def three_hop_counts(links: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target, one, two, three: walks of one to three links between sources and targets that don't pass through either end.
+    """source, target, one, two, three: walks of one to three links between sources and targets that don't pass through either end; pairs with any walk.
 
-    All pairs of the two lists are in the result (they are query terms), zeros included.
+    Walks are counted, not listed: two-link counts of the sources are summed up before the third link is joined, and those that come to the target too early are taken off.
     """
     u = durable(undirected(links), "links")
     s, t = sources.select("source").distinct(), targets.select("target").distinct()
-    first = s.join(u.select(F.col("a").alias("source"), F.col("b").alias("x")), "source")
-    last = t.join(u.select(F.col("a").alias("target"), F.col("b").alias("y")), "target")
-    one = first.where("source <> x").join(t, F.col("x") == F.col("target")).groupBy("source", "target").agg(F.count("*").alias("one"))
-    two = first.join(last, F.col("x") == F.col("y")).where("source <> target AND x <> target AND y <> source").groupBy("source", "target").agg(F.count("*").alias("two"))
-    three = first.join(u.select(F.col("a").alias("x"), F.col("b").alias("y")), "x").join(last, "y").where("source <> target AND x <> target AND y <> source AND x <> y").groupBy("source", "target").agg(F.count("*").alias("three"))
-    counts = one.join(two, ["source", "target"], "full").join(three, ["source", "target"], "full")
-    grid = s.withColumn("_k", F.lit(1)).join(t.withColumn("_k", F.lit(1)), "_k").drop("_k").where("source <> target")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return grid.join(counts, ["source", "target"], "left").select("source", "target", zero("one"), zero("two"), zero("three"))
+    first = durable(s.join(u.select(F.col("a").alias("source"), F.col("b").alias("x")), "source"), "first")
+    last = u.select(F.col("a").alias("y"), F.col("b").alias("target")).join(t, "target", "left_semi")
+    n = lambda c: F.col(c).cast("bigint")
+    one = first.select("source", F.col("x").alias("target"), F.lit(1).alias("one")).join(t, "target", "left_semi")
+    near = durable(first.join(u.select(F.col("a").alias("x"), F.col("b").alias("y")), "x").where("source <> y").groupBy("source", "y").agg(F.count("*").alias("ways")), "two_links")
+    two = near.select("source", F.col("y").alias("target"), n("ways").alias("two")).join(t, "target", "left_semi")
+    # the second node may not be the target: where source and target are linked, each further neighbour of the target gives one such walk
+    all_three = near.join(last, "y").where("source <> target").groupBy("source", "target").agg(F.sum("ways").alias("all"))
+    around = u.groupBy(F.col("a").alias("target")).agg((F.count("*") - 1).alias("early"))
+    early = one.join(around, "target").select("source", "target", "early")
+    three = all_three.join(early, ["source", "target"], "left").select("source", "target", (F.col("all") - F.coalesce("early", F.lit(0))).alias("three"))
+    zero = lambda c: F.coalesce(n(c), F.lit(0).cast("bigint")).alias(c)
+    both = one.join(two, ["source", "target"], "full").join(three, ["source", "target"], "full")
+    return both.select("source", "target", zero("one"), zero("two"), zero("three")).where("source <> target AND one + two + three > 0")
 
 
 def reachable(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -231,8 +253,9 @@ def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataF
     return df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).orderBy("_h", *key).limit(n).drop("_h")
 
 
-
-
-def prefixed_walks(paths_: DataFrame, member: str, tries: int = 50, seed: int = 0) -> DataFrame:
-    """random_walks with the first node given: only paths through the member, whose probability counts from there."""
-    return random_walks(paths_.where(F.col("member") == member), tries, seed)
+def prefixed_walks(paths_: DataFrame, prefix: list[str], tries: int = 50, seed: int = 0) -> DataFrame:
+    """random_walks whose first nodes are given (a member, or a member and a hop): the probability counts from the end of the prefix."""
+    held = paths_
+    for c, v in zip(("member", "hop"), prefix):
+        held = held.where(F.col(c) == v)
+    return random_walks(held, tries, seed)

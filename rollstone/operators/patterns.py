@@ -63,20 +63,49 @@ def children(patterns: DataFrame, covered_: DataFrame, dec: DataFrame, least_sco
 def mine(dec: DataFrame, seeds: DataFrame, max_level: int | None = None, least_score: float = 0.5, least_docs: int = 5) -> DataFrame:
     """name, level, document_count, relevance of all patterns with at least least_docs documents, level by level, a whole level in one job.
 
-    A level without patterns ends the search; max_level, if given, ends it earlier.
+    A pattern grows by the concepts that children() would give it: those that occur in least_docs of its documents by an entity that stands for none of its
+    concepts there. A level without patterns ends the search; max_level, if given, ends it earlier. Concepts travel as 64-bit hashes, and a document's
+    triples lie in one row, so that a level is one join with the documents and one with the concepts' documents.
     """
-    level, found = seeds.select("name", F.array("name").alias("categories")), None
+    code = F.xxhash64("category")
+    strong = dec.where(F.col("score") >= least_score)
+    per = durable(strong.groupBy("doc", "category").agg(F.collect_set(F.xxhash64("entity")).alias("e"), F.sum("score").alias("score")).select("doc", code.alias("c"), "category", "e", "score"), "strong")
+    profile = durable(per.groupBy("doc").agg(F.collect_list(F.struct("c", "e")).alias("all")), "profiles")
+    names = durable(per.select("c", "category").distinct(), "names")
+    level = seeds.select(F.array(F.xxhash64("name")).alias("p")).distinct()
+    parts = []
     for k in count(1):
-        level = durable(level.dropDuplicates(["name"]), "level")
-        cov = durable(covered(level, dec, least_score), "covered")
-        kept = coverage(cov).where(F.col("document_count") >= least_docs)
-        rows = durable(kept.withColumn("level", F.lit(k)), "patterns")
-        found = rows if found is None else found.unionByName(rows)
-        if k == max_level or not rows.limit(1).count():
+        each = level.select(F.xxhash64("p").alias("id"), "p", F.explode("p").alias("c")).join(per.select("c", "doc", "e", "score"), "c")
+        hold = each.groupBy("id", "doc").agg(F.first("p").alias("p"), F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("e")))).alias("entities"), F.sum("score").alias("score"))
+        hold = durable(hold.where(f"n = {k} AND entities >= {k}").select("id", "p", "doc", "score"), "covered")
+        kept = durable(hold.groupBy("id").agg(F.first("p").alias("p"), F.count("*").alias("document_count"), score_sum().alias("relevance")).where(F.col("document_count") >= least_docs), "patterns")
+        parts.append(kept.withColumn("level", F.lit(k)))
+        if k == max_level or not kept.limit(1).count():
             break
-        alive = level.join(rows.select("name"), "name", "left_semi")
-        level = children(alive, cov.join(rows.select("name"), "name", "left_semi"), dec, least_score, least_docs).select("name", "categories")
-    return found.select("name", "level", "document_count", "relevance")
+        rows = hold.join(kept.select("id"), "id", "left_semi").join(profile, "doc")
+        used = F.flatten(F.transform(F.filter("all", lambda x: F.array_contains("p", x["c"])), lambda x: x["e"]))
+        fresh = F.filter("all", lambda x: ~F.array_contains("p", x["c"]) & F.exists(x["e"], lambda e: ~F.array_contains("used", e)))
+        grown = rows.withColumn("used", used).select("id", "p", F.explode(F.transform(fresh, lambda x: x["c"])).alias("c"))
+        grown = grown.groupBy("id", "c").agg(F.first("p").alias("p"), F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
+        level = grown.select(F.array_sort(F.array_append("p", F.col("c"))).alias("p")).distinct()
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    named = found.select("id", "level", "document_count", "relevance", F.explode("p").alias("c")).join(names, "c")
+    return named.groupBy("id", "level", "document_count", "relevance").agg(set_key(F.collect_list("category")).alias("name")).select("name", "level", "document_count", "relevance")
+
+
+def refreshed(patterns: DataFrame, dec: DataFrame, members: DataFrame, least_score: float = 0.5, least_docs: int = 5) -> DataFrame:
+    """name, document_count, relevance, diversity, state of the given patterns, scored anew.
+
+    state is score_updated for at least least_docs documents (such patterns are to be expanded by children()), else expanded. A pattern without documents has 0 of each.
+    """
+    cov = covered(patterns, dec, least_score)
+    best = diversity(patterns, cov, dec, members).groupBy("name").agg(F.max("pattern_diversity").alias("diversity"))
+    out = patterns.select("name").distinct().join(coverage(cov), "name", "left").join(best, "name", "left")
+    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    out = out.select("name", zero("document_count", 0), zero("relevance", 0.0), zero("diversity", 0.0))
+    return out.withColumn("state", F.when(F.col("document_count") >= least_docs, "score_updated").otherwise("expanded"))
 
 
 def concept_pairs(dec: DataFrame, docs: DataFrame) -> DataFrame:

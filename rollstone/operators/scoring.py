@@ -7,18 +7,22 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import drift, is_valid_concept, specificity
+from ..functions.columns import drift, is_valid_concept, specificity, squash
 from ..work import discard, durable
 
 
-def entity_tfidf(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
+def entity_tfidf(mentions: DataFrame, tokens: DataFrame, containing: bool = False) -> DataFrame:
     """doc, entity, tfidf = round(tf / tokens * log10(N / df), 3); mentions: doc, entity, one row a mention; tokens: doc, n_tokens.
 
-    N counts the documents of tokens. A document without tokens gets null.
+    N counts the documents of tokens. A document without tokens gets null. containing: tf counts the document's mentions whose id contains
+    the entity's key (what follows its last colon), so that an id within another counts for both.
     """
     n = tokens.agg(F.count("*")).first()[0]
     tf = mentions.where("doc IS NOT NULL AND entity IS NOT NULL").groupBy("doc", "entity").agg(F.count("*").alias("tf"))
     df = tf.groupBy("entity").agg(F.count("*").alias("df"))
+    if containing:
+        other = tf.select("doc", F.col("entity").alias("id"), F.col("tf").alias("times"))
+        tf = tf.join(other, "doc").where(F.contains("id", F.substring_index("entity", ":", -1))).groupBy("doc", "entity").agg(F.sum("times").alias("tf"))
     rows = tf.join(df, "entity").join(tokens.select("doc", "n_tokens"), "doc", "left")
     return rows.select("doc", "entity", F.round(F.when(F.col("n_tokens") > 0, F.col("tf") / F.col("n_tokens") * F.log10(F.lit(n) / F.col("df"))), 3).alias("tfidf"))
 
@@ -55,30 +59,51 @@ def seeds(totals_: DataFrame, dec: DataFrame, known: DataFrame, least_concept: f
     return rows.where((F.col("concept_score") > least_concept) & (F.col("by_specificity") >= least_total)).select(F.col("category").alias("name")).distinct().join(known.select("name"), "name", "left_anti")
 
 
-def expand_concepts(dec: DataFrame, hierarchy: DataFrame, depth: int | None = None, floor: float = 0.03) -> DataFrame:
-    """doc, entity, category, score, step: concepts with the parents they are lifted to.
+def expand_concepts(dec: DataFrame, mentions: DataFrame, hierarchy: DataFrame, scores: DataFrame, floor: float = 0.03) -> DataFrame:
+    """doc, entity, category, concept_score, routes, step: the scored triples (step 0) with the parents they are lifted to.
 
-    A document's threshold is the mean of its scores, but at least floor; a concept that reaches it is lifted to its parents, whose score is the best child's
-    score times 0.95 to the power of the parent's number of children. Parents that the document has already aren't added; lifting goes on from new rows
-    that reach the threshold, until none do, so cycles end; depth, if given, ends it earlier.
+    dec: doc, entity, category, concept_score; mentions: doc, entity, tfidf; scores: doc, category, concept_score of any concept in any document (none: 0).
+    A document's threshold is the mean of tfidf * concept_score over its triples, but at least floor; triples that reach it are lifted to those parents
+    that the document hasn't got yet. A new triple's concept score is its own, by scores, times 0.95 to the power of the parent's number of children; it is lifted
+    again if that isn't below the score of the triple it came from. The best of several such triples counts (ties: the smallest). A document gets a
+    concept in one step only, so cycles end; a document without scored triples isn't expanded. routes: the concepts it was lifted through.
     """
-    links = hierarchy.groupBy("parent").agg(F.count("*").alias("children"), F.collect_set("name").alias("names")).select("parent", "children", F.explode("names").alias("category"))
-    scored = dec.where("score IS NOT NULL").select("doc", "entity", "category", "score")
-    limit = durable(scored.groupBy("doc").agg(F.greatest(F.avg("score"), F.lit(floor)).alias("least")), "limits")
-    known = durable(scored.withColumn("step", F.lit(0)), "expanded")
+    links = hierarchy.select("name", "parent").distinct()
+    links = durable(links.join(links.groupBy("parent").agg(F.count("*").alias("children")), "parent").select(F.col("name").alias("category"), "parent", "children"), "links")
+    base = dec.where("concept_score IS NOT NULL").join(mentions.select("doc", "entity", "tfidf"), ["doc", "entity"]).where("tfidf IS NOT NULL")
+    scored = base.select("doc", "entity", "category", "concept_score", (F.col("tfidf") * F.col("concept_score")).alias("weight"))
+    limit = scored.groupBy("doc").agg(F.greatest(F.avg("weight"), F.lit(floor)).alias("least"))
+    kept = ["doc", "entity", "category", "concept_score", "routes"]
+    given = scored.withColumn("routes", F.array().cast("array<string>"))
+    parts = [given.select(*kept, F.lit(0).alias("step"))]
+    front = durable(given.join(limit, "doc").where("weight >= least").select(*kept), "front")
+    have = durable(dec.select("doc", "category").distinct(), "have")
+    scores = scores.select("doc", "category", F.col("concept_score").alias("own"))
     for step in count(1):
-        if depth is not None and step > depth:
-            break
-        front = known.where(F.col("step") == step - 1).join(limit, "doc").where("score >= least")
-        up = front.join(links, "category").groupBy("doc", "entity", F.col("parent").alias("category")).agg(F.max(F.col("score") * drift("children")).alias("score"))
-        new = durable(up.join(known.select("doc", "category").distinct(), ["doc", "category"], "left_anti").withColumn("step", F.lit(step)), "new")
+        up = front.join(links, "category").select("doc", "entity", F.col("parent").alias("category"), "children", F.col("concept_score").alias("child_score"), F.array_append("routes", F.col("category")).alias("routes"))
+        up = up.join(have, ["doc", "category"], "left_anti").join(scores, ["doc", "category"], "left")
+        score = F.round(F.coalesce("own", F.lit(0.0)) * drift("children"), 8)
+        best = F.min(F.struct((-F.col("child_score")).alias("m"), "routes"))
+        new = up.withColumn("concept_score", score).groupBy("doc", "entity", "category").agg(F.first("concept_score").alias("concept_score"), best.alias("b"))
+        new = durable(new.select("doc", "entity", "category", "concept_score", F.col("b.routes").alias("routes"), (-F.col("b.m")).alias("child_score")), "lifted")
         if not new.limit(1).count():
             break
-        grown = durable(known.unionByName(new), "expanded")
-        discard(known)
-        discard(new)
-        known = grown
-    return known.withColumn("score", F.round("score", 6))
+        parts.append(new.select(*kept, F.lit(step).alias("step")))
+        grown = durable(have.unionByName(new.select("doc", "category").distinct()), "have")
+        discard(have)
+        have, front = grown, new.where("concept_score >= child_score").select(*kept)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def member_relevance(mentions: DataFrame, members: DataFrame) -> DataFrame:
+    """doc, category, concept_score: the share of a document's entities that the graph has as members of the concept, squashed."""
+    per = mentions.select("doc", "entity").distinct()
+    size = per.groupBy("doc").agg(F.count("*").alias("n"))
+    hits = per.join(members.select("entity", "category").distinct(), "entity").groupBy("doc", "category").agg(F.count("*").alias("k"))
+    return hits.join(size, "doc").select("doc", "category", F.round(squash(F.col("k") / F.col("n")), 8).alias("concept_score"))
 
 
 def linked_triples(mentions: DataFrame, members: DataFrame, ignored_types: list[str] | None = None, ignored_words: list[str] | None = None) -> DataFrame:

@@ -5,11 +5,16 @@ dec: doc, entity, category, score (see plans.views); one row per key. Lists give
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import set_key
+from ..work import ship
+
 
 def score_sum(c: str = "score", digits: int = 6) -> Column:
     return F.round(F.coalesce(F.sum(c), F.lit(0.0)), digits)
@@ -49,48 +54,74 @@ def sentiment_histogram(docs: DataFrame, sentiment: DataFrame) -> DataFrame:
     return s.agg(F.count("*").alias("total"), pos.alias("positive"), neg.alias("negative"), (F.count("*") - pos - neg).alias("neutral"))
 
 
-def subtopics(dec: DataFrame, docs: DataFrame, concepts: list[str], stats: DataFrame, least_score: float = 0.01, least_docs: int = 2) -> DataFrame:
-    """category, docs, coverage, n_entities, diversity, specificity, rank_score of the concepts beside those asked for in a result set.
+def fresh_rows(dec: DataFrame, docs: DataFrame, concepts: list[str], least_score: float = 0.01) -> DataFrame:
+    """dec's rows of the result's documents for other concepts than those asked for, by entities that don't stand for an asked one in the same document.
 
-    Rows of entities that stand for an asked concept in the same document don't count, nor scores below least_score.
+    Without concepts (a search by entities only) all rows of the documents from least_score on count.
     """
+    rows = dec.where(F.col("score") >= least_score).join(docs.select("doc"), "doc", "left_semi")
+    if not concepts:
+        return rows
     used = dec.where(F.col("category").isin(concepts)).select("doc", "entity").distinct()
-    rows = dec.where((F.col("score") >= least_score) & ~F.col("category").isin(concepts)).join(docs.select("doc"), "doc", "left_semi").join(used, ["doc", "entity"], "left_anti")
-    per = rows.groupBy("category").agg(F.count_distinct("doc").alias("docs"), score_sum().alias("coverage"), F.count_distinct("entity").alias("n_entities"), F.count("*").alias("n")).where(F.col("docs") >= least_docs)
-    out = per.join(stats.select(F.col("name").alias("category"), "specificity"), "category", "left")
-    diversity = F.col("n_entities") / F.col("n")
-    return out.select("category", "docs", "coverage", "n_entities", F.round(diversity, 6).alias("diversity"), "specificity", F.round(F.col("coverage") + diversity + F.coalesce("specificity", F.lit(0.0)), 6).alias("rank_score"))
+    return rows.where(~F.col("category").isin(concepts)).join(used, ["doc", "entity"], "left_anti")
 
 
-def overlap_groups(ranked: DataFrame, dec: DataFrame, docs: DataFrame) -> DataFrame:
-    """category, group_no: all ranked concepts in their order, each put to the first group that shares an entity with it.
+def subtopics(fresh: DataFrame, stats: DataFrame, least_docs: int = 2) -> DataFrame:
+    """category, docs, coverage, n_entities, diversity, specificity, rank_score of the concepts of fresh_rows in at least least_docs documents.
 
-    The pass depends on the order and runs in one task that holds the concepts and their entity sets; each entity names the first group it is in.
+    Only categories with more than one entity both in the graph and in the corpus have a specificity (0 for a null one); the others rank with 0.
     """
-    entities = dec.join(docs.select("doc"), "doc", "left_semi").join(ranked.select("category", "rank_score"), "category").groupBy("category", "rank_score").agg(F.collect_set("entity").alias("entities"))
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank_score", "category"], ascending=[False, True])
-        first: dict[str, int] = {}
-        numbers: list[int] = []
-        n = 0
-        for entities in pdf["entities"]:
-            at = min((first[e] for e in entities if e in first), default=n + 1)
-            n = max(n, at)
-            for e in entities:
-                first[e] = min(first.get(e, at), at)
-            numbers.append(at)
-        return pd.DataFrame({"category": pdf["category"], "group_no": numbers})
+    per = fresh.groupBy("category").agg(F.count_distinct("doc").alias("docs"), score_sum().alias("coverage"), F.count_distinct("entity").alias("n_entities"), F.count("*").alias("n")).where(F.col("docs") >= least_docs)
+    general = stats.where("kg_count > 1 AND corpus_count > 1").select(F.col("name").alias("category"), F.coalesce("specificity", F.lit(0.0)).alias("specificity"))
+    diversity = F.col("n_entities") / F.col("n")
+    rank = F.coalesce(F.round(F.col("coverage") + diversity + F.col("specificity"), 6), F.lit(0.0))
+    return per.join(general, "category", "left").select("category", "docs", "coverage", "n_entities", F.round(diversity, 6).alias("diversity"), "specificity", rank.alias("rank_score"))
 
-    return entities.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(group, "category string, group_no int")
 
+def overlap_groups(ranked: DataFrame, fresh: DataFrame) -> DataFrame:
+    """category, group_no: the ranked concepts in their order, each put to the first group that has an entity of it, or to a new one; groups never merge later.
 
-def group_tree(groups: DataFrame, ranked: DataFrame, kept: int = 4) -> DataFrame:
-    """category, branch: the largest groups by the sum of their ranks, all others as branch kept + 1."""
-    g = groups.join(ranked.select("category", "rank_score"), "category")
-    size = g.groupBy("group_no").agg(F.round(F.sum("rank_score"), 6).alias("total"))
-    n = F.row_number().over(W.orderBy(F.desc("total"), "group_no"))
-    return g.join(size.select("group_no", F.when(n <= kept, n).otherwise(kept + 1).alias("branch")), "group_no").select("category", "branch")
+    The pass depends on the order, so it streams through one task, which holds a number for each entity of the result and nothing else.
+    """
+    codes = fresh.join(ranked.select("category", "rank_score"), "category").select("rank_score", "category", F.xxhash64("entity").alias("entity")).distinct()
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[int, int] = {}
+        groups, now = 0, None
+        held: list[int] = []
+
+        def placed() -> int:
+            nonlocal groups
+            at = min((first[e] for e in held if e in first), default=groups + 1)
+            groups = max(groups, at)
+            for e in held:
+                first[e] = min(first.get(e, at), at)
+            return at
+
+        for b in batches:
+            names, numbers = [], []
+            for category, entity in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if category != now and held:
+                    names.append(now)
+                    numbers.append(placed())
+                    held = []
+                now = category
+                held.append(entity)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int32())], ["category", "group_no"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([placed()], pa.int32())], ["category", "group_no"])
+
+    ship(fresh.sparkSession)
+    return codes.coalesce(1).sortWithinPartitions(F.desc("rank_score"), "category").mapInArrow(group, "category string, group_no int")
+
+
+def group_tree(groups: DataFrame, ranked: DataFrame, fresh: DataFrame, kept: int = 4) -> DataFrame:
+    """category, branch, rank_score: the largest groups by the sum of their categories, entities and documents (ties: the earlier group), all others as branch kept + 1."""
+    rows = fresh.join(groups, "category")
+    size = rows.groupBy("group_no").agg((F.count_distinct("category") + F.count_distinct("entity") + F.count_distinct("doc")).alias("size"))
+    top = size.orderBy(F.desc("size"), "group_no").limit(kept).withColumn("branch", F.row_number().over(W.orderBy(F.desc("size"), "group_no"))).select("group_no", "branch")
+    named = groups.join(ranked.select("category", "rank_score"), "category").join(F.broadcast(top), "group_no", "left")
+    return named.select("category", F.coalesce("branch", F.lit(kept + 1)).alias("branch"), "rank_score")
 
 
 def entity_search(dec: DataFrame, word: str, least_score: float = 0.1) -> DataFrame:
@@ -128,17 +159,29 @@ def similar_by_entities(mentions: DataFrame, docs: DataFrame, limit: int = 100)
     return per.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
-def similar_by_patterns(dec: DataFrame, concepts: list[str], exclude: list[int], limit: int) -> DataFrame:
-    """doc, patterns, n_concepts, rank_score: documents that cover all the concepts, by how many combinations of further concepts of the same entities they have.
+def _product(lists: Column, more: Column) -> Column:
+    """Every list with every one of the values put behind it."""
+    return F.flatten(F.transform(lists, lambda p: F.transform(more, lambda c: F.concat(p, F.array(c)))))
+
+
+def similar_by_patterns(dec: DataFrame, wanted: dict[str, str], exclude: list[int], limit: int) -> DataFrame:
+    """doc, pattern (the first), n_patterns, n_concepts, pattern_docs, rank_score: documents that cover all wanted concepts by as many different entities.
 
-    A document's combinations are the product over its matching entities of their numbers of concepts; they are counted, not made.
+    wanted: concept to the original entity it replaces. An entity of a document stands for one concept (the largest name); its candidate patterns are the product,
+    over the original entities, of the concepts found for them. rank_score is 10 a pattern and 100 a concept of a pattern, less the number of documents
+    that have the first pattern too. The documents of exclude are left out before the limit.
     """
-    docs = rollup(dec, concepts).where(~F.col("doc").isin(exclude) if exclude else F.lit(True))
-    entities = dec.where(F.col("category").isin(concepts)).select("doc", "entity").distinct()
-    per = dec.join(entities, ["doc", "entity"]).join(docs.select("doc"), "doc", "left_semi").groupBy("doc", "entity").agg(F.count("*").alias("n"))
-    out = per.groupBy("doc").agg(F.round(F.sum(F.log10("n")), 6).alias("patterns"), F.sum("n").alias("n_concepts"))
-    out = out.withColumn("rank_score", F.round(F.col("patterns") * 10 + F.col("n_concepts") * 100, 4))
-    return out.orderBy(F.desc("rank_score"), "doc").limit(limit)
+    docs = rollup(dec, list(wanted)).where(~F.col("doc").isin(exclude) if exclude else F.lit(True))
+    found = matches(dec, docs, list(wanted)).groupBy("doc").agg(F.collect_set("category").alias("found"))
+    made = F.array(F.array().cast("array<string>"))
+    for original in sorted(set(wanted.values())):
+        own = F.array_intersect("found", F.array(*(F.lit(c) for c in sorted(wanted) if wanted[c] == original)))
+        made = F.when(F.size(own) > 0, _product(made, own)).otherwise(made)
+    keys = found.select("doc", F.array_sort(F.transform(made, lambda p: set_key(p))).alias("patterns"), F.size(made[0]).cast("bigint").alias("n_concepts"))
+    each = keys.select("doc", F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("pattern_docs"))
+    rows = keys.select("doc", F.element_at("patterns", 1).alias("pattern"), F.size("patterns").cast("bigint").alias("n_patterns"), "n_concepts").join(each, "pattern")
+    rank = F.col("n_patterns") * 10 + F.col("n_concepts") * 100 - F.col("pattern_docs")
+    return rows.withColumn("rank_score", rank).select("doc", "pattern", "n_patterns", "n_concepts", "pattern_docs", "rank_score").orderBy(F.desc("rank_score"), "doc").limit(limit)
 
 
 def entity_concepts(members: DataFrame, entities: list[str]) -> DataFrame:
@@ -147,8 +190,8 @@ def entity_concepts(members: DataFrame, entities: list[str]) -> DataFrame:
 
 
 def concept_entities(dec: DataFrame, concepts: list[str]) -> DataFrame:
-    """category, entities: the corpus' entities of each concept."""
-    return dec.where(F.col("category").isin(concepts)).groupBy("category").agg(F.array_join(F.array_sort(F.collect_set("entity")), "|").alias("entities"), F.count_distinct("entity").alias("n_entities"))
+    """category, entity, n_docs: the corpus' entities of each concept, a row each, so that no concept's extension meets in one row."""
+    return dec.where(F.col("category").isin(concepts)).groupBy("category", "entity").agg(F.count("*").alias("n_docs"))
 
 
 def document_concepts(dec: DataFrame, stats: DataFrame, docs: DataFrame) -> DataFrame:
@@ -159,10 +202,10 @@ def document_concepts(dec: DataFrame, stats: DataFrame, docs: DataFrame) -> Data
     return rows.join(s, "category", "left").withColumn("place", F.row_number().over(w))
 
 
-def by_stored_patterns(patterns: DataFrame, dec: DataFrame, doc: int, limit: int) -> DataFrame:
-    """other, n_patterns, n_entities: documents that share a stored pattern with a document, by the number of shared patterns. patterns: name, categories, documents (arrays)."""
-    own = patterns.where(F.array_contains("documents", F.lit(doc)))
-    each = own.select("name", "categories", F.explode("documents").alias("doc")).where(F.col("doc") != doc)
+def by_stored_patterns(stored: DataFrame, dec: DataFrame, doc: int, limit: int) -> DataFrame:
+    """other, n_patterns, n_entities: documents that share a stored pattern with a document, by the number of shared patterns. stored: name, categories (array), doc: a row a pattern and document."""
+    own = stored.where(F.col("doc") == doc).select("name")
+    each = stored.where(F.col("doc") != doc).join(own, "name", "left_semi")
     hits = each.select("name", "doc", F.explode("categories").alias("category")).join(dec.select("doc", "category", "entity"), ["doc", "category"])
     per = hits.groupBy(F.col("doc").alias("other")).agg(F.count_distinct("name").alias("n_patterns"), F.count_distinct("entity").alias("n_entities"))
     return per.orderBy(F.desc("n_patterns"), F.desc("n_entities"), "other").limit(limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import evaluation, graph, patterns, scoring, search, upsert
 from ..operators.components import components
-from ..work import table
+from ..work import durable, table
 from .registry import QUERIES, SQL
 from .views import dec, documents, hierarchy, members, mentions, sql, stats, top_concepts, top_entities
 
@@ -73,22 +73,46 @@ def rollup_by_source(s, d):
     return _result(s, d)[2].join(docs, "doc").groupBy("source").agg(F.count("*").alias("docs"), F.round(F.sum("score"), 6).alias("score"))
 
 
-SUBTOPICS = ROLLUP + """, used AS (SELECT DISTINCT doc, entity FROM dec WHERE category IN (FROM concepts)),
-fresh AS (SELECT * FROM dec WHERE score >= 0.01 AND category NOT IN (FROM concepts) AND doc IN (SELECT doc FROM result) AND NOT EXISTS (FROM used u WHERE u.doc = dec.doc AND u.entity = dec.entity)),
-per AS (SELECT category, count(DISTINCT doc) AS docs, round(coalesce(sum(score), 0), 6) AS coverage, count(DISTINCT entity) AS n_entities, count(*) AS n FROM fresh GROUP BY category HAVING count(DISTINCT doc) >= 2)"""
+FRESH = """, used AS (SELECT DISTINCT doc, entity FROM dec WHERE category IN (FROM concepts)),
+fresh AS (SELECT * FROM dec WHERE score >= 0.01 AND category NOT IN (FROM concepts) AND doc IN (SELECT doc FROM result) AND NOT EXISTS (FROM used u WHERE u.doc = dec.doc AND u.entity = dec.entity))"""
+RANKED = """, per AS (SELECT category, count(DISTINCT doc) AS docs, round(coalesce(sum(score), 0), 6) AS coverage, count(DISTINCT entity) AS n_entities, count(*) AS n FROM fresh GROUP BY category HAVING count(DISTINCT doc) >= 2),
+general AS (SELECT name, coalesce(specificity, 0) AS specificity FROM stats WHERE kg_count > 1 AND corpus_count > 1),
+ranked AS (SELECT category, docs, coverage, n_entities, round(n_entities / n, 6) AS diversity, specificity, coalesce(round(coverage + n_entities / n + specificity, 6), 0) AS rank_score FROM per LEFT JOIN general ON name = category)"""
+# the greedy pass as one fold over the ranked lists of entities: g holds the groups' entities, a the group of each concept so far
+TREE = """, lists AS (SELECT category, rank_score, list(DISTINCT entity) AS e FROM fresh JOIN ranked USING (category) GROUP BY ALL),
+steps AS (SELECT list({'g': [e], 'a': [category], 'n': NULL::INTEGER[]} ORDER BY rank_score DESC, category) AS l FROM lists),
+folded AS (SELECT list_reduce(l, lambda acc, x: CASE WHEN list_position(list_transform(acc.g, lambda y: list_has_any(y, x.g[1])), true) IS NULL
+THEN {'g': list_append(acc.g, x.g[1]), 'a': list_append(acc.a, x.a[1]), 'n': list_append(acc.n, CAST(len(acc.g) + 1 AS INTEGER))}
+ELSE {'g': list_transform(acc.g, lambda y, i: CASE WHEN i = list_position(list_transform(acc.g, lambda z: list_has_any(z, x.g[1])), true) THEN list_distinct(list_concat(y, x.g[1])) ELSE y END),
+'a': list_append(acc.a, x.a[1]), 'n': list_append(acc.n, CAST(list_position(list_transform(acc.g, lambda z: list_has_any(z, x.g[1])), true) AS INTEGER))} END,
+{'g': []::VARCHAR[][], 'a': []::VARCHAR[], 'n': []::INTEGER[]}) AS f FROM steps),
+groups AS (SELECT unnest(f.a) AS category, unnest(f.n) AS group_no FROM folded),
+sized AS (SELECT group_no, count(DISTINCT category) + count(DISTINCT entity) + count(DISTINCT doc) AS size FROM fresh JOIN groups USING (category) GROUP BY group_no),
+placed AS (SELECT group_no, row_number() OVER (ORDER BY size DESC, group_no) AS place FROM sized)"""
+
+
+def _fresh(s, d):
+    t, concepts, docs = _result(s, d)
+    return search.fresh_rows(t, durable(docs.select("doc"), "result"), concepts)
 
 
-@query(SUBTOPICS + " SELECT category, docs, coverage, n_entities, round(n_entities / n, 6) AS diversity, specificity, round(coverage + n_entities / n + coalesce(specificity, 0), 6) AS rank_score FROM per LEFT JOIN stats ON name = category")
+@query(ROLLUP + FRESH + RANKED + " SELECT * FROM ranked")
 def drilldown_subtopics(s, d):
-    t, concepts, docs = _result(s, d)
-    return search.subtopics(t, docs, concepts, stats(s, d))
+    return search.subtopics(_fresh(s, d), stats(s, d))
 
 
-@query(None)
+@query(ROLLUP + FRESH + RANKED + TREE + " SELECT category, CAST(CASE WHEN place <= 4 THEN place ELSE 5 END AS INTEGER) AS branch, rank_score FROM groups JOIN placed USING (group_no) JOIN ranked USING (category)")
 def drilldown_tree(s, d):
-    t, concepts, docs = _result(s, d)
-    ranked = search.subtopics(t, docs, concepts, stats(s, d))
-    return search.group_tree(search.overlap_groups(ranked, t, docs), ranked)
+    fresh = durable(_fresh(s, d), "fresh")
+    ranked = durable(search.subtopics(fresh, stats(s, d)), "ranked")
+    return search.group_tree(durable(search.overlap_groups(ranked, fresh), "groups"), ranked, fresh)
+
+
+@query(", result AS (SELECT DISTINCT doc FROM dec WHERE entity IN (FROM entities)), fresh AS (SELECT * FROM dec WHERE score >= 0.01 AND doc IN (SELECT doc FROM result))" + RANKED + " SELECT * FROM ranked")
+def drilldown_by_entities(s, d):
+    """The branch of a search by entities only: all rows of its documents count."""
+    t = dec(s, d)
+    return search.subtopics(search.fresh_rows(t, search.rollup_entities(t, top_entities(mentions(s, d))), []), stats(s, d))
 
 
 @query(", r AS (SELECT DISTINCT entity FROM dec WHERE entity_score > 0.1 AND contains(lower(entity), 'bank')) SELECT entity, CAST(length(entity) AS INTEGER) AS n_chars FROM r")
@@ -132,13 +156,31 @@ def similar_docs_by_entities(s, d):
     return search.similar_by_entities(mentions(s, d), _some(s, d), 10)
 
 
-@query(ROLLUP + """, e AS (SELECT DISTINCT doc, entity FROM dec WHERE category IN (FROM concepts) AND doc IN (SELECT doc FROM result)),
-per AS (SELECT doc, entity, count(*) AS n FROM dec JOIN e USING (doc, entity) GROUP BY doc, entity),
-out AS (SELECT doc, round(sum(log10(n)), 6) AS patterns, CAST(sum(n) AS BIGINT) AS n_concepts FROM per GROUP BY doc)
-SELECT *, round(patterns * 10 + n_concepts * 100, 4) AS rank_score FROM out ORDER BY rank_score DESC, doc LIMIT 20""")
+WANTED = """, three AS (SELECT category, row_number() OVER (ORDER BY count(*) DESC, category) AS i FROM dec GROUP BY category QUALIFY i <= 3), pair AS (SELECT min(entity) AS e1, max(entity) AS e2 FROM (SELECT entity FROM entities LIMIT 2)),
+wanted AS (SELECT category, CASE WHEN i < 3 THEN 'first' ELSE 'second' END AS original FROM three),
+result AS (SELECT doc FROM dec WHERE category IN (SELECT category FROM wanted) GROUP BY doc HAVING count(DISTINCT category) = 3 AND count(DISTINCT entity) >= 3)"""
+
+
+@query(WANTED + """, one AS (SELECT doc, entity, max(category) AS category FROM dec WHERE category IN (SELECT category FROM wanted) AND doc IN (SELECT doc FROM result) AND doc NOT IN (4, 9) GROUP BY doc, entity),
+found AS (SELECT DISTINCT doc, category, original FROM one JOIN wanted USING (category)),
+a AS (SELECT doc, category FROM found WHERE original = 'first'), b AS (SELECT doc, category FROM found WHERE original = 'second'),
+p AS (SELECT doc, array_to_string(list_sort([x for x in [a.category, b.category] if x IS NOT NULL]), ',') AS pattern, CASE WHEN a.category IS NULL OR b.category IS NULL THEN 1 ELSE 2 END AS k FROM a FULL JOIN b USING (doc)),
+n AS (SELECT pattern, count(*) AS pattern_docs FROM p GROUP BY pattern), q AS (SELECT doc, min(pattern) AS pattern, count(*) AS n_patterns, CAST(max(k) AS BIGINT) AS n_concepts FROM p GROUP BY doc)
+SELECT doc, pattern, n_patterns, n_concepts, pattern_docs, n_patterns * 10 + n_concepts * 100 - pattern_docs AS rank_score FROM q JOIN n USING (pattern) ORDER BY rank_score DESC, doc LIMIT 20""")
 def similar_docs_by_patterns(s, d):
     t = dec(s, d)
-    return search.similar_by_patterns(t, top_concepts(t), [], 20)
+    concepts = top_concepts(t, 3)
+    return search.similar_by_patterns(t, dict(zip(concepts, ("first", "first", "second"))), [4, 9], 20)
+
+
+@query(""", strong AS (SELECT DISTINCT doc, entity, category FROM dec WHERE score >= 0.5), per AS (SELECT category AS name, doc FROM strong GROUP BY ALL), mine AS (SELECT name FROM per WHERE doc = (SELECT min(doc) FROM per)),
+hits AS (SELECT p.doc AS other, p.name, d.entity FROM per p JOIN mine USING (name) JOIN dec d ON d.doc = p.doc AND d.category = p.name WHERE p.doc <> (SELECT min(doc) FROM per))
+SELECT other, count(DISTINCT name) AS n_patterns, count(DISTINCT entity) AS n_entities FROM hits GROUP BY other ORDER BY n_patterns DESC, n_entities DESC, other LIMIT 30""")
+def similar_docs_by_stored_patterns(s, d):
+    t, p, cov = _single(s, d)
+    stored = cov.join(p, "name").select("name", "categories", "doc")
+    first = stored.agg(F.min("doc")).first()[0]
+    return search.by_stored_patterns(stored, t, first, 30)
 
 
 @query(" SELECT entity, string_agg(category, '|' ORDER BY category) AS categories FROM members WHERE entity IN (FROM entities) GROUP BY entity")
@@ -146,7 +188,7 @@ def entity_concepts(s, d):
     return search.entity_concepts(members(s, d), top_entities(mentions(s, d)))
 
 
-@query(" SELECT category, string_agg(DISTINCT entity, '|' ORDER BY entity) AS entities, count(DISTINCT entity) AS n_entities FROM dec WHERE category IN (FROM concepts) GROUP BY category")
+@query(" SELECT category, entity, count(*) AS n_docs FROM dec WHERE category IN (FROM concepts) GROUP BY ALL")
 def concept_entities(s, d):
     t = dec(s, d)
     return search.concept_entities(t, top_concepts(t))
@@ -255,10 +297,11 @@ def set_union(s, d):
     return members(s, d).select(F.col("category").alias("name")).union(h.select("name")).union(h.select("parent")).distinct()
 
 
-@query(" SELECT a.name, b.name AS sibling, a.parent FROM hierarchy a JOIN hierarchy b ON a.parent = b.parent AND a.name < b.name WHERE a.parent IN (SELECT parent FROM hierarchy GROUP BY parent HAVING count(*) <= 20)")
+@query(" SELECT name, parent, count(*) OVER (PARTITION BY parent) - 1 AS siblings FROM hierarchy")
 def siblings(s, d):
-    a = hierarchy(s, d)
-    return a.join(a.select(F.col("name").alias("sibling"), "parent"), "parent").where("name < sibling").select("name", "sibling", "parent")
+    """Every link with the number of its parent's other children: a row a link, however many children a parent has."""
+    h = hierarchy(s, d)
+    return h.join(h.groupBy("parent").agg((F.count("*") - 1).alias("siblings")), "parent").select("name", "parent", "siblings")
 
 
 # --- scores
@@ -280,6 +323,16 @@ def category_specificity(s, d):
     return scoring.category_specificity(members(s, d))
 
 
+@query(""", tokens AS (SELECT doc, CAST(len(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS INTEGER) AS n_tokens FROM documents_ WHERE text IS NOT NULL),
+one AS (SELECT news_analytics AS doc, entity, count(*) AS n FROM document_entity WHERE news_analytics IS NOT NULL AND entity IS NOT NULL GROUP BY ALL),
+tf AS (SELECT a.doc, a.entity, sum(b.n) AS tf FROM one a JOIN one b ON a.doc = b.doc AND contains(b.entity, split_part(a.entity, ':', -1)) GROUP BY ALL), df AS (SELECT entity, count(*) AS df FROM one GROUP BY entity)
+SELECT doc, entity, CASE WHEN n_tokens > 0 THEN round(tf / n_tokens * log10((SELECT count(*) FROM tokens) / df), 3) END AS tfidf FROM tf JOIN df USING (entity) LEFT JOIN tokens USING (doc)""")
+def entity_tfidf_containing(s, d):
+    words = F.size(F.filter(F.split("text", "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
+    tokens = documents(s, d).where("text IS NOT NULL").select("doc", words.alias("n_tokens"))
+    return scoring.entity_tfidf(table(s, d, "document_entity").select(F.col("news_analytics").alias("doc"), "entity"), tokens, True)
+
+
 TOTALS = """, spec AS (SELECT category, round(-log10(count(DISTINCT entity) / (SELECT count(DISTINCT entity) FROM members)), 3) AS cs FROM members GROUP BY category),
 totals AS (SELECT doc, entity, category, concept_score, round(tfidf * concept_score, 8) AS by_concept, round(tfidf * concept_score * cs, 3) AS by_specificity FROM dec JOIN mentions USING (doc, entity) LEFT JOIN spec USING (category))"""
 
@@ -303,9 +356,27 @@ def seed_patterns(s, d):
     return scoring.seeds(_totals(s, d), dec(s, d), stats(s, d))
 
 
-@query(None)
+def _steps(n: int) -> str:
+    """n steps of lifting; the walk itself goes on until a step is empty."""
+    out = """, links AS MATERIALIZED (SELECT name, parent, count(*) OVER (PARTITION BY parent) AS children FROM hierarchy),
+rel AS MATERIALIZED (SELECT doc, category, round(1 - 1 / (1 + count(DISTINCT m.entity) / any_value(n)), 8) AS own FROM mentions m JOIN members USING (entity) JOIN (SELECT doc, count(*) AS n FROM mentions GROUP BY doc) USING (doc) GROUP BY doc, category),
+scored AS MATERIALIZED (SELECT doc, entity, category, concept_score, tfidf * concept_score AS weight FROM dec JOIN mentions USING (doc, entity) WHERE concept_score IS NOT NULL AND tfidf IS NOT NULL),
+least AS (SELECT doc, greatest(avg(weight), 0.03) AS least FROM scored GROUP BY doc), have0 AS MATERIALIZED (SELECT DISTINCT doc, category FROM dec),
+front0 AS MATERIALIZED (SELECT doc, entity, category, concept_score, 0 AS n_routes FROM scored JOIN least USING (doc) WHERE weight >= least)"""
+    for k in range(1, n + 1):
+        out += f""",
+up{k} AS (SELECT f.doc, f.entity, l.parent AS category, concept_score AS child_score, n_routes + 1 AS n_routes, round(coalesce(own, 0) * pow(0.95, children), 8) AS score FROM front{k - 1} f JOIN links l ON l.name = f.category LEFT JOIN rel r ON r.doc = f.doc AND r.category = l.parent WHERE (f.doc, l.parent) NOT IN (FROM have{k - 1})),
+new{k} AS MATERIALIZED (SELECT doc, entity, category, any_value(score) AS concept_score, max(child_score) AS child_score, max(n_routes) AS n_routes FROM up{k} GROUP BY ALL), have{k} AS MATERIALIZED (FROM have{k - 1} UNION SELECT doc, category FROM new{k}),
+front{k} AS MATERIALIZED (SELECT doc, entity, category, concept_score, n_routes FROM new{k} WHERE concept_score >= child_score)"""
+    rows = " UNION ALL ".join(f"SELECT doc, entity, category, concept_score, n_routes, {k} AS step FROM new{k}" for k in range(1, n + 1))
+    return f"{out} SELECT doc, entity, category, concept_score, 0 AS n_routes, 0 AS step FROM scored UNION ALL {rows}"
+
+
+@query(_steps(6))
 def expanded_concepts(s, d):
-    return scoring.expand_concepts(dec(s, d), hierarchy(s, d))
+    m = mentions(s, d)
+    out = scoring.expand_concepts(dec(s, d), m, hierarchy(s, d), durable(scoring.member_relevance(m, members(s, d)), "relevance"))
+    return out.select("doc", "entity", "category", "concept_score", F.size("routes").alias("n_routes"), "step")
 
 
 @query(""", per AS (SELECT news_analytics AS doc, entity, min(CASE WHEN entity_type = 'ACTION' THEN 1 ELSE 0 END) AS verb FROM document_entity WHERE news_analytics IS NOT NULL AND entity IS NOT NULL AND (entity_type IS NULL OR entity_type NOT IN ('DATE', 'TIME')) GROUP BY ALL)
@@ -317,7 +388,10 @@ def linked_triples(s, d):
     return scoring.linked_triples(hits, members(s, d), ["DATE", "TIME"])
 
 
-@query(None)
+@query(""", t AS (SELECT id AS doc, max(text) AS text FROM news_analytics WHERE id IS NOT NULL GROUP BY id), w AS (SELECT doc, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS term FROM t WHERE text IS NOT NULL),
+tf AS (SELECT doc, term, count(*) AS tf FROM w WHERE length(term) > 1 AND term NOT IN ('the', 'a', 'of', 'and', 'to', 'in') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT doc, term, tf * (ln((1.0 + (SELECT count(*) FROM t)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), norm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM raw GROUP BY doc)
+SELECT doc, term, round(w / norm, 6) AS weight FROM raw JOIN norm USING (doc)""")
 def corpus_tfidf(s, d):
     t = table(s, d, "news_analytics").where("id IS NOT NULL").groupBy("id").agg(F.max("text").alias("text"))
     return scoring.corpus_tfidf(t.select(F.col("id").alias("doc"), "text"), ["the", "a", "of", "and", "to", "in"])
@@ -359,14 +433,28 @@ def pattern_children(s, d):
     return patterns.children(p, patterns.covered(p, t, 0.2), t, 0.2).select("category", "docs", "n_entities", "score")
 
 
-@query(None)
+def _levels(n: int) -> str:
+    """n levels of patterns as sorted lists; the search itself goes on until a level is empty."""
+    out = """, strong AS MATERIALIZED (SELECT doc, entity, category, score FROM dec WHERE score >= 0.3), sums AS MATERIALIZED (SELECT doc, category, sum(score) AS score, list(DISTINCT entity) AS e FROM strong GROUP BY ALL),
+hold1 AS MATERIALIZED (SELECT [category] AS p, doc, score FROM sums)"""
+    for k in range(1, n + 1):
+        if k > 1:
+            out += f""",
+used{k} AS MATERIALIZED (SELECT DISTINCT p, doc, entity FROM kept{k - 1} JOIN strong USING (doc) WHERE list_contains(p, category)),
+cand{k} AS MATERIALIZED (SELECT DISTINCT list_sort(list_append(p, category)) AS p FROM (SELECT p, category FROM kept{k - 1} h JOIN strong s USING (doc) WHERE NOT list_contains(p, category) AND NOT EXISTS (FROM used{k} u WHERE u.p = h.p AND u.doc = h.doc AND u.entity = s.entity) GROUP BY ALL HAVING count(DISTINCT doc) >= 5)),
+hold{k} AS MATERIALIZED (SELECT p, doc, sum(score) AS score FROM (SELECT p, unnest(p) AS category FROM cand{k}) JOIN sums USING (category) GROUP BY ALL HAVING count(*) = {k} AND len(list_distinct(flatten(list(e)))) >= {k})"""
+        out += f", kept{k} AS MATERIALIZED (SELECT * FROM hold{k} WHERE p IN (SELECT p FROM hold{k} GROUP BY p HAVING count(*) >= 5))"
+    return out + " ".join((" UNION ALL" if k > 1 else "") + f" SELECT array_to_string(p, ',') AS name, {k} AS level, count(*) AS document_count, round(sum(round(score, 6)), 4) AS relevance FROM kept{k} GROUP BY p" for k in range(1, n + 1))
+
+
+@query(_levels(9))
 def pattern_mining(s, d):
     t = dec(s, d)
-    return patterns.mine(t, t.where("score >= 0.3").select(F.col("category").alias("name")).distinct(), least_score=0.3, least_docs=5)
+    found = patterns.mine(t, t.where("score >= 0.3").select(F.col("category").alias("name")).distinct(), least_score=0.3, least_docs=5)
+    return found.withColumn("relevance", F.round("relevance", 4))
 
 
-@query(""", chosen AS (SELECT DISTINCT doc FROM dec WHERE doc % 100 = 0),
-p AS (SELECT DISTINCT a.doc, least(a.category, b.category) || '|||' || greatest(a.category, b.category) AS pair FROM dec a JOIN dec b ON a.doc = b.doc AND a.entity < b.entity AND a.category <> b.category WHERE a.doc IN (FROM chosen))
+@query(""", p AS (SELECT DISTINCT doc, least(a.category, b.category) || '|||' || greatest(a.category, b.category) AS pair FROM dec a JOIN dec b USING (doc) WHERE a.entity < b.entity AND a.category <> b.category)
 SELECT pair, count(*) AS documents FROM p GROUP BY pair""")
 def concept_pair_counts(s, d):
     t = dec(s, d)
@@ -385,7 +473,7 @@ def daily_delta(s, d):
     return _bars(s, d)
 
 
-@query(", items AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderpriority || (o_custkey % 50) AS item FROM orders), days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS symbol FROM orders WHERE o_orderkey % 20 = 0) SELECT symbol, d.date, count(DISTINCT item) FILTER (i.date < d.date) AS previous, count(DISTINCT item) FILTER (i.date = d.date) AS same, count(DISTINCT item) FILTER (i.date > d.date) AS following FROM days d LEFT JOIN items i ON i.date BETWEEN d.date - 7 AND d.date + 7 GROUP BY symbol, d.date")
+@query(", items AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderpriority || (o_custkey % 50) AS item FROM orders), days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS symbol FROM orders) SELECT symbol, d.date, count(DISTINCT item) FILTER (i.date < d.date) AS previous, count(DISTINCT item) FILTER (i.date = d.date) AS same, count(DISTINCT item) FILTER (i.date > d.date) AS following FROM days d LEFT JOIN items i ON i.date BETWEEN d.date - 7 AND d.date + 7 GROUP BY symbol, d.date")
 def around_days(s, d):
     o = table(s, d, "orders").withColumn("date", F.to_date("o_orderdate"))
     items = o.select("date", F.concat("o_orderpriority", (F.col("o_custkey") % 50).cast("string")).alias("item"))
@@ -396,33 +484,37 @@ def around_days(s, d):
 # --- graph: parts as members of their brand, orders as documents, suppliers and nations as further nodes
 
 
-GRAPH = """, gmembers AS (SELECT DISTINCT 'Category:' || p_brand AS category, 'P' || p_partkey AS entity FROM part),
-gtriples AS (SELECT DISTINCT 'P' || l_partkey AS subject, 'S' || l_suppkey AS object FROM lineitem UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier),
-glinks AS (SELECT DISTINCT 'P' || l_partkey AS subject, 'O' || (l_orderkey % 97) AS object FROM lineitem UNION SELECT 'S' || l_suppkey, 'P' || l_partkey FROM lineitem WHERE l_linenumber = 1),
-gdocs AS (SELECT DISTINCT l_orderkey AS doc, 'P' || l_partkey AS entity FROM lineitem WHERE l_orderkey <= 120),
+GRAPH = """, gmembers AS MATERIALIZED (SELECT DISTINCT 'Category:' || p_brand AS category, 'P' || p_partkey AS entity FROM part),
+glinks AS MATERIALIZED (SELECT DISTINCT 'P' || l_partkey AS subject, 'S' || l_suppkey AS object FROM lineitem), gtriples AS MATERIALIZED (FROM glinks UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier),
+gdocs AS (SELECT DISTINCT l_orderkey AS doc, 'P' || l_partkey AS entity FROM lineitem{0}),
 gconcepts AS (SELECT category FROM gmembers GROUP BY category ORDER BY count(*) DESC, category LIMIT 2),
-context AS (SELECT doc, category, entity FROM gdocs, gconcepts),
-mem AS (SELECT * FROM gmembers WHERE category IN (FROM gconcepts)),
-und AS (SELECT subject AS a, object AS b FROM glinks UNION SELECT object, subject FROM glinks),
-target AS (SELECT * FROM context c WHERE NOT EXISTS (FROM mem m WHERE m.category = c.category AND m.entity = c.entity)),
-free AS (SELECT DISTINCT c.doc, m.category, m.entity AS member FROM (SELECT DISTINCT doc, category FROM context) c JOIN mem m USING (category) WHERE NOT EXISTS (FROM context x WHERE x.doc = c.doc AND x.category = c.category AND x.entity = m.entity)),
-gpaths AS (SELECT f.doc, f.category, f.member, CAST(NULL AS VARCHAR) AS hop, t.entity AS target FROM free f JOIN und ON und.a = f.member JOIN target t ON t.doc = f.doc AND t.category = f.category AND t.entity = und.b
-UNION SELECT f.doc, f.category, f.member, g.object, t.entity FROM free f JOIN gtriples g ON g.subject = f.member JOIN und ON und.a = g.object JOIN target t ON t.doc = f.doc AND t.category = f.category AND t.entity = und.b
-WHERE f.member <> t.entity AND NOT EXISTS (FROM context x WHERE x.doc = f.doc AND x.category = f.category AND x.entity = g.object)),
-gcounts AS (SELECT doc, category, target, CAST(CASE WHEN hop IS NULL THEN 1 ELSE 2 END AS INTEGER) AS length, count(*) AS n FROM gpaths GROUP BY ALL)"""
+context AS MATERIALIZED (SELECT doc, category, entity FROM gdocs, gconcepts),
+mem AS MATERIALIZED (SELECT * FROM gmembers WHERE category IN (FROM gconcepts)),
+und AS MATERIALIZED (SELECT subject AS a, object AS b FROM glinks UNION SELECT object, subject FROM glinks),
+target AS MATERIALIZED (SELECT doc, category, entity FROM context c ANTI JOIN mem m ON m.category = c.category AND m.entity = c.entity),
+direct AS (SELECT t.doc, t.category, m.entity AS member, t.entity AS target FROM target t JOIN und ON und.b = t.entity JOIN mem m ON m.category = t.category AND m.entity = und.a ANTI JOIN context x ON x.doc = t.doc AND x.category = t.category AND x.entity = m.entity),
+near AS (SELECT t.doc, t.category, und.a AS hop, t.entity AS target FROM target t JOIN und ON und.b = t.entity ANTI JOIN context x ON x.doc = t.doc AND x.category = t.category AND x.entity = und.a),
+via AS (SELECT n.doc, n.category, m.entity AS member, n.hop, n.target FROM near n JOIN gtriples g ON g.object = n.hop JOIN mem m ON m.category = n.category AND m.entity = g.subject ANTI JOIN context x ON x.doc = n.doc AND x.category = n.category AND x.entity = m.entity)"""
+PATHS = GRAPH.format(" WHERE l_orderkey % 100 = 0") + ", gpaths AS (SELECT doc, category, member, NULL AS hop, target FROM direct UNION ALL SELECT doc, category, member, hop, target FROM via WHERE member <> target)"
+COUNTS = GRAPH.format("") + ", gcounts AS (SELECT doc, category, target, 1 AS length, count(*) AS n FROM direct GROUP BY ALL UNION ALL SELECT doc, category, target, 2, count(*) FROM via WHERE member <> target GROUP BY ALL)"
 
 
 class Graph:
-    """The tables of the graph queries, whole: all orders as documents, all members and triples, and the links between parts and their suppliers, used both ways."""
+    """The tables of the graph queries, whole: parts as members of their brand, orders as documents, and the links between parts and their suppliers, used both ways.
+
+    chosen: as queries only the documents whose id is divisible by 100, against all members, triples and links; listing paths is a search
+    with a document as the query. Counting them isn't, and takes all documents.
+    """
 
-    def __init__(self, s: SparkSession, d: str):
+    def __init__(self, s: SparkSession, d: str, chosen: bool = True):
         line, part = table(s, d, "lineitem"), table(s, d, "part")
         node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
         self.members = part.select(F.concat(F.lit("Category:"), "p_brand").alias("category"), node("P", "p_partkey").alias("entity")).distinct()
         self.links = line.select(node("P", "l_partkey").alias("subject"), node("S", "l_suppkey").alias("object")).distinct()
         placed = table(s, d, "supplier").select(node("S", "s_suppkey").alias("subject"), node("N", "s_nationkey").alias("object"))
         self.triples = self.links.union(placed).distinct()
-        docs = line.select(F.col("l_orderkey").alias("doc"), node("P", "l_partkey").alias("entity")).distinct()
+        docs = line.where("l_orderkey % 100 = 0") if chosen else line
+        docs = docs.select(F.col("l_orderkey").alias("doc"), node("P", "l_partkey").alias("entity")).distinct()
         concepts = top_concepts(self.members)
         self.context = docs.select("doc", F.explode(F.array(*map(F.lit, concepts))).alias("category"), "entity")
         self.members_of = self.members.where(F.col("category").isin(concepts))
@@ -430,28 +522,31 @@ class Graph:
     def paths(self) -> DataFrame:
         return graph.paths(self.members_of, self.triples, self.links, self.context)
 
+    def counts(self) -> DataFrame:
+        return graph.counted(self.members_of, self.triples, self.links, self.context)
 
-@query(GRAPH + " SELECT * FROM gpaths")
+
+@query(PATHS + " SELECT * FROM gpaths")
 def graph_paths(s, d):
     return Graph(s, d).paths()
 
 
-@query(GRAPH + """ SELECT doc, category, e.src, e.dst, e.place, CAST(CASE WHEN hop IS NULL THEN 1 ELSE 2 END AS INTEGER) AS length, target FROM (
+@query(PATHS + """ SELECT doc, category, e.src, e.dst, e.place, CAST(CASE WHEN hop IS NULL THEN 1 ELSE 2 END AS INTEGER) AS length, target FROM (
 SELECT *, unnest(CASE WHEN hop IS NULL THEN [{'src': category, 'dst': member, 'place': 1}, {'src': member, 'dst': target, 'place': 2}] ELSE [{'src': category, 'dst': member, 'place': 1}, {'src': member, 'dst': hop, 'place': 2}, {'src': hop, 'dst': target, 'place': 3}] END) AS e FROM gpaths) GROUP BY ALL""")
 def graph_tree(s, d):
     return graph.tree_edges(Graph(s, d).paths())
 
 
-@query(GRAPH + " SELECT * FROM gcounts")
+@query(COUNTS + " SELECT * FROM gcounts")
 def path_counts(s, d):
-    return graph.path_counts(Graph(s, d).paths())
+    return Graph(s, d, False).counts()
 
 
-@query(GRAPH + """, ctx AS (SELECT doc, category, count(*) AS size FROM target GROUP BY ALL), per AS (SELECT doc, category, sum(pow(0.5, length) * n) AS total FROM gcounts GROUP BY ALL),
+@query(COUNTS + """, ctx AS (SELECT doc, category, count(*) AS size FROM target GROUP BY ALL), per AS (SELECT doc, category, sum(pow(0.5, length) * n) AS total FROM gcounts GROUP BY ALL),
 c AS (SELECT doc, category, coalesce(total, 0) / size AS c FROM ctx LEFT JOIN per USING (doc, category)) SELECT doc, category, round(c, 6) AS connectivity, round(1 - 1 / (1 + c), 6) AS relevance FROM c""")
 def concept_relevance(s, d):
-    g = Graph(s, d)
-    return graph.relevance(graph.path_counts(g.paths()), g.context, g.members_of)
+    g = Graph(s, d, False)
+    return graph.relevance(g.counts(), g.context, g.members_of)
 
 
 @query(None)
@@ -459,10 +554,16 @@ def sampled_paths(s, d):
     return graph.random_walks(Graph(s, d).paths())
 
 
+@query(None)
+def prefixed_paths(s, d):
+    p = durable(Graph(s, d).paths(), "paths")
+    return graph.prefixed_walks(p, [p.agg(F.min("member")).first()[0]])
+
+
 @query(None)
 def blind_walks(s, d):
     g = Graph(s, d)
-    return graph.blind_walks(g.members_of, g.triples, g.links, g.context, 20)
+    return graph.blind_walks(g.members_of, g.triples, g.links, g.context)
 
 
 @query(None)
@@ -473,30 +574,31 @@ def targeted_walks(s, d):
 @query(None)
 def collective_walks(s, d):
     g = Graph(s, d)
-    return graph.collective_walks(g.paths(), g.context, 50)
+    return graph.collective_walks(g.paths(), g.context)
 
 
 @query(None)
 def sampling_errors(s, d):
-    p = Graph(s, d).paths()
+    p = durable(Graph(s, d).paths(), "paths")
     return graph.sample_errors(graph.random_walks(p), graph.path_counts(p))
 
 
-@query(GRAPH + """, q AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'S' || ((l_suppkey % 5) + 1) AS b FROM lineitem WHERE l_suppkey > 5)
+@query(GRAPH.format("") + """, q AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'S' || ((l_suppkey % 5) + 1) AS b FROM lineitem WHERE l_suppkey <> l_suppkey % 5 + 1)
 SELECT q.a, q.b, CAST(count(DISTINCT CASE WHEN l.b IS NOT NULL THEN 1 END) AS INTEGER) AS linked, count(DISTINCT y.b) AS common FROM q LEFT JOIN und l ON l.a = q.a AND l.b = q.b LEFT JOIN und x ON x.a = q.a LEFT JOIN und y ON y.a = q.b AND y.b = x.b GROUP BY q.a, q.b""")
 def common_neighbours(s, d):
-    pairs = table(s, d, "lineitem").where("l_suppkey > 5").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("S"), (F.col("l_suppkey") % 5 + 1).cast("string")).alias("b")).distinct()
+    pairs = table(s, d, "lineitem").where("l_suppkey <> l_suppkey % 5 + 1").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("S"), (F.col("l_suppkey") % 5 + 1).cast("string")).alias("b")).distinct()
     return graph.common_neighbours(Graph(s, d).links, pairs)
 
 
-@query(""", links AS (SELECT DISTINCT 's' || s_nationkey AS subject, 'n' || (s_suppkey % 7) AS object FROM supplier), und AS (SELECT subject AS a, object AS b FROM links UNION SELECT object, subject FROM links),
-s AS (SELECT DISTINCT a AS source FROM und WHERE starts_with(a, 's')), t AS (SELECT DISTINCT a AS target FROM und WHERE starts_with(a, 'n'))
-SELECT source, target, (SELECT count(*) FROM und WHERE a = source AND b = target) AS one,
-(SELECT count(*) FROM und x JOIN und y ON x.b = y.a WHERE x.a = source AND y.b = target AND x.b <> target AND x.b <> source) AS two,
-(SELECT count(*) FROM und x JOIN und y ON x.b = y.a JOIN und z ON y.b = z.a WHERE x.a = source AND z.b = target AND x.b <> target AND y.b <> source AND x.b <> y.b AND y.b <> target) AS three FROM s, t""")
+@query(GRAPH.format("") + """, s AS (SELECT DISTINCT 'P' || p_partkey AS source FROM part WHERE p_partkey % 100 = 0), t AS (SELECT DISTINCT 'S' || s_suppkey AS target FROM supplier),
+two AS (SELECT source, y.b AS reached, count(*) AS n FROM s JOIN und x ON x.a = source JOIN und y ON y.a = x.b WHERE y.b <> source GROUP BY ALL),
+walks AS (SELECT source, target, 1 AS k, 1 AS n FROM s JOIN und ON a = source JOIN t ON target = b UNION ALL SELECT source, target, 2, n FROM two JOIN t ON target = reached
+UNION ALL SELECT source, target, 3, count(*) FROM s JOIN und x ON x.a = source JOIN und y ON y.a = x.b JOIN und z ON z.a = y.b JOIN t ON target = z.b WHERE x.b <> target AND y.b <> source AND y.b <> target AND x.b <> y.b GROUP BY ALL)
+SELECT source, target, CAST(sum(CASE k WHEN 1 THEN n ELSE 0 END) AS BIGINT) AS one, CAST(sum(CASE k WHEN 2 THEN n ELSE 0 END) AS BIGINT) AS two, CAST(sum(CASE k WHEN 3 THEN n ELSE 0 END) AS BIGINT) AS three FROM walks GROUP BY source, target""")
 def three_hop_counts(s, d):
-    links = Graph(s, d).links
-    return graph.three_hop_counts(links, links.select(F.col("object").alias("source")), links.select(F.col("subject").alias("target")))
+    node = lambda p, c, o: F.concat(F.lit(p), F.col(c).cast("string")).alias(o)
+    sources = table(s, d, "part").where("p_partkey % 100 = 0").select(node("P", "p_partkey", "source"))
+    return graph.three_hop_counts(Graph(s, d).links, sources, table(s, d, "supplier").select(node("S", "s_suppkey", "target")))
 
 
 @query(""", roots AS (SELECT parent AS root FROM hierarchy GROUP BY parent ORDER BY count(*) DESC, parent LIMIT 3), und AS (SELECT name AS a, parent AS b FROM hierarchy WHERE name <> parent UNION SELECT parent, name FROM hierarchy WHERE name <> parent),
@@ -512,7 +614,8 @@ def node_degrees(s, d):
     return graph.degrees(hierarchy(s, d).select(F.col("name").alias("subject"), F.col("parent").alias("object")))
 
 
-@query(None)
+@query(""", und AS MATERIALIZED (SELECT name AS a, parent AS b FROM hierarchy UNION SELECT parent, name FROM hierarchy), walk AS (SELECT a AS node, a AS reached FROM und UNION SELECT w.node, u.b FROM walk w JOIN und u ON u.a = w.reached)
+SELECT node, min(reached) AS component FROM walk GROUP BY node""", recursive=True)
 def concept_components(s, d):
     return components(hierarchy(s, d), "name", "parent")
 

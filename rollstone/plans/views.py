@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..work import name_form, table, visible
+from ..work import name_form, remembered, table, visible
 
 _FORM = "nullif(trim(regexp_replace({0}, '[ \\t_]+', '_', 'g'), '_'), '')"
 
@@ -25,10 +25,15 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dec(spark: SparkSession, d: str) -> DataFrame:
-    """doc, entity, category, score (total), concept_score, entity_score, specificity: one row per key."""
+    """doc, entity, category, score (total), concept_score, entity_score, specificity: one row per key; written once for an application, clustered by document."""
+    return remembered(spark, f"dec {d}", lambda: _dec(spark, d))
+
+
+def _dec(spark: SparkSession, d: str) -> DataFrame:
     known = lambda c: F.max(F.when(F.col(c) != -1, F.col(c)))
     df = table(spark, d, "document_entity_category").select("*", name_form("category").alias("_category"))
     df = df.where("news_analytics IS NOT NULL AND entity IS NOT NULL AND _category IS NOT NULL")
+    df = df.repartition("news_analytics")
     return df.groupBy(F.col("news_analytics").alias("doc"), "entity", F.col("_category").alias("category")).agg(
         known("total_relevance_score").alias("score"), known("concept_relevance_score").alias("concept_score"), known("entity_relevance_score").alias("entity_score"), known("category_specificity_score").alias("specificity")
     )

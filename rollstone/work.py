@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +78,24 @@ def discard(df: DataFrame) -> None:
         drop_table(df.sparkSession, path)
 
 
+def remembered(spark: SparkSession, key: str, build: Callable[[], DataFrame], seconds: float | None = None) -> DataFrame:
+    """A result written once for an application and read again while it is younger than so many seconds (None: until forgotten)."""
+    known = spark.sparkContext.__dict__.setdefault("_rollstone_known", {})
+    if (entry := known.get(key)) and (seconds is None or time.monotonic() - entry[0] < seconds):
+        return entry[1]
+    forget(spark, key)
+    out = durable(build(), "remembered")
+    known[key] = time.monotonic(), out
+    return out
+
+
+def forget(spark: SparkSession, key: str | None = None) -> None:
+    """Ends one remembered result, or all of them; nothing may read them any more."""
+    known = spark.sparkContext.__dict__.setdefault("_rollstone_known", {})
+    for k in list(known) if key is None else [key] if key in known else []:
+        discard(known.pop(k)[1])
+
+
 def maybe_broadcast(df: DataFrame, rows: int, width: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only for a side whose counted rows, at width bytes a row in memory, are within the limit; a larger side is joined by shuffle."""
     return F.broadcast(df) if rows * width <= limit else df

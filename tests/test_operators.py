@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollstone.operators import evaluation, graph, patterns, scoring, search, upsert
-from rollstone.plans.core import QUERIES, SQL  # noqa: F401
+from rollstone.plans.core import QUERIES
 
 
 def rows(df):
@@ -26,12 +26,18 @@ def test_rollup_needs_as_many_entities_as_concepts(dec):
 
 def test_drilldown_leaves_used_entities_out(dec, spark):
     docs = search.rollup(dec, ["X", "Y"])
-    stats = spark.createDataFrame([("Z", 2.0)], "name string, specificity double")
-    got = search.subtopics(dec, docs, ["X", "Y"], stats).collect()
+    stats = spark.createDataFrame([("Z", 2.0, 2, 2), ("Y", 1.0, 1, 5), ("X", None, 9, 9)], "name string, specificity double, kg_count int, corpus_count int")
+    got = search.subtopics(search.fresh_rows(dec, docs, ["X", "Y"]), stats).collect()
     assert [(r.category, r.docs, r.coverage, r.n_entities, r.diversity, r.rank_score) for r in got] == [("Z", 2, 0.8, 1, 0.5, 3.3)]
-    groups = search.overlap_groups(search.subtopics(dec, docs, ["X"], stats), dec, docs)
+    fresh = search.fresh_rows(dec, docs, ["X"])
+    ranked = search.subtopics(fresh, stats)
+    # Y has one member in the graph only, so it has no specificity and ranks with 0
+    assert {r.category: (r.specificity, r.rank_score) for r in ranked.collect()} == {"Z": (2.0, 3.3), "Y": (None, 0.0)}
+    groups = search.overlap_groups(ranked, fresh)
     assert groups.count() == 2
-    assert search.group_tree(groups, search.subtopics(dec, docs, ["X"], stats)).count() == 2
+    assert {r.category: r.branch for r in search.group_tree(groups, ranked, fresh).collect()} == {"Z": 1, "Y": 2}
+    # a search by entities only leaves no row out
+    assert search.fresh_rows(dec, docs, []).count() == dec.where("doc IN ('d1', 'd4') AND score >= 0.01").count()
 
 
 def test_all_subtopics_are_grouped(spark):
@@ -47,8 +53,11 @@ def test_all_subtopics_are_grouped(spark):
         groups += [set()] * (at == len(groups))
         groups[at] = groups[at] | es
         want.add((c, at + 1))
-    got = search.overlap_groups(ranked, t, spark.createDataFrame([("d",)], "doc string"))
-    assert rows(got) == want and search.group_tree(got, ranked).count() == 450
+    got = search.overlap_groups(ranked, t)
+    assert rows(got) == want and search.group_tree(got, ranked, t).count() == 450
+    sizes = sorted(((-(len([1 for x in want if x[1] == i + 1]) + len(g) + 1), i + 1) for i, g in enumerate(groups)))
+    branch = {g: k + 1 if k < 4 else 5 for k, (_, g) in enumerate(sizes)}
+    assert {r.category: r.branch for r in search.group_tree(got, ranked, t).collect()} == {c: branch[g] for c, g in want}
 
 
 def test_pages_and_histogram(dec, spark):
@@ -89,7 +98,9 @@ def test_paths_keep_out_of_the_document(spark):
     assert graph.sample_errors(w, graph.path_counts(p)).first().estimate == 2
     t = graph.targeted_walks(p, 4)
     assert t.count() == 8 and t.select("category").distinct().first()[0] == "X"
+    # per entity of the context, hit or not
     assert graph.collective_walks(p, ctx, 20).agg(F.sum("hits")).first()[0] == 40
+    assert rows(graph.prefixed_walks(p, ["A"], 3).select("member")) == {("A",)} and graph.prefixed_walks(p, ["A"], 3).first().probability == 1.0
     b = graph.blind_walks(members, triples, links, ctx, 40).collect()
     assert len(b) == 40 and any(r.success for r in b) and all(r.probability > 0 or not r.success for r in b)
 
@@ -103,16 +114,33 @@ def test_graph_queries_take_all_documents_and_links(spark, tmp_path):
     save([(1, 0), (2, 0), (3, 1)], "s_suppkey int, s_nationkey int", "supplier")
     supplied = {(p, x) for _, _, p, x in line}
     want = set()
-    for doc in {x[0] for x in line}:
+    for doc in {x[0] for x in line}:  # listed by brute force for all documents
         inside = {p for o, _, p, _ in line if o == doc}
         for c in "ab":
             for m in (p for p in brand if brand[p] == c and p not in inside):
                 want |= {(doc, f"Category:{c}", f"P{m}", f"S{x}", f"P{t}") for p, x in supplied if p == m for t, y in supplied if y == x and t in inside and brand[t] != c}
-    assert {w[0] for w in want} > {130}
-    assert rows(QUERIES["graph_paths"](spark, str(tmp_path))) == want
+    assert {w[0] for w in want} > {130, 5000}
+    # listing paths is a search: the documents divisible by 100 against all links; counts are of all documents
+    assert rows(QUERIES["graph_paths"](spark, str(tmp_path))) == {w for w in want if w[0] % 100 == 0}
+    counts = {}
+    for w in want:
+        counts[w[0], w[1], w[4]] = counts.get((w[0], w[1], w[4]), 0) + 1
+    assert rows(QUERIES["path_counts"](spark, str(tmp_path))) == {(*k, 2, n) for k, n in counts.items()}
     assert {(r.doc, r.category) for r in QUERIES["concept_relevance"](spark, str(tmp_path)).collect()} >= {(w[0], w[1]) for w in want}
-    three = QUERIES["three_hop_counts"](spark, str(tmp_path))
-    assert three.count() == 3 * 6 and {(r.source[1:], r.target[1:]) for r in three.where("one = 1").collect()} == {(str(x), str(p)) for p, x in supplied}
+
+
+def test_counted_paths_are_those_listed(spark):
+    import random
+
+    r = random.Random(3)
+    node = lambda: f"n{r.randrange(14)}"
+    pairs = lambda n: [(node(), node()) for _ in range(n)] + [(None, "n1"), ("n2", None)]
+    members = spark.createDataFrame([(c, node()) for c in "XXXXYYYYY"], "category string, entity string")
+    triples, links = (spark.createDataFrame(pairs(n), "subject string, object string") for n in (40, 30))
+    ctx = spark.createDataFrame([(d, c, node()) for d in range(12) for c in "XY" for _ in range(4)], "doc int, category string, entity string")
+    want = rows(graph.path_counts(graph.paths(members, triples, links, ctx)))
+    assert any(w[3] == 1 for w in want) and any(w[3] == 2 for w in want)
+    assert rows(graph.counted(members, triples, links, ctx)) == want
 
 
 def test_connectivity_of_small_graphs(spark):
@@ -127,7 +155,21 @@ def test_connectivity_of_small_graphs(spark):
 def test_two_and_three_hops(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), (None, "a"), ("a", "a")], "subject string, object string")
     got = graph.three_hop_counts(links, spark.createDataFrame([("a",)], "source string"), spark.createDataFrame([("d",), ("z",)], "target string"))
-    assert rows(got) == {("a", "d", 0, 1, 1), ("a", "z", 0, 0, 0)}
+    assert rows(got) == {("a", "d", 0, 1, 1)}
+    nodes = "abcdefg"
+    import itertools
+    import random
+
+    e = {frozenset(x) for x in (random.Random(8).sample(nodes, 2) for _ in range(12))}
+    on = lambda x, y: frozenset((x, y)) in e
+    want = set()
+    for x, y in itertools.permutations(nodes, 2):
+        rest = [v for v in nodes if v not in (x, y)]
+        n = (int(on(x, y)), sum(on(x, v) and on(v, y) for v in rest), sum(on(x, v) and on(v, w) and on(w, y) for v in rest for w in rest))
+        want |= {(x, y, *n)} if any(n) else set()
+    own = spark.createDataFrame([tuple(sorted(x)) for x in e], "subject string, object string")
+    ends = lambda c: spark.createDataFrame([(v,) for v in nodes], f"{c} string")
+    assert rows(graph.three_hop_counts(own, ends("source"), ends("target"))) == want
     near = graph.reachable(links, spark.createDataFrame([("a",)], "root string"), 5)
     assert {(r.node, r.distance) for r in near.collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
     assert rows(graph.degrees(links)) == {("a", 2), ("b", 2), ("c", 3), ("d", 1)}
@@ -140,8 +182,8 @@ def test_siblings_of_a_large_parent(spark, monkeypatch):
 
     data = [(f"n{i:02d}", "hot") for i in range(30)] + [("a", "p"), ("b", "p")]
     monkeypatch.setattr(core, "hierarchy", lambda s, d: s.createDataFrame(data, "name string, parent string"))
-    got = rows(QUERIES["siblings"](spark, "").select("name", "sibling", "parent"))
-    assert got == {(x, y, p) for x, p in data for y, q in data if p == q and x < y}
+    got = rows(QUERIES["siblings"](spark, "").select("name", "parent", "siblings"))
+    assert got == {(x, p, sum(q == p for _, q in data) - 1) for x, p in data}
 
 
 def test_running_error(spark):
@@ -157,21 +199,26 @@ def test_tfidf_guards(spark):
     assert got == {("d1", "e"): 0.018, ("d2", "e"): 0.035, ("d1", "f"): 0.048, ("d3", "g"): None}
 
 
-def test_expansion_ends_in_cycles(spark):
-    dec = spark.createDataFrame([("d", "e", "a", 0.9), ("d", "f", "z", 0.1), ("q", "e", "a", None)], "doc string, entity string, category string, score double")
-    h = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "b")], "name string, parent string")
-    got = {(r.category, r.step): r.score for r in scoring.expand_concepts(dec, h).collect()}
-    assert got == pytest.approx({("a", 0): 0.9, ("z", 0): 0.1, ("b", 1): 0.9 * 0.95**2, ("c", 2): 0.9 * 0.95**3}, abs=1e-5)
+def _expanded(spark, dec, hierarchy, scores):
+    dec = spark.createDataFrame(dec, "doc string, entity string, category string, concept_score double")
+    mentions = dec.select("doc", "entity", F.lit(1.0).alias("tfidf")).distinct()
+    h = spark.createDataFrame(hierarchy, "name string, parent string")
+    own = spark.createDataFrame(scores, "doc string, category string, concept_score double")
+    return scoring.expand_concepts(dec, mentions, h, own).collect()
 
 
-def test_expansion_has_no_last_step(spark, monkeypatch):
-    from rollstone.plans import core
+def test_expansion_scores_anew_and_ends_in_cycles(spark):
+    dec = [("d", "e", "a", 0.5), ("d", "f", "z", 0.1), ("q", "e", "a", None)]
+    h = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "b"), ("c", "low"), ("low", "never")]
+    got = {(r.category, r.step): (r.concept_score, r.routes) for r in _expanded(spark, dec, h, [("d", "b", 0.8), ("d", "c", 0.9), ("d", "low", 0.2)])}
+    # b: 0.8 * 0.95 ** 2 isn't below a's 0.5; low is below c, so it isn't lifted again
+    assert got == {("a", 0): (0.5, []), ("z", 0): (0.1, []), ("b", 1): (pytest.approx(0.722), ["a"]), ("c", 2): (pytest.approx(0.855), ["a", "b"]), ("low", 3): (pytest.approx(0.19), ["a", "b", "c"])}
 
-    data = [("d", "e", "c00", 0.9)] + [("d", "f", f"z{i}", 0.01) for i in range(20)]
-    monkeypatch.setattr(core, "dec", lambda s, d: s.createDataFrame(data, "doc string, entity string, category string, score double"))
-    monkeypatch.setattr(core, "hierarchy", lambda s, d: s.createDataFrame([(f"c{i:02d}", f"c{i + 1:02d}") for i in range(23)], "name string, parent string"))
-    got = {r.category: r.step for r in QUERIES["expanded_concepts"](spark, "").where("step > 0").collect()}
-    assert got == {f"c{i:02d}": i for i in range(1, 24)}
+
+def test_expansion_has_no_last_step(spark):
+    h = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(12)]
+    got = _expanded(spark, [("d", "e", "c00", 0.5)] + [("d", "f", f"z{i}", 0.01) for i in range(20)], h, [("d", f"c{i:02d}", min(1.0, 0.5 * 1.06**i)) for i in range(13)])
+    assert {r.category: r.step for r in got if r.step} == {f"c{i:02d}": i for i in range(1, 13)}
 
 
 def test_linking(spark):
@@ -215,6 +262,43 @@ def test_patterns(dec, spark):
     assert "X|||Y" in {r.pair for r in pairs.collect()}
 
 
+def test_mining_is_that_of_brute_force(spark):
+    import itertools
+    import random
+
+    r = random.Random(1)
+    data = {(d, f"e{r.randrange(5)}", f"C{r.randrange(6)}") for d in range(30) for _ in range(7)}
+    by = {d: {c: {e for x, e, k in data if x == d and k == c} for c in {k for x, _, k in data if x == d}} for d in range(30)}
+    covers = lambda p, d: all(c in by[d] for c in p) and len(set().union(*(by[d][c] for c in p))) >= len(p)
+    level, want, k = {(c,) for _, _, c in data}, set(), 1
+    while level:
+        cov = {p: [d for d in by if covers(p, d)] for p in level}
+        cov = {p: ds for p, ds in cov.items() if len(ds) >= 4}
+        want |= {(",".join(p), k, len(ds)) for p, ds in cov.items()}
+        level, k = set(), k + 1
+        for p, ds in cov.items():
+            for c in {c for d in ds for c in by[d]} - set(p):
+                n = sum(bool(by[d].get(c, set()) - set().union(*(by[d][x] for x in p))) for d in ds)
+                level |= {tuple(sorted((*p, c)))} if n >= 4 else set()
+    t = spark.createDataFrame([(*x, 0.9) for x in data], "doc int, entity string, category string, score double")
+    found = patterns.mine(t, t.select(F.col("category").alias("name")).distinct(), least_docs=4)
+    assert k > 3 and rows(found.select("name", "level", "document_count")) == want
+
+
+def test_refreshed_patterns(dec, spark):
+    p = spark.createDataFrame([("X,Y", ["X", "Y"]), ("X", ["X"]), ("Q", ["Q"])], "name string, categories array<string>")
+    members = spark.createDataFrame([("A", "X"), ("B", "Y")], "entity string, category string")
+    assert rows(patterns.refreshed(p, dec, members, 0.5, 2)) == {("X,Y", 1, 1.7, 1.0, "expanded"), ("X", 2, 1.6, 1.0, "score_updated"), ("Q", 0, 0.0, 0.0, "expanded")}
+
+
+def test_similar_documents_by_candidate_patterns(spark):
+    rows_ = [("d", "a", "X"), ("d", "b", "Y"), ("d", "c", "Z"), ("e", "a", "X"), ("e", "b", "Y"), ("e", "b", "Z"), ("e", "k", "X"), ("f", "a", "X")]
+    t = spark.createDataFrame([(*x, 1.0) for x in rows_], "doc string, entity string, category string, score double")
+    got = rows(search.similar_by_patterns(t, {"X": "one", "Y": "one", "Z": "two"}, [], 5))
+    # in e, b stands for Z only, so that Y isn't found and the patterns are X,Z alone
+    assert got == {("d", "X,Z", 2, 2, 2, 218), ("e", "X,Z", 1, 2, 2, 208)}
+
+
 def test_mining_goes_on_until_a_level_is_empty(spark):
     data = [(d, f"e{i}", f"C{i}", 0.9) for d in range(3) for i in range(4)]
     t = spark.createDataFrame(data, "doc int, entity string, category string, score double")
@@ -319,6 +403,6 @@ def test_article_cleaning(spark):
 
 
 def test_documents_by_stored_patterns(dec, spark):
-    p = spark.createDataFrame([("X", ["X"], ["d1", "d2"]), ("X,Y", ["X", "Y"], ["d1", "d4"]), ("Z", ["Z"], ["d4"])], "name string, categories array<string>, documents array<string>")
+    p = spark.createDataFrame([("X", ["X"], ["d1", "d2"]), ("X,Y", ["X", "Y"], ["d1", "d4"]), ("Z", ["Z"], ["d4"])], "name string, categories array<string>, documents array<string>").select("name", "categories", F.explode("documents").alias("doc"))
     assert rows(search.by_stored_patterns(p, dec, "d1", 5)) == {("d4", 1, 2), ("d2", 1, 1)}
     assert search.explained(spark.createDataFrame([("d1",)], "doc string"), dec, spark.createDataFrame([("X",)], "category string")).count() == 1
