@@ -96,6 +96,12 @@ def relevance(counts: DataFrame, context: DataFrame, members: DataFrame) -> Data
     return out.select("doc", "category", F.round("c", 6).alias("connectivity"), F.round(squash("c"), 6).alias("relevance"))
 
 
+def _place(seed: int, salt: int, key: list[str], n: str) -> Column:
+    """A number from 1 to n that depends on the seed, the salt and the key alone: 32 bits of an MD5, so that other engines can name it too."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)), *(F.col(c).cast("string") for c in key))
+    return (F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.col(n)) + 1).cast("int")
+
+
 def _numbered(df: DataFrame, group: list[str], node: str, salt: int) -> DataFrame:
     """Distinct (group, node) with i{salt}, from 1 in the order of the node, and n{salt}, how many the group has."""
     w = W.partitionBy(*group)
@@ -105,7 +111,7 @@ def _numbered(df: DataFrame, group: list[str], node: str, salt: int) -> DataFram
 def random_walks(paths_: DataFrame, walks: int = 50, seed: int = 0, key: tuple[str, ...] = ("doc", "category"), per_group: DataFrame | None = None) -> DataFrame:
     """key, walk, member, hop, target, probability, estimate: seeded walks down the tree of all paths of a group (key).
 
-    Each step picks evenly among the next nodes from which a target is still reached; estimate is 1 / probability, rounded. A step is a join on the number of the
+    Each step picks evenly among the next nodes from which a target is still reached; estimate is 1 / probability as a whole number. A step is a join on the number of the
     node that the hash of (seed, key, walk) names, so the same seed gives the same rows whatever the partitioning. per_group (key, walks) gives
     each group a number of walks of its own.
     """
@@ -118,11 +124,11 @@ def random_walks(paths_: DataFrame, walks: int = 50, seed: int = 0, key: tuple[s
     at = list(k)
     for salt, (node, col) in enumerate(zip(nodes, ("member", "hop", "target")), 1):
         size = node.select(*at, f"n{salt}").distinct()
-        place = (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *k, "walk"), F.col(f"n{salt}")) + 1).cast("int")
+        place = _place(seed, salt, [*k, "walk"], f"n{salt}")
         now = now.join(size, at).withColumn(f"i{salt}", place).join(node.drop(f"n{salt}"), [*at, f"i{salt}"])
         now = now.withColumn("probability", F.col("probability") / F.col(f"n{salt}")).drop(f"i{salt}", f"n{salt}")
         at.append(col)
-    return now.select(*k, "walk", "member", F.when(F.col("hop") != "", F.col("hop")).alias("hop"), *([] if "target" in k else ["target"]), "probability", F.round(1 / F.col("probability")).cast("bigint").alias("estimate"))
+    return now.select(*k, "walk", "member", F.when(F.col("hop") != "", F.col("hop")).alias("hop"), *([] if "target" in k else ["target"]), "probability", F.floor(1 / F.col("probability") + 1e-6).alias("estimate"))
 
 
 def blind_walks(members: DataFrame, triples: DataFrame, wikilinks: DataFrame, context: DataFrame, walks: int = 600, seed: int = 0) -> DataFrame:
@@ -135,19 +141,19 @@ def blind_walks(members: DataFrame, triples: DataFrame, wikilinks: DataFrame, co
     def step(now: DataFrame, edges: DataFrame, at: str, to: str, salt: int) -> DataFrame:
         near = durable(_numbered(edges, [at], to, salt), "near")
         size = near.select(at, f"n{salt}").distinct()
-        place = (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "doc", "category", "walk"), F.col(f"n{salt}")) + 1).cast("int")
+        place = _place(seed, salt, ["doc", "category", "walk"], f"n{salt}")
         now = now.join(size, at).withColumn(f"i{salt}", place).join(near.drop(f"n{salt}"), [at, f"i{salt}"])
         return now.withColumn("p", F.col("p") / F.col(f"n{salt}")).drop(f"i{salt}", f"n{salt}")
 
     at = step(start.withColumn("p", F.lit(1.0)), members.select("category", F.col("entity").alias("member")), "category", "member", 1)
-    two = F.pmod(F.xxhash64(F.lit(seed), F.lit(9), "doc", "category", "walk"), F.lit(2)) == 1
-    at = at.withColumn("node", F.col("member"))
+    at = at.withColumn("node", F.col("member")).withColumn("sides", F.lit(2))
+    two = _place(seed, 9, ["doc", "category", "walk"], "sides") == 2
     via = step(at.where(two), triples.select(F.col("subject").alias("node"), F.col("object").alias("mid")).where("node IS NOT NULL AND mid IS NOT NULL"), "node", "mid", 2).withColumn("node", F.col("mid")).drop("mid")
     end = step(at.where(~two).unionByName(via), undirected(wikilinks).select(F.col("a").alias("node"), F.col("b").alias("target")), "node", "target", 3)
     hit = context.select("doc", "category", F.col("entity").alias("target")).distinct().join(members.select("category", F.col("entity").alias("target")), ["category", "target"], "left_anti")
     end = end.join(hit, ["doc", "category", "target"], "left_semi").select("doc", "category", "walk", "p")
     out = start.join(end, ["doc", "category", "walk"], "left")
-    return out.select("doc", "category", "walk", F.col("p").isNotNull().alias("success"), F.coalesce("p", F.lit(0.0)).alias("probability"), F.coalesce(F.floor(1 / F.col("p") * 2), F.lit(0)).alias("estimate"))
+    return out.select("doc", "category", "walk", F.col("p").isNotNull().alias("success"), F.coalesce("p", F.lit(0.0)).alias("probability"), F.coalesce(F.floor(2 / F.col("p") + 1e-6), F.lit(0)).alias("estimate"))
 
 
 def targeted_walks(paths_: DataFrame, tries: int = 10, seed: int = 0) -> DataFrame:
@@ -250,7 +256,7 @@ def sample_errors(walks: DataFrame, counts: DataFrame) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
     """n rows by the order of a seeded hash of the key: the same rows whatever the partitioning (a sampling operator)."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).orderBy("_h", *key).limit(n).drop("_h")
+    return df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)))).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def prefixed_walks(paths_: DataFrame, prefix: list[str], tries: int = 50, seed: int = 0) -> DataFrame:

@@ -549,38 +549,84 @@ def concept_relevance(s, d):
     return graph.relevance(g.counts(), g.context, g.members_of)
 
 
-@query(None)
+_PICK = "CAST(CAST('0x' || substr(md5(concat_ws('|', '0', '{0}', {1}, walk)), 1, 8) AS BIGINT) % {2} + 1 AS BIGINT)"
+
+
+def _walk_sql(name: str, paths: str, key: str, walks: str) -> str:
+    """Walks down the tree of paths (doc, category, member, hop, target): nodes are numbered, and a hash names the number. walks: a number, or a table (key, k) of one for each group."""
+    number = lambda of, node: f"row_number() OVER (PARTITION BY {of} ORDER BY {node}) AS i, count(*) OVER (PARTITION BY {of}) AS n"
+    groups = f"(SELECT DISTINCT {key} FROM {name}t)" if walks.isdigit() else f"(SELECT DISTINCT {key}, k FROM {name}t JOIN {walks} USING ({key}))"
+    out = f""", {name}t AS MATERIALIZED (SELECT doc, category, member, coalesce(hop, '') AS hop, target FROM {paths}),
+{name}1 AS MATERIALIZED (SELECT {key}, member, {number(key, 'member')} FROM (SELECT DISTINCT {key}, member FROM {name}t)),
+{name}2 AS MATERIALIZED (SELECT {key}, member, hop, {number(key + ', member', 'hop')} FROM (SELECT DISTINCT {key}, member, hop FROM {name}t)),
+{name}3 AS MATERIALIZED (SELECT {key}, member, hop, target AS reached, {number(key + ', member, hop', 'target')} FROM (SELECT DISTINCT doc, category, member, hop, target FROM {name}t)),
+{name}w0 AS MATERIALIZED (SELECT {key}, unnest(range(0, {walks if walks.isdigit() else 'k'})) AS walk, 1::BIGINT AS all_n FROM {groups})"""
+    at = key
+    for k, col in ((1, "member"), (2, "hop"), (3, "reached")):
+        out += f""",
+{name}p{k} AS MATERIALIZED (SELECT {at}, walk, all_n * n AS all_n, {_PICK.format(k, key, 'n')} AS i FROM {name}w{k - 1} JOIN (SELECT DISTINCT {at}, n FROM {name}{k}) USING ({at})),
+{name}w{k} AS MATERIALIZED (SELECT {at}, walk, all_n, {col} FROM {name}p{k} JOIN {name}{k} USING ({at}, i))"""
+        at += f", {col}"
+    target = "" if "target" in key else " reached AS target,"
+    return out + f", {name}w AS MATERIALIZED (SELECT {key}, walk, member, nullif(hop, '') AS hop,{target} 1.0::DOUBLE / all_n AS probability, all_n AS estimate FROM {name}w3)"
+
+
+@query(PATHS + _walk_sql("s", "gpaths", "doc, category", "50") + " SELECT doc, category, walk, member, hop, target, round(probability, 12) AS probability, estimate FROM sw")
 def sampled_paths(s, d):
-    return graph.random_walks(Graph(s, d).paths())
+    return graph.random_walks(Graph(s, d).paths()).withColumn("probability", F.round("probability", 12))
 
 
-@query(None)
+@query(PATHS + _walk_sql("s", "(SELECT * FROM gpaths WHERE member = (SELECT min(member) FROM gpaths))", "doc, category", "50") + " SELECT doc, category, walk, member, hop, target, round(probability, 12) AS probability, estimate FROM sw")
 def prefixed_paths(s, d):
     p = durable(Graph(s, d).paths(), "paths")
-    return graph.prefixed_walks(p, [p.agg(F.min("member")).first()[0]])
+    return graph.prefixed_walks(p, [p.agg(F.min("member")).first()[0]]).withColumn("probability", F.round("probability", 12))
 
 
-@query(None)
+def _blind_sql(walks: int) -> str:
+    pick = lambda salt, n: _PICK.format(salt, "x.doc, x.category", n)
+    numbered = lambda a, b, t: f"SELECT {a} AS at, {b} AS next, row_number() OVER (PARTITION BY {a} ORDER BY {b}) AS i, count(*) OVER (PARTITION BY {a}) AS n FROM (SELECT DISTINCT {a}, {b} FROM {t})"
+    return f""", n1 AS ({numbered('category', 'entity', 'mem')}), n2 AS ({numbered('subject', 'object', 'gtriples')}), n3 AS ({numbered('a', 'b', 'und')}),
+w0 AS (SELECT doc, category, unnest(range(0, {walks})) AS walk FROM (SELECT DISTINCT doc, category FROM context)),
+w1 AS (SELECT x.doc, x.category, walk, next AS node, 1.0::DOUBLE / n AS p FROM w0 x JOIN n1 y ON y.at = x.category AND y.i = {pick(1, 'y.n')}),
+w2 AS (SELECT x.doc, x.category, walk, node, p FROM w1 x WHERE {pick(9, '2')} = 1 UNION ALL SELECT x.doc, x.category, walk, next, p / n FROM w1 x JOIN n2 y ON y.at = x.node AND y.i = {pick(2, 'y.n')} WHERE {pick(9, '2')} = 2),
+w3 AS (SELECT x.doc, x.category, walk, p / n AS p FROM w2 x JOIN n3 y ON y.at = x.node AND y.i = {pick(3, 'y.n')} JOIN target t ON t.doc = x.doc AND t.category = x.category AND t.entity = y.next)
+SELECT doc, category, walk, p IS NOT NULL AS success, round(coalesce(p, 0), 12) AS probability, CAST(coalesce(floor(2 / p + 1e-6), 0) AS BIGINT) AS estimate FROM w0 LEFT JOIN w3 USING (doc, category, walk)"""
+
+
+@query(GRAPH.format(" WHERE l_orderkey % 100 = 0") + _blind_sql(600))
 def blind_walks(s, d):
     g = Graph(s, d)
-    return graph.blind_walks(g.members_of, g.triples, g.links, g.context)
+    return graph.blind_walks(g.members_of, g.triples, g.links, g.context).withColumn("probability", F.round("probability", 12))
 
 
-@query(None)
+@query(PATHS + _walk_sql("s", "gpaths", "doc, category, target", "10") + " SELECT doc, category, target, walk, member, hop, round(probability, 12) AS probability, estimate FROM sw")
 def targeted_walks(s, d):
-    return graph.targeted_walks(Graph(s, d).paths())
+    return graph.targeted_walks(Graph(s, d).paths()).withColumn("probability", F.round("probability", 12))
 
 
-@query(None)
+@query(PATHS + _walk_sql("s", "gpaths", "doc, category", "(SELECT doc, category, 500 * count(*) AS k FROM context GROUP BY ALL)") + """, t AS (SELECT doc, category, count(*) AS walks FROM sw GROUP BY ALL), h AS (SELECT doc, category, target, count(*) AS hits, sum(estimate) AS weight FROM sw GROUP BY ALL)
+SELECT doc, category, entity AS target, walks, coalesce(hits, 0) AS hits, round(coalesce(weight, 0) / walks, 6) AS estimate FROM context JOIN t USING (doc, category) LEFT JOIN h ON h.doc = context.doc AND h.category = context.category AND h.target = entity""")
 def collective_walks(s, d):
     g = Graph(s, d)
-    return graph.collective_walks(g.paths(), g.context)
+    return graph.collective_walks(g.paths(), g.context).withColumn("estimate", F.round("estimate", 6))
 
 
-@query(None)
+@query(PATHS + _walk_sql("s", "gpaths", "doc, category", "50") + ", truth AS (SELECT doc, category, count(*) AS truth FROM gpaths GROUP BY ALL), mean AS (SELECT doc, category, round(avg(estimate), 6) AS estimate FROM sw GROUP BY ALL) SELECT doc, category, truth, estimate, round(abs(estimate - truth) / truth, 4) AS error FROM truth JOIN mean USING (doc, category)")
 def sampling_errors(s, d):
     p = durable(Graph(s, d).paths(), "paths")
-    return graph.sample_errors(graph.random_walks(p), graph.path_counts(p))
+    out = graph.sample_errors(graph.random_walks(p), graph.path_counts(p)).withColumn("estimate", F.round("estimate", 6))
+    return out.withColumn("error", F.round(F.abs(F.col("estimate") - F.col("truth")) / F.col("truth"), 4))
+
+
+@query(PATHS + _walk_sql("s", "gpaths", "doc, category", "50") + """, truth AS (SELECT doc, category, count(*)::DOUBLE AS truth FROM gpaths GROUP BY ALL),
+r AS (SELECT doc, category, walk, truth, count(*) OVER w AS n, round(CAST(sum(estimate) OVER w AS DOUBLE), 2) AS running_sum FROM sw JOIN truth USING (doc, category) WINDOW w AS (PARTITION BY doc, category ORDER BY walk ROWS UNBOUNDED PRECEDING))
+SELECT doc, category, walk, truth, running_sum, round(running_sum / n, 6) AS running_mean, round(abs(running_sum / n - truth) / truth, 2) AS running_error FROM r""")
+def running_errors(s, d):
+    p = durable(Graph(s, d).paths(), "paths")
+    truth = graph.path_counts(p).groupBy("doc", "category").agg(F.sum("n").cast("double").alias("truth"))
+    walks = graph.random_walks(p).join(truth, ["doc", "category"]).withColumn("estimate", F.col("estimate").cast("double"))
+    out = graph.running_error(walks, ["doc", "category"], ["walk"], "estimate", "truth")
+    return out.select("doc", "category", "walk", "truth", "running_sum", F.round("running_mean", 6).alias("running_mean"), "running_error")
 
 
 @query(GRAPH.format("") + """, q AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'S' || ((l_suppkey % 5) + 1) AS b FROM lineitem WHERE l_suppkey <> l_suppkey % 5 + 1)
