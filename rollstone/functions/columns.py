@@ -154,6 +154,32 @@ def subsets(c: Column | str) -> Column:
     return F.when(c.isNotNull(), F.transform(masks, lambda m: F.filter(c, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1)))
 
 
+def format_time(c: Column | str, date_only: bool = False) -> Column:
+    """yyyy-MM-dd HH:mm:ss, or the date alone; the first of January of the year 1 stands for no time and becomes null."""
+    c = _c(c)
+    return F.when(F.year(c) > 1, F.date_format(c, "yyyy-MM-dd" if date_only else "yyyy-MM-dd HH:mm:ss"))
+
+
+def minutes_between(begin: Column | str, end: Column | str) -> Column:
+    """Whole minutes from begin to end."""
+    return F.floor((F.unix_seconds(_c(end).cast("timestamp")) - F.unix_seconds(_c(begin).cast("timestamp"))) / 60)
+
+
+def is_fresh(last: Column | str, now: Column, minutes: int = 15) -> Column:
+    """Whether a heartbeat is at most so many minutes old; false for none."""
+    return F.coalesce(minutes_between(last, now) <= minutes, F.lit(False))
+
+
+def json_text(c: Column | str) -> Column:
+    """A struct, map or array as JSON; null fields are left out."""
+    return F.to_json(_c(c))
+
+
+def session_id() -> Column:
+    """A new random id for each row."""
+    return F.uuid()
+
+
 @F.pandas_udf(StringType())
 def sha3_512(s: pd.Series) -> pd.Series:
     """Hexadecimal SHA3-512, which the JVM functions lack; null for null."""

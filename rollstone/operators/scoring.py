@@ -180,3 +180,30 @@ def derived_types(alias: DataFrame, own_name_from: int = 1000) -> DataFrame:
 def peer_counts(triples: DataFrame) -> DataFrame:
     """predicate, object, peers: other subjects with the same fact. triples: subject, predicate, object."""
     return triples.groupBy("predicate", "object").agg((F.count_distinct("subject") - 1).alias("peers"))
+
+
+def object_counts(triples: DataFrame) -> DataFrame:
+    """subject, predicate, others: further objects of the same subject and predicate. triples: subject, predicate, object."""
+    return triples.groupBy("subject", "predicate").agg((F.count_distinct("object") - 1).alias("others"))
+
+
+def frequent_predicates(triples: DataFrame, least: int = 10_000) -> DataFrame:
+    """predicate, n of the predicates with more than least rows."""
+    return triples.groupBy("predicate").agg(F.count("*").alias("n")).where(F.col("n") > least)
+
+
+def term_weights(weights: DataFrame, entities: DataFrame) -> DataFrame:
+    """doc, entity, weight, found_by: each entity's weight in its document by the corpus TF-IDF, by the first of four ways that finds a term.
+
+    weights: doc, term, weight; entities: doc, entity, lemma, surface. The ways are the lemma, the surface form, the id without its prefix, and the id's
+    words, of which the one with the greatest weight counts (ties: the smallest). Without any, weight 0 and found_by null.
+    """
+    form = lambda c: F.lower(F.trim(c))
+    name = F.replace(F.substring_index("entity", ":", -1), F.lit("_"), F.lit(" "))
+    words = F.filter(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    ways = F.concat(F.array(*(F.struct(F.lit(i).alias("way"), form(c).alias("term")) for i, c in enumerate((F.col("lemma"), F.col("surface"), name), 1))), F.transform(words, lambda w: F.struct(F.lit(4).alias("way"), w.alias("term"))))
+    rows = entities.select("doc", "entity", "lemma", "surface").distinct()
+    hits = rows.select("doc", "entity", F.explode(ways).alias("w")).select("doc", "entity", "w.way", "w.term").join(weights, ["doc", "term"])
+    best = hits.groupBy("doc", "entity").agg(F.min(F.struct("way", (-F.col("weight")).alias("down"), "term")).alias("b"))
+    named = F.element_at(F.array(*map(F.lit, ("lemma", "surface", "id", "words"))), F.col("b.way"))
+    return rows.select("doc", "entity").distinct().join(best, ["doc", "entity"], "left").select("doc", "entity", F.coalesce(-F.col("b.down"), F.lit(0.0)).alias("weight"), named.alias("found_by"))

@@ -19,7 +19,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import core, problems  # noqa: F401
+    from . import core, more, problems  # noqa: F401
 
 
 _load()

@@ -70,11 +70,11 @@ def newswire_xml(spark: SparkSession, path: str, source: str, title_without: lis
 
 
 def daily_prices_json(spark: SparkSession, path: str) -> DataFrame:
-    """symbol, date, open, high, low, close, volume, delta of {"Meta Data": ..., "Time Series (Daily)": {date: {"1. open": ...}}}."""
+    """symbol, date, open, high, low, close, volume, adjusted_close, dividend, split, delta (null where the feed lacks it) of {"Meta Data": ..., "Time Series (Daily)": {date: {"1. open": ...}}}."""
     schema = "`Meta Data` map<string,string>, `Time Series (Daily)` map<string,map<string,string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.element_at("`Meta Data`", "2. Symbol").alias("symbol"), F.explode("`Time Series (Daily)`").alias("date", "v"))
     get = lambda k, t: F.element_at("v", k).cast(t)
-    rows = rows.select("symbol", F.to_date("date").alias("date"), *(get(f"{i}. {n}", "double").alias(n) for i, n in enumerate(("open", "high", "low", "close"), 1)), F.coalesce(get("6. volume", "bigint"), get("5. volume", "bigint")).alias("volume"))
+    rows = rows.select("symbol", F.to_date("date").alias("date"), *(get(f"{i}. {n}", "double").alias(n) for i, n in enumerate(("open", "high", "low", "close"), 1)), F.coalesce(get("6. volume", "bigint"), get("5. volume", "bigint")).alias("volume"), *(get(k, "double").alias(n) for k, n in (("5. adjusted close", "adjusted_close"), ("7. dividend amount", "dividend"), ("8. split coefficient", "split"))))
     return rows.withColumn("delta", change_percent("open", "close"))
 
 
