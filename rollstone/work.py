@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,17 @@ def ship(spark: SparkSession) -> None:
     sc._rollstone_shipped = True
 
 
+def send_file(spark: SparkSession, path: str) -> str:
+    """A file of the driver for all executors, served by Spark; gives the name that local_file() finds it by."""
+    spark.sparkContext.addFile(path)
+    return Path(path).name
+
+
+def local_file(name: str) -> str:
+    """Where send_file() put a file on this executor."""
+    return SparkFiles.get(name)
+
+
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

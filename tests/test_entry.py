@@ -48,5 +48,9 @@ def test_entry_runs(spark):
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the tables aren't here")
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - {n for n in entry.queries() if n[0] == "p" and n[1:2].isdigit()}))
 def test_queries_without_sql_run(spark, name):
-    df = entry.queries()[name](spark, SMALL)
-    assert df.columns and df.count() >= 0
+    import hashlib
+
+    assert name == "text_digests"  # the only one that SQL can't say
+    texts = {r.id: r.text for r in spark.read.parquet(f"{SMALL}/news_analytics.parquet").select("id", "text").collect()}
+    got = {r.doc: r.digest for r in entry.queries()[name](spark, SMALL).collect()}
+    assert got == {i: None if t is None else hashlib.sha3_512(t.encode()).hexdigest() for i, t in texts.items() if i is not None}
