@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..work import ship
+from ..work import local_file, send_file, ship
 from .kernel import chunks, classes, running, spans
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -198,10 +198,11 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
     Special tokens are never made: a text that looks like one is ordinary text. No shuffle.
     """
-    path = os.path.join(folder, f"{tokenizer}.tiktoken")
     ship(df.sparkSession)
+    name = send_file(df.sparkSession, os.path.join(folder, f"{tokenizer}.tiktoken"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = local_file(name)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             at = 0
@@ -216,11 +217,12 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
 def with_token_counts(df: DataFrame, text: str = "text", out: str = "tokens", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """df without its text, with the number of token ids as a column; 0 for null and empty texts."""
-    path = os.path.join(folder, f"{tokenizer}.tiktoken")
     ship(df.sparkSession)
+    name = send_file(df.sparkSession, os.path.join(folder, f"{tokenizer}.tiktoken"))
     kept = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = local_file(name)
         for b in batches:
             texts = [t or "" for t in b.column(len(kept)).to_pylist()]
             counts = [np.zeros(0, np.int64), *(c for c, _ in encode_batch(texts, path, True))]

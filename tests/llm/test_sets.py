@@ -153,3 +153,23 @@ def test_mixture_of_nothing(spark):
     t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     mixed, report = mixture.mix(d, t)
     assert mixed.count() == 0 and report.first().actual_share == 0
+
+
+def test_registered_mixture_and_ids_hold_what_they_say(spark):
+    import os
+
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("the tables aren't here")
+    from rollstone.llm import queries
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    ids = {r.doc_id: r.ids for r in queries.p7_ids(spark, small).collect()}
+    assert set(ids) == set(docs) and all(bool(ids[i]) == bool(docs[i].text) for i in docs)
+    most = {r.source.strip().lower(): r.max_repeats for r in spark.read.parquet(f"{small}/mixture_targets.parquet").collect()}
+    mixed = queries.p8_mix(spark, small).collect()
+    times = Counter(r.doc_id for r in mixed)
+    assert mixed and all(r.tokens == len(ids[r.doc_id]) and r.source == docs[r.doc_id].source.strip().lower() and times[r.doc_id] <= most[r.source] for r in mixed)
+    shares = queries.p8_shares(spark, small).collect()
+    assert len(shares) == len(most) and sum(r.tokens for r in shares) == sum(r.tokens for r in mixed)
+    assert sum(r.actual_share for r in shares) == pytest.approx(1) and all(r.taken == sum(m.source == r.source for m in mixed) for r in shares)
