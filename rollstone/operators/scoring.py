@@ -206,4 +206,4 @@ def term_weights(weights: DataFrame, entities: DataFrame) -> DataFrame:
     hits = rows.select("doc", "entity", F.explode(ways).alias("w")).select("doc", "entity", "w.way", "w.term").join(weights, ["doc", "term"])
     best = hits.groupBy("doc", "entity").agg(F.min(F.struct("way", (-F.col("weight")).alias("down"), "term")).alias("b"))
     named = F.element_at(F.array(*map(F.lit, ("lemma", "surface", "id", "words"))), F.col("b.way"))
-    return rows.select("doc", "entity").distinct().join(best, ["doc", "entity"], "left").select("doc", "entity", F.coalesce(-F.col("b.down"), F.lit(0.0)).alias("weight"), named.alias("found_by"))
+    return rows.select("doc", "entity").distinct().join(best, ["doc", "entity"], "left").select("doc", "entity", F.coalesce(-F.col("b.down"), F.lit(0.0)).alias("weight"), F.when(F.col("b").isNotNull(), named).alias("found_by"))
