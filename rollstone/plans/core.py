@@ -560,7 +560,7 @@ def _walk_sql(name: str, paths: str, key: str, walks: str) -> str:
 {name}1 AS MATERIALIZED (SELECT {key}, member, {number(key, 'member')} FROM (SELECT DISTINCT {key}, member FROM {name}t)),
 {name}2 AS MATERIALIZED (SELECT {key}, member, hop, {number(key + ', member', 'hop')} FROM (SELECT DISTINCT {key}, member, hop FROM {name}t)),
 {name}3 AS MATERIALIZED (SELECT {key}, member, hop, target AS reached, {number(key + ', member, hop', 'target')} FROM (SELECT DISTINCT doc, category, member, hop, target FROM {name}t)),
-{name}w0 AS MATERIALIZED (SELECT {key}, unnest(range(0, {walks if walks.isdigit() else 'k'})) AS walk, 1::BIGINT AS all_n FROM {groups})"""
+{name}w0 AS MATERIALIZED (SELECT {key}, CAST(unnest(range(0, {walks if walks.isdigit() else 'k'})) AS INTEGER) AS walk, 1::BIGINT AS all_n FROM {groups})"""
     at = key
     for k, col in ((1, "member"), (2, "hop"), (3, "reached")):
         out += f""",
@@ -586,7 +586,7 @@ def _blind_sql(walks: int) -> str:
     pick = lambda salt, n: _PICK.format(salt, "x.doc, x.category", n)
     numbered = lambda a, b, t: f"SELECT {a} AS at, {b} AS next, row_number() OVER (PARTITION BY {a} ORDER BY {b}) AS i, count(*) OVER (PARTITION BY {a}) AS n FROM (SELECT DISTINCT {a}, {b} FROM {t})"
     return f""", n1 AS ({numbered('category', 'entity', 'mem')}), n2 AS ({numbered('subject', 'object', 'gtriples')}), n3 AS ({numbered('a', 'b', 'und')}),
-w0 AS (SELECT doc, category, unnest(range(0, {walks})) AS walk FROM (SELECT DISTINCT doc, category FROM context)),
+w0 AS (SELECT doc, category, CAST(unnest(range(0, {walks})) AS INTEGER) AS walk FROM (SELECT DISTINCT doc, category FROM context)),
 w1 AS (SELECT x.doc, x.category, walk, next AS node, 1.0::DOUBLE / n AS p FROM w0 x JOIN n1 y ON y.at = x.category AND y.i = {pick(1, 'y.n')}),
 w2 AS (SELECT x.doc, x.category, walk, node, p FROM w1 x WHERE {pick(9, '2')} = 1 UNION ALL SELECT x.doc, x.category, walk, next, p / n FROM w1 x JOIN n2 y ON y.at = x.node AND y.i = {pick(2, 'y.n')} WHERE {pick(9, '2')} = 2),
 w3 AS (SELECT x.doc, x.category, walk, p / n AS p FROM w2 x JOIN n3 y ON y.at = x.node AND y.i = {pick(3, 'y.n')} JOIN target t ON t.doc = x.doc AND t.category = x.category AND t.entity = y.next)
