@@ -79,3 +79,14 @@ def test_walks_of_unlisted_trees_are_those_of_listed_paths(spark, monkeypatch, r
 def test_walks_shuffle_no_names_of_members(spark, shuffled_joins):
     trees = graph.PathTrees(*kg(spark))
     assert all("member" not in x for x in exchanges(trees.trees(0))) and trees.trees(0).schema["ms"].dataType.simpleString() == "array<bigint>"
+
+
+def test_counts_for_all_concepts_are_those_listed(spark, shuffled_joins):
+    members, triples, links, ctx = kg(spark)
+    docs = ctx.select("doc", "entity").union(ctx.select("doc", "entity"))  # repeated rows count once
+    got = graph.counted(members, triples, links, docs, ["X", "Y"])
+    assert not [x for x in exchanges(got) if {"target", "hop"} <= x]  # no pairs of a document's targets and hops
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = graph.path_counts(graph.paths(members, triples, links, ctx))
+    assert rows(got) == rows(want) and want.where("length = 1").count() and want.where("length = 2").count()
+    assert rows(graph.relevance(got, docs, members, ["X", "Y"])) == rows(graph.relevance(want, ctx, members))
