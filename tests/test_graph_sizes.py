@@ -90,3 +90,10 @@ def test_counts_for_all_concepts_are_those_listed(spark, shuffled_joins):
     want = graph.path_counts(graph.paths(members, triples, links, ctx))
     assert rows(got) == rows(want) and want.where("length = 1").count() and want.where("length = 2").count()
     assert rows(graph.relevance(got, docs, members, ["X", "Y"])) == rows(graph.relevance(want, ctx, members))
+
+
+def test_edges_of_unlisted_trees_are_those_of_listed_paths(spark, shuffled_joins):
+    parts = kg(spark)
+    got = graph.PathTrees(*parts).edges()
+    assert not [x for x in exchanges(got) if {"dst", "src"} <= x or {"doc", "member"} <= x]
+    assert sorted(map(str, got.collect())) == sorted(map(str, graph.tree_edges(graph.paths(*parts)).collect()))
