@@ -5,13 +5,13 @@ A pattern is a set of concepts, keyed by its sorted names joined by commas. patt
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import set_key
-from ..work import durable
+from ..work import discard, durable, maybe_broadcast
+from . import mining
+from .numbering import numbered
 from .search import score_sum
 
 
@@ -61,38 +61,58 @@ def children(patterns: DataFrame, covered_: DataFrame, dec: DataFrame, least_sco
 
 
 def mine(dec: DataFrame, seeds: DataFrame, max_level: int | None = None, least_score: float = 0.5, least_docs: int = 5) -> DataFrame:
-    """name, level, document_count, relevance of all patterns with at least least_docs documents, level by level, a whole level in one job.
+    """name, level, document_count, relevance of all patterns with at least least_docs documents, from the seeds on until none grows; max_level, if given, ends it earlier.
 
     A pattern grows by the concepts that children() would give it: those that occur in least_docs of its documents by an entity that stands for none of its
-    concepts there. A level without patterns ends the search; max_level, if given, ends it earlier. Concepts travel as 64-bit hashes, and a document's
-    triples lie in one row, so that a level is one join with the documents and one with the concepts' documents.
+    concepts there. A document goes to the classes of its concepts with what is needed there, a class's patterns are grown in one task (mining.growing), and only
+    patterns come back, never their documents. What the order of the concepts leaves open is found on the patterns alone (_reached).
     """
-    code = F.xxhash64("category")
-    strong = dec.where(F.col("score") >= least_score)
-    per = durable(strong.groupBy("doc", "category").agg(F.collect_set(F.xxhash64("entity")).alias("e"), F.sum("score").alias("score")).select("doc", code.alias("c"), "category", "e", "score"), "strong")
-    profile = durable(per.groupBy("doc").agg(F.collect_list(F.struct("c", "e")).alias("all")), "profiles")
-    names = durable(per.select("c", "category").distinct(), "names")
-    level = seeds.select(F.array(F.xxhash64("name")).alias("p")).distinct()
-    parts = []
-    for k in count(1):
-        each = level.select(F.xxhash64("p").alias("id"), "p", F.explode("p").alias("c")).join(per.select("c", "doc", "e", "score"), "c")
-        hold = each.groupBy("id", "doc").agg(F.first("p").alias("p"), F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("e")))).alias("entities"), F.sum("score").alias("score"))
-        hold = durable(hold.where(f"n = {k} AND entities >= {k}").select("id", "p", "doc", "score"), "covered")
-        kept = durable(hold.groupBy("id").agg(F.first("p").alias("p"), F.count("*").alias("document_count"), score_sum().alias("relevance")).where(F.col("document_count") >= least_docs), "patterns")
-        parts.append(kept.withColumn("level", F.lit(k)))
-        if k == max_level or not kept.limit(1).count():
-            break
-        rows = hold.join(kept.select("id"), "id", "left_semi").join(profile, "doc")
-        used = F.flatten(F.transform(F.filter("all", lambda x: F.array_contains("p", x["c"])), lambda x: x["e"]))
-        fresh = F.filter("all", lambda x: ~F.array_contains("p", x["c"]) & F.exists(x["e"], lambda e: ~F.array_contains("used", e)))
-        grown = rows.withColumn("used", used).select("id", "p", F.explode(F.transform(fresh, lambda x: x["c"])).alias("c"))
-        grown = grown.groupBy("id", "c").agg(F.first("p").alias("p"), F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
-        level = grown.select(F.array_sort(F.array_append("p", F.col("c"))).alias("p")).distinct()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    named = found.select("id", "level", "document_count", "relevance", F.explode("p").alias("c")).join(names, "c")
-    return named.groupBy("id", "level", "document_count", "relevance").agg(set_key(F.collect_list("category")).alias("name")).select("name", "level", "document_count", "relevance")
+    spark = dec.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    strong = dec.where(F.col("score") >= least_score).select("doc", "category", F.xxhash64("entity").alias("entity"), "score").repartition("doc")
+    per = durable(strong.groupBy("doc", "category").agg(F.collect_set("entity").alias("e"), F.sum("score").alias("score")), "strong")
+    single = per.groupBy("category").agg(F.count("*").alias("document_count"), score_sum().alias("relevance")).where(F.col("document_count") >= least_docs)
+    single = single.join(seeds.select(F.col("name").alias("category"), F.lit(True).alias("seed")).distinct(), "category", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+    single = durable(numbered(single, ["document_count", "category"]).withColumn("code", F.col("code").cast("int")), "concepts")
+    first = single.where("seed").select(F.col("category").alias("name"), F.lit(1).alias("level"), "document_count", "relevance")
+    if max_level == 1:
+        return first
+    n = single.count()
+    codes = maybe_broadcast(single.select("category", "code", "seed"), n)
+    items = F.array_sort(F.collect_list(F.struct("code", "seed", "score", "e")))
+    profile = durable(per.join(codes, "category").groupBy("doc").agg(items.alias("x")).where("size(x) > 1").withColumn("own", F.array_distinct(F.flatten("x.e"))), "profiles")
+    discard(per)
+    bits = F.transform("x.e", lambda e: F.transform(e, lambda v: (F.array_position("own", v) - 1).cast("int")))
+    profile = profile.select("x", bits.alias("bits"), F.explode(F.sequence(F.lit(1), F.size("x") - 1)).alias("i"))
+    rest = lambda c: F.slice(c, F.col("i"), F.size("x"))
+    begin = F.get("x", F.col("i") - 1)
+    classes = profile.select(begin["code"].alias("c"), begin["seed"].alias("seed"), rest("x.code").alias("codes"), rest("x.score").alias("scores"), F.transform(rest("bits"), F.size).alias("sizes"), F.flatten(rest("bits")).alias("bits"))
+    classes = classes.repartition(parts, "c").select(*mining.GIVEN).sortWithinPartitions("c")
+    found = durable(classes.mapInArrow(mining.growing(least_docs, max_level), mining.FOUND).withColumn("id", F.monotonically_increasing_id()), "patterns")
+    kept = found.where("kept").unionByName(_reached(found, single.where("seed").select(F.array("code").alias("p"))))
+    named = kept.select("id", F.size("p").alias("level"), "document_count", "relevance", F.explode("p").alias("code"))
+    named = named.join(maybe_broadcast(single.select("code", "category"), n), "code").groupBy("id", "level", "document_count", "relevance").agg(set_key(F.collect_list("category")).alias("name"))
+    return first.unionByName(named.select("name", "level", "document_count", F.round("relevance", 6).alias("relevance")))
+
+
+def _reached(found: DataFrame, single: DataFrame) -> DataFrame:
+    """Those of the patterns that aren't kept by themselves which come of a kept one, or of such a pattern: others are the places of concepts without which they may be kept."""
+    left = found.where("NOT kept")
+    edges = durable(left.select("p", F.explode("others").alias("j")).select("p", F.filter("p", lambda _, i: i != F.col("j")).alias("parent")), "edges")
+    wanted = edges.select("parent").distinct()
+    known = found.where("kept").select("p").unionByName(single).withColumnRenamed("p", "parent").join(wanted, "parent", "left_semi")
+    front = durable(edges.join(known, "parent", "left_semi").select("p").distinct(), "reached")
+    reached = [front]
+    while front.limit(1).count():  # a pattern is longer than what it comes of, so this ends
+        new = edges.join(front.withColumnRenamed("p", "parent"), "parent", "left_semi").select("p").distinct()
+        for r in reached:
+            new = new.join(r, "p", "left_anti")
+        front = durable(new, "reached")
+        reached.append(front)
+    out = reached[0]
+    for r in reached[1:]:
+        out = out.unionByName(r)
+    return left.join(out, "p", "left_semi")
 
 
 def refreshed(patterns: DataFrame, dec: DataFrame, members: DataFrame, least_score: float = 0.5, least_docs: int = 5) -> DataFrame:
