@@ -53,12 +53,12 @@ def test_mining_by_definition(spark, monkeypatch):
 
 
 def test_a_pattern_that_only_comes_of_its_later_concepts(spark):
-    # A is the rarest; A and B always stand for the same entity, so that A,B is no pattern, but A,B,C is one, from B,C or A,C
-    data = [(d, "x", c, 0.9) for d in range(3) for c in "AB"] + [(d, e, "C", 0.9) for d in range(3) for e in "yz"] + [(8, "x", "B", 0.9), (8, "y", "C", 0.9), (9, "y", "C", 0.9)]
+    # A is the rarest; B stands for an entity of A, so that A,B comes of B only, and A,B,C of A,B or of B,C
+    data = [(d, e, c, 0.9) for d in range(3) for e, c in ("xA", "wA", "xB", "yC")] + [(8, "x", "B", 0.9), (8, "y", "C", 0.9), (9, "y", "C", 0.9)]
     want = by_definition(data, "ABC", 3)
     found = mined(spark, data, "ABC", 3)
     assert {(x["name"], x["level"], x["document_count"]) for x in found} == want
-    assert {x["name"]: x["relevance"] for x in found if x["level"] > 1} == {"A,C": 8.1, "B,C": 9.9, "A,B,C": 10.8}
+    assert {x["name"]: x["relevance"] for x in found if x["level"] > 1} == {"A,B": 8.1, "A,C": 8.1, "B,C": 7.2, "A,B,C": 10.8}
 
 
 def test_mining_writes_no_documents_of_patterns(spark, monkeypatch):
